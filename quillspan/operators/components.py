@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from quillspan.sources.scratch import materialize
 
 
-def _joined_min(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each directed edge with the smallest id among u and u's neighbours in ``edges``."""
-    low = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(low, "u")
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(node, low): the smallest neighbour below each node. Written out, so that the joins on it are
+    plain scans on that side and a hot node's rows on the other side can be split."""
+    return materialize(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")), "cc-low")
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -28,12 +28,13 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     now = materialize(flat.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "cc")
     state = None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every neighbour above u hangs on u's smallest neighbour (or u itself)
-        large = _joined_min(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours hang on the smallest of them
-        small = _joined_min(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        # large star: what hung on v hangs on v's smallest neighbour, if v has one below it
+        low = _lowest(now)
+        large = materialize(now.join(low, F.col("v") == F.col("node"), "left").select("u", F.coalesce("low", "v").alias("v")).distinct(), "cc-large")
+        # small star: u and its neighbours below hang on the smallest of them
+        low = _lowest(large)
+        met = large.join(low, F.col("u") == F.col("node"))
+        small = met.select(F.explode(F.array(F.struct(F.col("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
         now = materialize(small.where("u <> v").distinct(), "cc")
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == (sums["n"], sums["s"]):
