@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import byte_bpe, mixing, quality_rules, simhash, sql, url_filters
+from quillspan.llm import byte_bpe, mixing, quality_rules, simhash, sql, topk_search, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, topk_search.every_nth(vectors))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_read(spark, sf_dir, "documents"))
 
@@ -36,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_warc, op4_topk_search, op5_simhash, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
