@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import byte_bpe, mixing, quality_classifier, quality_rules, simhash, sql, topk_search, url_filters, warc
+from quillspan.llm import byte_bpe, hmm_lm, mixing, quality_classifier, quality_rules, simhash, sql, topk_search, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return hmm_lm.score(docs, hmm_lm.train(docs))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, _read(spark, sf_dir, "labels")))
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
