@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import byte_bpe, hmm_lm, mixing, quality_classifier, quality_rules, simhash, sql, topk_search, url_filters, warc
+from quillspan.llm import byte_bpe, hmm_lm, mixing, quality_classifier, quality_rules, simhash, sql, substring_dedup, topk_search, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_lm, op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op6_substring_dedup, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,6 +26,20 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT k, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS h FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 34)) AS i)
+), again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT k, list_distinct(flatten(list(generate_series(i, i + 34)))) AS gone FROM win SEMI JOIN again USING (h) GROUP BY k),
+kept AS (
+  SELECT k, doc_id, len(w) AS n, coalesce(len(gone), 0) AS g,
+    array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_sort(list_where(range(1, len(w) + 1), list_transform(range(1, len(w) + 1), lambda x: x NOT IN gone)))) END, ' ') AS t
+  FROM d LEFT JOIN hit USING (k)
+)
+SELECT doc_id, n::BIGINT AS n_words, g::BIGINT AS n_removed, sha256(t) AS kept_sha256 FROM kept
+"""
+
 URL_FILTERS = f"""
 WITH cut AS (
   SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -100,4 +114,4 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM st
 """
 
-ORACLES = {"op3_warc": WARC, "op4_topk_search": TOPK_SEARCH, "op8_url_filters": URL_FILTERS, "op9_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
+ORACLES = {"op3_warc": WARC, "op4_topk_search": TOPK_SEARCH, "op6_substring_dedup": SUBSTRING_DEDUP, "op8_url_filters": URL_FILTERS, "op9_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
