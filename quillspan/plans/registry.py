@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TOPICS: list = []
+from quillspan.plans import relational
+
+_TOPICS = (relational,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
