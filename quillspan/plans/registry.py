@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import relational
+from quillspan.plans import relational, spans
 
-_TOPICS = (relational,)
+_TOPICS = (relational, spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
