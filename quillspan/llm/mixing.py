@@ -56,12 +56,12 @@ def _uniform(doc_id: Column) -> Column:
 def _placed(docs: DataFrame, text: str, source: str, doc_id: str, extra: list[str]) -> DataFrame:
     """Documents with size, random number, bin and a tie key. ``extra`` columns come along."""
     size = F.size(words(F.col(text).cast("string"))).cast("long")
-    base = docs.select(F.col(doc_id).alias("_doc"), F.col(source).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_tie"), *[F.col(f"`{c}`").alias(f"x_{c}") for c in extra])
+    base = docs.select(F.col(doc_id).alias("_doc"), F.col(source).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_tie"), *[F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(extra)])
     return base.withColumn("_u", _uniform(F.col("_doc"))).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
 
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP, extra: list[str] | None = None) -> DataFrame:
-    """_doc, _source, _size, source_size, target, copies for every document (and ``extra`` as x_ columns)."""
+    """_doc, _source, _size, source_size, target, copies for every document (and ``extra`` as x_0, x_1, ...)."""
     spark = docs.sparkSession
     light = _placed(docs, text, source, doc_id, [])
     bins = materialize(light.groupBy("_source", "_bin").agg(F.sum("_size").alias("n")), "mix-bins")
@@ -85,7 +85,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     here = here.withColumn("_more", (F.col("_to") + F.col("_size") / 2 <= F.col("rest")).cast("long"))
     other = full.where(~at).withColumn("_to", F.lit(0).cast("long")).withColumn("_more", (F.col("_bin") < F.col("border")).cast("long"))
     both = here.unionByName(other)
-    return both.select("_doc", "_source", "_size", "source_size", "target", F.when(F.col("_size") > 0, F.least(F.col("whole") + F.col("_more"), F.lit(int(cap)))).otherwise(0).alias("copies"), *[f"x_{c}" for c in (extra or [])])
+    return both.select("_doc", "_source", "_size", "source_size", "target", F.when(F.col("_size") > 0, F.least(F.col("whole") + F.col("_more"), F.lit(int(cap)))).otherwise(0).alias("copies"), *[f"x_{i}" for i in range(len(extra or []))])
 
 
 def taken(docs: DataFrame, **names) -> DataFrame:
@@ -97,4 +97,4 @@ def taken(docs: DataFrame, **names) -> DataFrame:
 def mix(docs: DataFrame, **names) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as many times as it is taken."""
     p = plan(docs, extra=docs.columns, **names)
-    return p.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`x_{c}`").alias(c) for c in docs.columns])
+    return p.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"x_{i}").alias(c) for i, c in enumerate(docs.columns)])

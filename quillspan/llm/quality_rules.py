@@ -142,18 +142,23 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
 def filter(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", **limits) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns as they were but the text: over-limit lines are cut out.
 
-    One scan decides and edits: the over-limit lines of each host travel as one array per host, to the
-    documents that hold any of them only.
+    One scan decides and edits: words lost to over-limit lines reach a document by its id, host and text, so no
+    key gathers many documents.
     """
     lines = materialize(frequent_lines(docs, text, host, doc_id, **limits), "lines")
-    keyed = _keyed(docs, text, host, doc_id)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(docs.columns)])
+    at = {c: f"x_{docs.columns.index(c)}" for c in (text, host, doc_id)}
+    keyed = _keyed(own, at[text], at[host], at[doc_id])
     small = lines.count() <= BROADCAST_LINES
     hit = _lines(keyed.select("_id", "_host", "_hash", "_text")).join(F.broadcast(lines) if small else lines, ["_host", "line"]).where("_id <> first_id")
     cut = hit.groupBy("_id", "_host", "_hash").agg(F.collect_set("line").alias("_cut"))
-    stats = base_stats(F.col("_text"))
-    judged = keyed.withColumn("_s", bind(stats, lambda s: F.struct(s["w"]["n_words"].alias("n"), s["w"]["n_repeat_words"].alias("r")))).where((F.col("_s.n") >= MIN_WORDS) & (100 * F.col("_s.r") <= MAX_REPEAT_PERCENT * F.col("_s.n")))
+    # a generator, not a filter: the counts of a text are then computed once
+    fine = bind(base_stats(F.col("_text")), lambda s: F.struct(s["w"]["n_words"].alias("n"), s["w"]["n_repeat_words"].alias("r")))
+    judged = keyed.withColumn("_s", F.explode(F.filter(F.array(fine), lambda s: (s["n"] >= MIN_WORDS) & (100 * s["r"] <= MAX_REPEAT_PERCENT * s["n"]))))
     met = judged.join(cut, ["_id", "_host", "_hash"], "left")
     keep = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalized(x))))
     edited = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(keep, "\n"))
-    out = met.withColumn("_new", edited).where(F.col("_cut").isNull() | (F.size(words(F.col("_new"))) >= MIN_LEFT * F.col("_s.n")))
-    return out.select(*[F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    left = lambda t: F.col("_cut").isNull() | (F.size(words(t)) >= MIN_LEFT * F.col("_s.n"))
+    out = met.withColumn("_new", F.explode(F.filter(F.array(edited), left)))
+    new = {text: F.col("_new")} | ({"n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"x_{i}")).alias(c) for i, c in enumerate(docs.columns)])

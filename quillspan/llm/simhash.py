@@ -55,14 +55,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, h, fp) for every row; h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(x) for x in b.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([fingerprint(x) for x in b.column("text").to_pylist()], pa.int64())], ["doc_id", "h", "fp"])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(_text(text)).alias("h"), _text(text).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def _masks() -> list[int]:
@@ -108,20 +112,28 @@ def _union(masks: list[int], i: int, k: int) -> int:
     return out
 
 
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id for every row."""
+def _placed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, h, fp, root, component_id) for every row."""
     fps = materialize(fingerprints(docs, text, doc_id), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     found = connected_components(links(distinct.select("fp")), "a", "b")
     own = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     ids = materialize(own.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-ids")
-    named = materialize(own.join(ids, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-named")
-    out = fps.join(named, F.col("fp") == F.col("f"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(own.join(ids, "root").select(F.col("fp").alias("f"), "root", "component_id"), "simhash-named")
+    return fps.join(named, F.col("fp") == F.col("f")).drop("f")
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id for every row."""
+    return _placed(docs, text, doc_id).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each component, all columns; of repeated rows of it, one."""
-    first = components(docs, text, doc_id).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """One document of each component, all columns: the one with the smallest id (then of least text hash); of
+    rows that repeat it, one."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = _placed(docs, text, doc_id).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x.h").alias("_h"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(docs.columns)])
+    d, t = f"x_{docs.columns.index(doc_id)}", f"x_{docs.columns.index(text)}"
+    kept = own.join(first, F.col(d).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(_text(t)) == F.col("_h")), "left_semi")
+    return kept.dropDuplicates([d, t]).toDF(*docs.columns)
