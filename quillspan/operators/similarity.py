@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspan.functions.text import jaccard, masked, normalized, shingles
 from quillspan.operators.components import connected_components
@@ -65,6 +65,35 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, ident: str, th
     return pairs.join(l, "a").join(r, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, text): of documents with the same normalized text, the one with the smallest id; the others are
+    its copies and are not paired up."""
+    norm = docs.select(F.col(ident), F.col(text).alias("text"), F.sha2(normalized(F.col(text)), 256).alias("_n"))
+    return norm.groupBy("_n").agg(F.min(F.struct(ident, "text")).alias("x")).select(f"x.{ident}", "x.text")
+
+
+def exact_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard), a < b: all pairs at least that similar, none missed.
+
+    Prefix filter: with shingles in one order, rarest first, similar sets share one of their first
+    n - ceil(threshold * n) + 1 shingles. So only rare shingles are joined on; sizes are compared, then sets.
+    """
+    own = materialize(docs.select(F.col(ident).alias("id"), shingles(F.col(text)).alias("shingles")).where(F.size("shingles") > 0), "pairs-own")
+    rows = own.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).select("id", "n", F.xxhash64("s").alias("h"))
+    freq = materialize(rows.groupBy("h").agg(F.count("*").alias("df")), "pairs-df").where("df > 1")
+    # shingles of one document only cannot match, but come first in its order and use up its prefix
+    alone = rows.join(freq.select("h"), "h", "left_anti").groupBy("id").agg(F.count("*").alias("alone"))
+    shared = rows.join(freq, "h").join(alone, "id", "left")
+    order = Window.partitionBy("id").orderBy("df", "h")
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    first = shared.withColumn("r", F.row_number().over(order) + F.coalesce("alone", F.lit(0))).where(F.col("r") <= prefix).select("id", "n", "h")
+    first = materialize(first, "pairs-prefix")
+    l, r = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("g"))
+    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
+    met = l.join(r, (F.col("h") == F.col("g")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return verified(met, own, own, "id", threshold)
+
+
 def cross_audit(queries: DataFrame, references: DataFrame, ident: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(query, candidates, best, best_reference, above): for each query with a candidate, the most similar
     reference (ties to the smaller id) and how many reach the threshold."""

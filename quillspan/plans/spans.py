@@ -156,7 +156,7 @@ def cross_label_values(spark, d):
 
 @query()
 def unlabelled_repeats(spark, d):
-    some = adapters.gold(spark, d).where("start % 5 = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+    some = adapters.gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
     return annotations.unlabelled_repeats(with_text(spark, d, some))
 
 
@@ -319,13 +319,9 @@ def submission_validation(spark, d):
 
 
 def pools(spark, d) -> DataFrame:
-    """(doc_id, spans, k): each document's first 60 candidates, and how many of them to choose.
-
-    A document's candidate list is a bounded input of the decoders, as spans per text are in practice.
-    """
-    g, _, c = relations(spark, d)
-    top = c.withColumn("r", F.row_number().over(evaluation.Window.partitionBy("doc_id").orderBy("start", "end", "label"))).where("r <= 60")
-    per = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "score"))).alias("spans"))
+    """(doc_id, spans, k): each document's candidates, and how many of them to choose (a quarter, 8 at most)."""
+    _, _, c = relations(spark, d)
+    per = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "score"))).alias("spans"))
     return per.withColumn("k", F.least(F.lit(8), F.ceil(F.size("spans") / 4)).cast("int"))
 
 
@@ -363,7 +359,7 @@ def slot_mbr(spark, d):
     return decoded(pools(spark, d), lambda r: decode.decode(*_spans(r), int(r["k"]), "slot_mbr"))
 
 
-SOLO = """, one AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS r FROM cand), top AS (SELECT * FROM one WHERE r <= 60)"""
+SOLO = ", top AS (SELECT * FROM cand)"
 
 
 @query(f"""{SOLO} SELECT doc_id, 1 AS slot, start, "end", label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "end", start, label) AS q FROM top) WHERE q = 1""")
@@ -393,8 +389,7 @@ def slot_marginals(spark, d):
 
 @query()
 def slot_oracle(spark, d):
-    g = adapters.gold(spark, d).withColumn("r", F.row_number().over(evaluation.Window.partitionBy("doc_id").orderBy("start"))).where("r <= 8")
-    own = g.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("gold"))
+    own = adapters.gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("gold"))
 
     def kernel(row):
         gold = [(int(s["start"]), int(s["end"]), s["label"]) for s in row["gold"]]
@@ -403,16 +398,22 @@ def slot_oracle(spark, d):
     return decode.per_document(pools(spark, d).join(own, "doc_id"), kernel, "doc_id long, k int, best int")
 
 
+def turns(spark, d) -> DataFrame:
+    """(doc_id, text, n): every turn of every conversation as a document of n words."""
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return c.withColumn("n", F.greatest(F.lit(1), F.size(F.split("text", " "))))
+
+
 def lattices(spark, d) -> DataFrame:
-    """(doc_id, n, a, b, energies, k, gold_energy): a lattice over each document's first 24 tokens, with energies
-    for two labels by arithmetic on the interval."""
-    docs = read(spark, d, "documents").select("doc_id", F.least(F.lit(24), F.greatest(F.lit(1), F.size(F.split("text", " ")))).alias("n"))
+    """(doc_id, n, a, b, energies, k, gold_energy): a lattice over the words of each turn, intervals up to four
+    words, with energies for two labels by arithmetic on the interval."""
+    docs = turns(spark, d).select("doc_id", "n")
     u = candidates.span_universe(docs, 4)
     e = lambda m: (F.pmod(F.col("doc_id") * 13 + F.col("a") * m + F.col("b") * 5, F.lit(17)) - 8) / 4.0
     rows = u.withColumn("e", F.array(e(7), e(11)))
     per = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("b", "a", "e"))).alias("x")).join(docs, "doc_id")
     out = per.select("doc_id", "n", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.e").alias("energies"), F.least(F.lit(3), F.col("n")).cast("int").alias("k"))
-    return out.withColumn("gold_energy", (F.pmod(F.col("doc_id"), F.lit(5)) - 1.0))
+    return out.withColumn("gold_energy", F.lit(3.0))
 
 
 def _lattice(row) -> decode.Lattice:
@@ -459,13 +460,13 @@ def ranking_gaps(spark, d):
 
 @query()
 def calibrate_beta(spark, d):
-    beta, bound = calibration.fit_beta(lattices(spark, d).withColumn("gold_energy", F.lit(3.0)), rounds=6)
+    beta, bound = calibration.fit_beta(lattices(spark, d))
     return spark.range(1).select(F.lit(beta).alias("beta"), F.lit(bound).cast("string").alias("bound"))
 
 
 @query()
 def counted_viterbi(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.least(F.lit(20), F.size(F.split("text", " "))).alias("n"))
+    docs = turns(spark, d).select("doc_id", "n")
 
     def kernel(row):
         n, size = int(row["n"]), len(TAGS)
@@ -532,9 +533,9 @@ def cluster_bootstrap_ci(spark, d):
 # ---------------------------------------------------------------- tokens and features
 
 
-@query("SELECT n AS n, sum(least(b, 16))::BIGINT AS intervals FROM (SELECT doc_id, least(40, length(text)) AS n, unnest(generate_series(1, least(40, length(text)))) AS b FROM documents) GROUP BY doc_id, n", plain=True)
+@query("SELECT n::BIGINT AS n, sum(least(b, 16))::BIGINT AS intervals FROM (SELECT doc_id, len(string_split(text, ' ')) AS n, unnest(generate_series(1, len(string_split(text, ' ')))) AS b FROM documents) GROUP BY doc_id, n", plain=True)
 def span_universe(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.least(F.lit(40), F.length("text")).cast("long").alias("n"))
+    docs = read(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
     return candidates.span_universe(docs).groupBy("doc_id").agg(F.count("*").alias("intervals")).join(docs, "doc_id").select("n", "intervals")
 
 
@@ -613,8 +614,7 @@ def layout_features(spark, d):
 
 @query()
 def sampling_plan(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.least(F.lit(30), F.length("text")).alias("n"))
-    u = candidates.span_universe(docs)
+    u = candidates.span_universe(turns(spark, d).select("doc_id", "n"))
     pos, old = u.where("a % 10 = 3 and b = a + 2"), u.where("a % 7 = 1 and b = a + 3")
     return candidates.sampling_plan(u, pos, old).groupBy("kind", "flags").agg(F.count("*").alias("n"))
 
@@ -635,10 +635,15 @@ def minhash_signatures(spark, d):
     return similarity.with_signature(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "signature")
 
 
-@query(f"WITH {WORDS5}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 9) AS jaccard FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.95", plain=True)
+@query(f"WITH c AS (SELECT min(doc_id) AS doc_id, any_value(w) AS w FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents) GROUP BY array_to_string(w, ' ')), sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM c, LATERAL (SELECT unnest(generate_series(1, len(w) - 4)) AS i)), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 9) AS jaccard FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8", plain=True)
+def shingle_jaccard_pairs(spark, d):
+    return similarity.exact_pairs(similarity.representatives(read(spark, d, "documents"))).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
 def near_duplicate_pairs(spark, d):
-    signed = similarity.materialize(similarity.with_signature(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "shingles", "signature"), "near")
-    return similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id", 0.95).withColumn("jaccard", F.round("jaccard", 9))
+    signed = similarity.materialize(similarity.with_signature(similarity.representatives(read(spark, d, "documents"))).select("doc_id", "shingles", "signature"), "near")
+    return similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id")
 
 
 @query()
