@@ -26,7 +26,7 @@ SCHEMAS = {"train": GOLD, "dev": GOLD, "holdout": GOLD, "test": TEST, "test_slot
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of every file under a path, hashed where it lies."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    base = F.lit(path.rstrip("/").split("://")[-1].lstrip("/") + "/")
+    base = path.rstrip("/").split("://")[-1].lstrip("/") + "/"
     return files.select(F.substring_index("path", base, -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
