@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan.sources.scratch import materialize
@@ -150,7 +151,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
 
 def _anchor_rows(slim: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, first = Hashes(), TaskContext.get().partitionId() << 36
         for b in batches:
             places, runs = [], []
             for x in b.column("text").to_pylist():
@@ -158,9 +159,11 @@ def _anchor_rows(slim: DataFrame, window: int) -> DataFrame:
                 place = np.unique(place)
                 places.append(place.astype(np.int32))
                 runs.append(run_hash[place].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(places, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["k1", "k2", "place", "h"])
+            ids = pa.array(range(first, first + b.num_rows), pa.int64())
+            first += b.num_rows
+            yield pa.RecordBatch.from_arrays([ids, b.column("k1"), b.column("k2"), pa.array(places, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["rid", "k1", "k2", "place", "h"])
 
-    return slim.mapInArrow(run, "k1 long, k2 long, place array<int>, h array<long>")
+    return slim.mapInArrow(run, "rid long, k1 long, k2 long, place array<int>, h array<long>")
 
 
 _PASSAGE = pa.schema([("h", pa.int64()), ("passage", pa.binary()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
@@ -184,9 +187,19 @@ class _Fold:
             got[1] = None
         self.known.append(place)
 
+    def _merged(self) -> list[list]:
+        """Known places, those of one document that touch made into one."""
+        out: list[list] = []
+        for k1, k2, a, b in sorted(self.known):
+            if out and out[-1][:2] == [k1, k2] and a <= out[-1][3]:
+                out[-1][3] = max(out[-1][3], b)
+            else:
+                out.append([k1, k2, a, b])
+        return out
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         out = [(h, p, min(n, 2), *(place or (None,) * 4)) for (h, p), (n, place) in self.seen.items()]
-        out += [(hash(place), None, 0, *place) for place in self.known]
+        out += [(hash(tuple(place)), None, 0, *place) for place in self._merged()]
         self.seen, self.known = {}, []
         for at in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000], strict=True), _PASSAGE.types, strict=True)], schema=_PASSAGE)
@@ -295,8 +308,10 @@ def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int, extra: lis
     found = materialize(_anchor_rows(slim, window), "substring-anchors")
     counts = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     again = materialize(counts.where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "substring-repeated")
-    each = found.select("k1", "k2", F.explode(F.arrays_zip("place", "h")).alias("x")).select("k1", "k2", "x.place", "x.h")
-    flags = each.join(again, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "hot")).alias("flags"))
+    each = found.select("rid", F.explode(F.arrays_zip("place", "h")).alias("x")).select("rid", "x.place", "x.h")
+    flags = each.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("place", "hot")).alias("flags"))
+    # rows that repeat a document have the same flags
+    flags = flags.join(found.select("rid", "k1", "k2"), "rid").groupBy("k1", "k2").agg(F.first("flags").alias("flags"))
     flags = materialize(flags, "substring-flags")
     spans = _spans(_passages(slim.join(flags, ["k1", "k2"]), window), window)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
