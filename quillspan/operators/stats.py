@@ -130,3 +130,35 @@ def bit_groups(df: DataFrame, flags: str, bits: int, measures: dict[str, Column]
     """Measures by each set bit of a flag column; a row counts under every bit it has."""
     each = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(F.getbit(F.col(flags).cast("long"), i) == 1, i)), lambda x: x.isNotNull()))
     return df.withColumn("bit", each).groupBy("bit").agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
+    """(low, n): rows in steps of ``width``, each step named by its lower end."""
+    return df.where(F.col(column).isNotNull()).groupBy((F.floor(F.col(column) / width) * width).cast("double").alias("low")).agg(F.count("*").alias("n"))
+
+
+def leaf_sums(df: DataFrame, column: str) -> DataFrame:
+    """(path, total): the sum of every number inside a nested struct column, by its dotted path."""
+    from pyspark.sql import types as T
+
+    def leaves(kind: T.DataType, path: str) -> list[str]:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind for x in leaves(f.dataType, f"{path}.{f.name}")]
+        return [path] if isinstance(kind, (T.NumericType, T.BooleanType)) else []
+
+    paths = leaves(df.schema[column].dataType, column)
+    one = df.agg(*[F.sum(F.col(p).cast("double")).alias(f"v{i}") for i, p in enumerate(paths)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(p.split(".", 1)[1]).alias("path"), F.col(f"v{i}").alias("total")) for i, p in enumerate(paths)])).alias("x")).select("x.*")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, when: str, take: list[str]) -> DataFrame:
+    """``left`` with the ``take`` columns of the last ``right`` row of its key whose ``when`` is not after ``at``.
+
+    One sort by key and place over both sides, no range join. Of right rows in one place the greatest wins.
+    """
+    mark = F.struct(F.col(when).alias("w"), *take)
+    l = left.withColumns({"_at": F.col(at), "_side": F.lit(1), "_r": F.lit(None).cast(right.select(mark.alias("m")).schema["m"].dataType)})
+    r = right.select(F.col(key), F.col(when).alias("_at"), F.lit(0).alias("_side"), mark.alias("_r"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    run = Window.partitionBy(key).orderBy("_at", "_side", "_r").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_m", F.last("_r", ignorenulls=True).over(run)).where("_side = 1").select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in take])

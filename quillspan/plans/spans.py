@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions.text import masked, shingles
-from quillspan.operators import annotations, audit, calibration, candidates, decode, evaluation, features, similarity
+from quillspan.operators import annotations, audit, calibration, candidates, decode, evaluation, features, similarity, stats
 from quillspan.schemas import LABELS, TAGS
 from quillspan.sources import adapters
 from quillspan.sources.adapters import SQL, read
@@ -477,6 +477,69 @@ def counted_viterbi(spark, d):
     return decode.per_document(docs, kernel, "doc_id long, i int, tag string")
 
 
+def _gold_of(row) -> list[tuple[int, int, int]]:
+    """A structure of one-word intervals by arithmetic on the id, as gold for a lattice."""
+    k, n = int(row["k"]), int(row["n"])
+    step = max(1, n // max(1, k))
+    return [(i * step, i * step + 1, int(row["doc_id"]) % 2) for i in range(k)]
+
+
+@query()
+def ranking_records(spark, d):
+    def kernel(row):
+        r = decode.ranking_record(_lattice(row), int(row["k"]), _gold_of(row))
+        return [{"doc_id": row["doc_id"], "supported": r.supported, "map_is_gold": r.map_is_gold, "gap": None if r.gap is None else round(r.gap, 9)}]
+
+    return decode.per_document(lattices(spark, d), kernel, "doc_id long, supported boolean, map_is_gold boolean, gap double")
+
+
+@query()
+def local_span_ranking(spark, d):
+    def kernel(row):
+        return [{"doc_id": row["doc_id"], **x} for x in decode.local_ranking(_lattice(row), _gold_of(row))]
+
+    return decode.per_document(lattices(spark, d), kernel, "doc_id long, slot int, supported boolean, competitors int, gap double")
+
+
+@query()
+def posterior_audit(spark, d):
+    def kernel(row):
+        return [{"doc_id": row["doc_id"], "tau": t} | {n: round(v, 9) for n, v in decode.confidence_audit(_lattice(row), int(row["k"]), _gold_of(row), t).items()} for t in (0.5, 1.0, 2.0)]
+
+    names = ("delta_u", "delta_c", "energy_given_up", "changed_slots", "changed_boundaries", "removed", "added", "entropy", "log_count", "entropy_per_slot", "map_probability")
+    return decode.per_document(lattices(spark, d), kernel, "doc_id long, tau double, " + ", ".join(f"{n} double" for n in names))
+
+
+@query("""SELECT p.doc_id, p.start, p."end", p.label, g."end" AS g_end, g.label AS g_label FROM pred p ASOF LEFT JOIN gold g ON p.doc_id = g.doc_id AND p.start >= g."end" """)
+def as_of_predecessor(spark, d):
+    g, p, _ = relations(spark, d)
+    right = g.select("doc_id", F.col("end").alias("g_end"), F.col("label").alias("g_label"), F.col("end").alias("e"))
+    return stats.as_of(p, right, "doc_id", "start", "e", ["g_end", "g_label"])
+
+
+@query("""SELECT (floor(length(value) / 3) * 3)::DOUBLE AS low, count(*) AS n FROM gold GROUP BY 1""")
+def length_histogram(spark, d):
+    return stats.histogram(adapters.gold(spark, d).withColumn("n_chars", F.length("value")), "n_chars", 3)
+
+
+@query(f"SELECT unnest(['counts.gold', 'counts.predicted', 'right.slots']) AS path, unnest([sum(n_gold), sum(n_predicted), sum(slot_correct)])::DOUBLE AS total FROM ({PER.format('ps')})")
+def leaf_sums(spark, d):
+    g, p, _ = relations(spark, d)
+    per = evaluation.document_counts(g, p)
+    return stats.leaf_sums(per.select(F.struct(F.struct(F.col("n_gold").alias("gold"), F.col("n_predicted").alias("predicted")).alias("counts"), F.struct(F.col("slot_correct").alias("slots")).alias("right")).alias("r")), "r")
+
+
+@query()
+def title_adjustment(spark, d):
+    own = adapters.gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+
+    def kernel(row):
+        spans = [(int(s["start"]), int(s["end"]), s["label"]) for s in row["spans"]]
+        return [{"doc_id": row["doc_id"], "start": a, "end": b, "label": x} for a, b, x in annotations.adjust_titles(row["text"], spans, "included")]
+
+    return decode.per_document(with_text(spark, d, own), kernel, "doc_id long, start int, end int, label string")
+
+
 # ---------------------------------------------------------------- calibration
 
 SCORED = "sc AS (SELECT c.doc_id, c.start, c.score AS p, (g.start IS NOT NULL) AS y FROM cand c LEFT JOIN gold g USING (doc_id, start, \"end\", label))"
