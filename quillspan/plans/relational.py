@@ -98,17 +98,18 @@ def check_rows(spark, d):
     return a.unionByName(b).unionByName(c).select("name", "failures", "denominator")
 
 
-@query("SELECT lang AS value, count(*) AS n, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY lang")
+@query("SELECT lang AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 9) AS share FROM documents GROUP BY lang")
 def category_shares(spark, d):
-    return stats.shares(read(spark, d, "documents"), "lang")
+    return stats.shares(read(spark, d, "documents"), "lang").withColumn("share", F.round("share", 9))
 
 
-QS = ", ".join(f"quantile_cont(x, {q}) AS q{int(q * 100):03d}" for q in stats.QUANTILES)
+QS = ", ".join(f"round(quantile_cont(x, {q}), 6) AS q{int(q * 100):03d}" for q in stats.QUANTILES)
 
 
-@query(f"SELECT \"group\", field, count(x) AS n, avg(x) AS mean, stddev_pop(x) AS std, {QS} FROM (SELECT l_returnflag AS \"group\", 'l_quantity' AS field, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM lineitem) GROUP BY ALL")
+@query(f"SELECT \"group\", field, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, {QS} FROM (SELECT l_returnflag AS \"group\", 'l_quantity' AS field, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM lineitem) GROUP BY ALL")
 def quantile_profile(spark, d):
-    return stats.quantile_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag")
+    out = stats.quantile_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag")
+    return out.select("group", "field", "n", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
 
 
 @query("SELECT list_sort(list(n_chars))[(floor(count(*) * 0.95) + 1)::INT] AS value FROM documents")

@@ -229,7 +229,7 @@ def label_confusion(spark, d):
     return evaluation.label_confusion(g, p)
 
 
-@query("""SELECT doc_id, start, "end", label, p_start, p_end, p_label, overlap FROM (SELECT g.doc_id, g.start, g."end", g.label, p.start AS p_start, p."end" AS p_end, p.label AS p_label, least(g."end", p."end") - greatest(g.start, p.start) AS overlap, row_number() OVER (PARTITION BY g.doc_id, g.start, g."end", g.label ORDER BY least(g."end", p."end") - greatest(g.start, p.start) DESC, p.start, p."end", p.label) AS r FROM gold g JOIN pred p ON p.doc_id = g.doc_id AND p.start < g."end" AND g.start < p."end") WHERE r = 1""")
+@query("""SELECT doc_id, start, "end", label, p_start, p_end, p_label, overlap FROM (SELECT g.doc_id, g.start, g."end", g.label, p.start AS p_start, p."end" AS p_end, p.label AS p_label, (least(g."end", p."end") - greatest(g.start, p.start))::INT AS overlap, row_number() OVER (PARTITION BY g.doc_id, g.start, g."end", g.label ORDER BY least(g."end", p."end") - greatest(g.start, p.start) DESC, p.start, p."end", p.label) AS r FROM gold g JOIN pred p ON p.doc_id = g.doc_id AND p.start < g."end" AND g.start < p."end") WHERE r = 1""")
 def best_overlap_match(spark, d):
     g, p, _ = relations(spark, d)
     return evaluation.best_overlap(g, p)

@@ -50,7 +50,7 @@ def candidates(gold: DataFrame) -> DataFrame:
 #: SQL for the same relations, as common table expressions.
 SQL = """
 tok AS (
-  SELECT doc_id, w, e - length(w) AS s, e FROM (
+  SELECT doc_id, w, (e - length(w))::INT AS s, e FROM (
     SELECT doc_id, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i))::INT - 1 AS e FROM (
       SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \\n]') AS ws FROM documents)))
 ), gold AS (
@@ -67,7 +67,7 @@ tok AS (
 ), cand AS (
   SELECT *, ((start * 31 + "end" * 7) % 97 + 1) / 99.0::DOUBLE AS score FROM (
     SELECT doc_id, start, "end", label FROM pred UNION SELECT doc_id, start, "end", label FROM gold WHERE start % 17 <> 0)
-), gs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS slot FROM gold
-), ps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS slot FROM pred
-), ps2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS slot FROM pred2)
+), gs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label)::INT AS slot FROM gold
+), ps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label)::INT AS slot FROM pred
+), ps2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label)::INT AS slot FROM pred2)
 """
