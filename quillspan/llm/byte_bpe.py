@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Characters of a leaf, and of the first window to each side of a border.
 LEAF, WINDOW = 1024, 48
+#: Rows whose ids are held at once.
+ROWS = 128
 #: A character that is surely no white space, before a space or newline.
 _BORDER = re.compile("[!-~À-ɏ](?=[ \n])")
 _CODECS: dict[bytes, "Codec"] = {}
@@ -105,8 +107,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(table.value, pattern)
         for b in batches:
-            out = [codec.encode(x or "") for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, ids])
+            for at in range(0, b.num_rows, ROWS):
+                piece = b.slice(at, ROWS)
+                out = [np.array(codec.encode(x or ""), np.int32) for x in piece.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+                packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([*piece.columns, packed], [*b.schema.names, ids])
 
     return docs.withColumn(text, F.col(text).cast("string")).drop(ids).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn(text, F.col(text).cast("string")).drop(ids).schema) + f", `{ids}` array<int>")
 
