@@ -409,3 +409,38 @@ def test_pipeline_matches_its_stages_by_brute_force(spark):
     codec = byte_bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in fourth.collect()}
     assert len(last) == fourth.count() and all(r["ids"] == codec.leaf(texts[r["doc_id"]]) for r in last)
+
+
+def test_pipeline_keeps_one_of_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{rng.randint(0, 10**6)}" for _ in range(200)]
+        for k in range(5):
+            w = list(base)
+            for at in rng.sample(range(200), k if g % 2 else 4 * k):
+                w[at] = f"n{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w), "s"))
+    rows += [(900, rows[0][1], "s"), (900, rows[0][1], "s"), (None, rows[1][1], "s"), (901, None, "s"), (902, " ", "s"), (903, "A b", "s"), (904, "a  B", "s")]
+    sets = []
+    for _, t, _ in rows:
+        w = [x.lower() for x in toks(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, DATA)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted({rows[top(i)][0] for i in range(len(rows))})
+    assert dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs.limit(0), DATA).count() == 0
