@@ -105,10 +105,13 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return keyed.select("_id", "_host", "_hash", line.alias("x")).select("_id", "_host", "_hash", "x.line", "x.n")
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line, first_id): lines above their host's limit, and the smallest document id that keeps each."""
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, of_texts: bool = False) -> DataFrame:
+    """(host, line, first_id): lines above their host's limit, and the smallest document id that keeps each.
+
+    ``line_share`` is a share of the host's rows, or with ``of_texts`` of its distinct texts, as lines are counted."""
     keyed = _keyed(docs, text, host, doc_id).select("_id", "_host", "_hash", "_text")
-    sizes = keyed.groupBy("_host").agg(F.count("*").alias("n_host")).select(F.col("_host").alias("h"), "n_host")
+    members = keyed.select("_host", "_hash").distinct() if of_texts else keyed
+    sizes = members.groupBy("_host").agg(F.count("*").alias("n_host")).select(F.col("_host").alias("h"), "n_host")
     counts = _lines(keyed).groupBy("_host", "line", "_hash").agg(F.min("_id").alias("first")).groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first_id"))
     over = counts.where(F.col("n_docs") > line_docs).join(sizes, F.col("h") == F.col("_host"))
     return over.where(F.col("n_docs") > line_share * F.col("n_host")).select("_host", "line", "first_id", "n_docs")

@@ -444,3 +444,16 @@ def test_pipeline_keeps_one_of_near_copies(spark):
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({rows[top(i)][0] for i in range(len(rows))})
     assert dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs.limit(0), DATA).count() == 0
+
+
+def test_pipeline_cuts_a_common_line_of_a_small_source(spark):
+    import corpus_pipeline
+
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    # a line of 8 among 30 texts of source a; b has 6 texts with the line among 6 and 294 copies of one other
+    rows = [(i, f"a common line\n{t}" if i < 8 else t, "a") for i, t in enumerate(own)]
+    rows += [(100 + i, f"line of b\n{t} b", "b") for i, t in enumerate(own[:6])] + [(200 + i, f"{own[9]} b", "b") for i in range(294)]
+    out = dict(corpus_pipeline.STAGES)["quality rules"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), DATA)
+    text = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert len(text) == len(rows)
+    assert [i for i in text if "a common line" in text[i]] == [0] and [i for i in text if "line of b" in text[i]] == [100]
