@@ -100,8 +100,10 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array<int>). ``path`` names the ranks, read on the driver."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", check: bool = False) -> DataFrame:
+    """``docs`` with a column of token ids (array<int>). ``path`` names the ranks, read on the driver.
+
+    With ``check`` all ids are decoded again, and a text that they do not give back fails the job."""
     table = _shipped(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 piece = b.slice(at, ROWS)
-                out = [np.array(codec.encode(x or ""), np.int32) for x in piece.column(text).to_pylist()]
+                texts = [x or "" for x in piece.column(text).to_pylist()]
+                out = [np.array(codec.encode(x), np.int32) for x in texts]
+                if check and any(codec.decode(i.tolist()) != x.encode() for i, x in zip(out, texts, strict=True)):
+                    raise ValueError("token ids do not decode to their text")
                 ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
                 packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, packed], [*b.schema.names, ids])

@@ -457,3 +457,15 @@ def test_pipeline_cuts_a_common_line_of_a_small_source(spark):
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert len(text) == len(rows)
     assert [i for i in text if "a common line" in text[i]] == [0] and [i for i in text if "line of b" in text[i]] == [100]
+
+
+def test_pipeline_decodes_its_ids(spark, monkeypatch):
+    import corpus_pipeline
+    import public_tokenizers as P
+
+    docs = spark.createDataFrame([(1, "some words 12", "s"), (2, None, "s")], "doc_id long, text string, source string")
+    last = dict(corpus_pipeline.STAGES)["byte-level BPE"]
+    assert last(spark, docs, DATA).count() == 2
+    monkeypatch.setattr(P, "PATTERN", "[a-z]+")  # drops what is no letter
+    with pytest.raises(Exception, match="do not decode"):
+        last(spark, docs, DATA).collect()
