@@ -8,8 +8,8 @@ one more word standing for all unseen ones. So the states' parameters have a fix
 of the corpus keeps its own count, however large the vocabulary gets.
 
 Training: word counts over all training rows (counted in each task, then summed by word); a start for the
-states from Baum-Welch rounds over a bounded sample; then ``ROUNDS`` Baum-Welch rounds over all training
-rows, each task adding up expected counts and the sums meeting by class. Scoring: the scaled forward
+states from the corpus' class shares, seeded unevenly; then ``ROUNDS`` Baum-Welch rounds over all training
+rows, each task adding up expected counts and the sums meeting by class. The rows' classes are written once. Scoring: the scaled forward
 recursion gives the likelihood of every whole text, with no cut. Counts of frequent words (at most
 ``COMMON``) are sent to the tasks; those of the others reach the texts by a join on the word.
 
@@ -34,12 +34,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan.sources.scratch import materialize
 
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 14
 CLASS_SHARE, SUFFIX_CLASSES, SUFFIX_BYTES = 8192, 8192, 4
 COMMON = 1 << 18
 HELD_MOD, HELD_AT = 7, 2
-#: Documents and rounds of the start; tokens handled at once; tokens of a part in training.
-START_DOCS, START_TOKENS, START_ROUNDS = 2000, 600_000, 12
+#: Tokens handled at once; tokens of a part in training.
 BATCH, PART, FLUSH = 500_000, 100_000, 300_000
 #: Weight of the corpus' class shares in a state's emissions, and of even moves in its transitions.
 EMISSION_PRIOR, MOVE_PRIOR = 500.0, 5.0
@@ -162,15 +161,12 @@ def _parts(classes: np.ndarray) -> list[np.ndarray]:
     return [classes[at : at + PART] for at in range(0, len(classes), PART)]
 
 
-def _started(sample: list[np.ndarray], share: np.ndarray, states: int) -> Model:
-    """States from a bounded sample: uneven emissions and sticky moves, then Baum-Welch rounds."""
+def _seeded(share: np.ndarray, states: int) -> Model:
+    """The start: uneven emissions around the corpus' class shares, and sticky moves."""
     rng = np.random.default_rng(7)
     emit = share[:, None] * rng.gamma(1.0, size=(len(share), states))
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS if sample else 0):
-        model = maximized(*expected_counts(model, sample), share)
-    return model
+    return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 @dataclass
@@ -211,13 +207,40 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _round(rows: DataFrame, sent, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all of ``rows``, summed across partitions by class."""
+def _classed(rows: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """(c): the classes of every text of ``rows``, in parts."""
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(sent.value)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], ["c"])
+
+        n = 0
+        for b in batches:
+            for x in b.column("text").to_pylist():
+                for part in _parts(classes.of(tokens(x))):
+                    held.append(part)
+                    n += len(part)
+                    if n >= BATCH:
+                        yield out()
+                        held.clear()
+                        n = 0
+        if held:
+            yield out()
+
+    return rows.select("text").mapInArrow(run, "c array<int>")
+
+
+def _round(parts: DataFrame, sent, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over all of ``parts``, summed across partitions by class."""
     names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = sent.value
-        classes = Classes(frequent)
+        model = sent.value
         size = len(model.emit)
         total = np.zeros((size + states + 1, states))
         held: list[np.ndarray] = []
@@ -231,21 +254,21 @@ def _round(rows: DataFrame, sent, states: int) -> tuple[np.ndarray, np.ndarray,
 
         n = 0
         for b in batches:
-            for x in b.column("text").to_pylist():
-                own = classes.of(tokens(x))
-                for part in _parts(own):
-                    held.append(part)
-                    n += len(part)
-                    if n >= BATCH:
-                        add()
-                        n = 0
+            lists = b.column("c")
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for low, high in zip(at[:-1], at[1:], strict=True):
+                held.append(values[low:high])
+                n += high - low
+                if n >= BATCH:
+                    add()
+                    n = 0
         if held:
             add()
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(states))], ["row", *names])
 
-    sums = rows.select("text").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    size = len(sent.value[0].emit)
+    sums = parts.mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    size = len(sent.value.emit)
     total = np.zeros((size + states + 1, states))
     total[sums.column("row").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], axis=1)
     return total[size + states], total[size : size + states], total[:size]
@@ -269,17 +292,11 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: i
     size[1 : classes.first] += [common[w] + 1 for w in frequent]
     size[classes.first + rest.column("k").to_numpy()] += rest.column("n").to_numpy() + rest.column("v").to_numpy()
     share = size / size.sum()
-    # the start: documents in the order of a hash, as many as the sample holds
-    step = max(1, ends // START_DOCS)
-    sample, left = [], START_TOKENS
-    for x in rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(step)) == 0).select("text").limit(2 * START_DOCS).toArrow().column("text").to_pylist():
-        own = classes.of(tokens(x))[: min(left, PART // 20)]
-        sample += [own] if len(own) else []
-        left -= len(own)
-    model = _started(sample, share, states)
+    model = _seeded(share, states)
+    parts = materialize(_classed(rows, frequent), "hmm-classes")
     for _ in range(rounds if ends else 0):
-        sent = spark.sparkContext.broadcast((model, frequent))
-        model = maximized(*_round(rows, sent, states), share)
+        sent = spark.sparkContext.broadcast(model)
+        model = maximized(*_round(parts, sent, states), share)
         sent.unpersist()
     return Trained(model, frequent, common, size, n, v, ends, counts)
 

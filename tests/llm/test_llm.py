@@ -98,6 +98,23 @@ def test_hmm_beats_its_base_on_held_out_text(spark):
     assert rows[0] > rows[1]
 
 
+def test_hmm_rounds_cover_all_tokens_of_all_rows(spark):
+    # the late tokens of a long text and every other training row count in every round
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(n))) for i, n in enumerate([7000, 5, 0, 300, 20, 40, 9000])]
+    trained = hmm_lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=3, rounds=2)
+    classes = hmm_lm.Classes(trained.frequent)
+    seqs = [classes.of(hmm_lm.tokens(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    share = trained.class_size / trained.class_size.sum()
+    gen = np.random.default_rng(7)
+    emit = share[:, None] * gen.gamma(1.0, size=(len(share), 3))
+    move = np.full((3, 3), 0.1 / 3) + 0.9 * np.eye(3)
+    model = hmm_lm.Model(np.full(3, 1 / 3), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    for _ in range(2):
+        model = hmm_lm.maximized(*hmm_lm.expected_counts(model, seqs), share)
+    assert np.allclose(trained.model.move, model.move, atol=1e-4) and np.allclose(trained.model.emit, model.emit, atol=1e-4)
+
+
 # ---------------------------------------------------------------- 2
 
 
