@@ -72,6 +72,13 @@ def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     return norm.groupBy("_n").agg(F.min(F.struct(ident, "text")).alias("x")).select(f"x.{ident}", "x.text")
 
 
+def membership(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, representative) for every document: with the pairs of ``representatives`` it gives all pairs."""
+    norm = docs.select(F.col(ident), F.sha2(normalized(F.col(text)), 256).alias("_n"))
+    low = norm.groupBy("_n").agg(F.min(ident).alias("representative"))
+    return norm.join(low.withColumnRenamed("_n", "_k"), F.col("_n").eqNullSafe(F.col("_k"))).select(ident, "representative")
+
+
 def exact_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs at least that similar, none missed.
 
@@ -107,13 +114,12 @@ def families(docs: DataFrame, ident: str = "doc_id", text: str = "text", thresho
     """(ident, group_id): families joined by equal normalized text, equal digit-masked text, or near-duplicate
     masked texts; the id is the smallest member's.
 
-    One representative stands for each masked text in the band join, so repeated templates are not paired up.
+    One representative stands for each masked text in the pair join, which misses no pair, so repeated templates are not paired up.
     """
     base = docs.select(F.col(ident).alias("id"), normalized(F.col(text)).alias("norm"), masked(F.col(text)).alias("mask"))
     own = materialize(base.select("id", F.sha2("norm", 256).alias("norm"), F.sha2("mask", 256).alias("key"), "mask"), "family-keys")
     reps = own.groupBy("key").agg(F.min("id").alias("rep"), F.first("mask").alias("mask"))
-    signed = materialize(with_signature(reps.select(F.col("rep").alias("id"), "mask"), "mask"), "family-signed")
-    near = verified(lsh_pairs(signed, None, "id"), signed, signed, "id", threshold).select("a", "b")
+    near = exact_pairs(materialize(reps.select(F.col("rep").alias("id"), "mask"), "family-masks"), "id", "mask", threshold).select("a", "b")
     star = lambda c: own.join(own.groupBy(c).agg(F.min("id").alias("b")), c).where("id <> b").select(F.col("id").alias("a"), "b")
     found = connected_components(near.unionByName(star("key")).unionByName(star("norm")), "a", "b")
     return own.select("id").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(ident), F.coalesce("component", "id").alias("group_id"))

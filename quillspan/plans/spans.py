@@ -709,6 +709,12 @@ def near_duplicate_pairs(spark, d):
     return similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id")
 
 
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), ' ')) AS representative FROM documents", plain=True)
+def text_representatives(spark, d):
+    """The documents that each document of near_duplicate_pairs and shingle_jaccard_pairs stands for."""
+    return similarity.membership(read(spark, d, "documents"))
+
+
 @query()
 def template_families(spark, d):
     return similarity.families(read(spark, d, "documents"))

@@ -183,3 +183,22 @@ def test_streamed_reassembly(spark, tmp_path):
     q = upsert_batches(segment_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert [r["full_text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a\nb"]
+
+
+def test_families_and_membership_lose_no_document(spark):
+    import random
+
+    from quillspan.operators import similarity
+
+    rng = random.Random(3)
+    grams = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    while True:  # similar texts that share no band
+        a = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+        b = a[:10] + ["zz"] + a[11:50] + ["yy"] + a[51:]
+        s, t = similarity.signature(grams(a)), similarity.signature(grams(b))
+        if all(s[i : i + 2] != t[i : i + 2] for i in range(0, 8, 2)):
+            break
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b).upper())], "doc_id long, text string")
+    assert len(set(grams(a)) & set(grams(b))) >= 0.8 * len(set(grams(a)) | set(grams(b)))
+    assert {(r[0], r[1]) for r in similarity.families(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert {(r[0], r[1]) for r in similarity.membership(docs).collect()} == {(1, 1), (2, 2), (3, 2)}
