@@ -5,6 +5,9 @@ document. The cross-document rule hashes every normalised line, counts in how ma
 (here: ``source``) it stands, and removes lines above a limit; a document that keeps too few of its
 words is rejected as depleted.
 
+The limit is a share of a host's distinct texts, above a floor of a handful, and lines are counted by distinct
+texts too, so it works alike at every size and copies do not raise it.
+
 Defined results: a null or empty text has no words and fails the base rules; null sources form one host;
 a null ``doc_id`` is an id like any other; repeated rows are judged alike (each row gives a row); exact
 copies of a text count as one document of a host; extra columns are ignored (or kept, by ``filter``).
@@ -21,8 +24,8 @@ from quillspan.sources.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A line is above its host's limit in more than this many documents and more than this share of them.
-LINE_DOCS, LINE_SHARE = 100, 0.02
+#: A line is above its host's limit in more than this many distinct texts and more than this share of them.
+LINE_DOCS, LINE_SHARE = 5, 0.02
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 #: Over-limit lines are broadcast up to this many rows, and joined by shuffle beyond.
@@ -99,62 +102,57 @@ def normalized(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
-    """One row per document and line with a word: its hash and words."""
-    line = F.explode(F.transform(F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD)), lambda x: bind(normalized(x), lambda n: F.struct(F.xxhash64(n).alias("line"), (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("n")))))
-    return keyed.select("_id", "_host", "_hash", line.alias("x")).select("_id", "_host", "_hash", "x.line", "x.n")
-
+def _lines() -> Column:
+    """Hash and words of every line of ``_text`` with a word."""
+    with_word = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
+    return F.transform(with_word, lambda x: bind(normalized(x), lambda n: F.struct(F.xxhash64(n).alias("line"), (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("n"))))
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, of_texts: bool = False) -> DataFrame:
-    """(host, line, first_id): lines above their host's limit, and the smallest document id that keeps each.
 
-    ``line_share`` is a share of the host's rows, or with ``of_texts`` of its distinct texts, as lines are counted."""
-    keyed = _keyed(docs, text, host, doc_id).select("_id", "_host", "_hash", "_text")
-    members = keyed.select("_host", "_hash").distinct() if of_texts else keyed
-    sizes = members.groupBy("_host").agg(F.count("*").alias("n_host")).select(F.col("_host").alias("h"), "n_host")
-    counts = _lines(keyed).groupBy("_host", "line", "_hash").agg(F.min("_id").alias("first")).groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first_id"))
+def _frequent(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """(_host, line, first_id): lines above their host's limit, and the smallest document id, which keeps each.
+    ``rows``: _id, _host, _hash, lines."""
+    sizes = rows.select("_host", "_hash").distinct().groupBy("_host").agg(F.count("*").alias("n_host")).select(F.col("_host").alias("h"), "n_host")
+    each = rows.select("_id", "_host", "_hash", F.explode("lines").alias("x")).select("_id", "_host", "_hash", "x.line")
+    counts = each.groupBy("_host", "line", "_hash").agg(F.min("_id").alias("first")).groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first_id"))
     over = counts.where(F.col("n_docs") > line_docs).join(sizes, F.col("h") == F.col("_host"))
-    return over.where(F.col("n_docs") > line_share * F.col("n_host")).select("_host", "line", "first_id", "n_docs")
-
+    return materialize(over.where(F.col("n_docs") > line_share * F.col("n_host")).select("_host", "line", "first_id"), "lines")
 
-def _removals(keyed: DataFrame, lines: DataFrame) -> DataFrame:
-    """(_id, _host, _hash, lost): words that each document loses with its over-limit lines.
 
-    Keyed by id, host and text, so repeated rows share one entry and no key gathers many documents.
-    """
+def _hits(rows: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line, n): the over-limit lines that documents lose, one row for each place."""
     if lines.count() <= BROADCAST_LINES:
         lines = F.broadcast(lines)
-    hit = _lines(keyed).join(lines, ["_host", "line"]).where("_id <> first_id")
-    rows = keyed.select("_id", "_host", "_hash").groupBy("_id", "_host", "_hash").agg(F.count("*").alias("_copies"))
-    return hit.groupBy("_id", "_host", "_hash").agg(F.sum("n").alias("lost")).join(rows, ["_id", "_host", "_hash"]).withColumn("lost", (F.col("lost") / F.col("_copies")).cast("long")).drop("_copies")
+    each = rows.select(*dict.fromkeys([*keys, "_id", "_host"]), F.explode("lines").alias("x")).select("*", "x.line", "x.n")
+    return each.join(lines, ["_host", "line"]).where("_id <> first_id").select(*keys, "line", "n")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", **limits) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """Counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_line_words_removed, base_failed, kept."""
-    lines = materialize(frequent_lines(docs, text, host, doc_id, **limits), "lines")
+    n_repeat_words, n_line_words_removed, base_failed, kept.
+
+    Texts are read once; their counts and line hashes are written, each row under a number of its own."""
     keyed = _keyed(docs, text, host, doc_id)
-    lost = _removals(keyed.select("_id", "_host", "_hash", "_text"), lines)
-    stats = keyed.select(F.col(doc_id).alias("doc_id"), "_id", "_host", "_hash", base_stats(F.col("_text")).alias("s")).select("doc_id", "_id", "_host", "_hash", "s.w.*", "s.n_symbols", "s.n_dup_lines")
-    joined = stats.join(lost, ["_id", "_host", "_hash"], "left").withColumn("n_line_words_removed", F.coalesce("lost", F.lit(0).cast("long")))
+    rows = keyed.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), "_id", "_host", "_hash", base_stats(F.col("_text")).alias("s"), _lines().alias("lines"))
+    rows = materialize(rows, "quality")
+    lost = _hits(rows, _frequent(rows, line_docs, line_share), "_row").groupBy("_row").agg(F.sum("n").cast("long").alias("lost"))
+    stats = rows.select("_row", "doc_id", "s.w.*", "s.n_symbols", "s.n_dup_lines")
+    joined = stats.join(lost, "_row", "left").withColumn("n_line_words_removed", F.coalesce("lost", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words_removed") >= MIN_LEFT * F.col("n_words")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words_removed", failed.alias("base_failed"), (~failed & left).alias("kept"))
 
 
-def filter(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", **limits) -> DataFrame:
+def filter(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns as they were but the text: over-limit lines are cut out.
 
-    One scan decides and edits: words lost to over-limit lines reach a document by its id, host and text, so no
-    key gathers many documents.
+    One scan takes the line hashes, another decides and edits: the lines to cut reach a document by its id, host
+    and text, so no key gathers many documents.
     """
-    lines = materialize(frequent_lines(docs, text, host, doc_id, **limits), "lines")
     own = docs.select(*[F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"x_{docs.columns.index(c)}" for c in (text, host, doc_id)}
     keyed = _keyed(own, at[text], at[host], at[doc_id])
-    small = lines.count() <= BROADCAST_LINES
-    hit = _lines(keyed.select("_id", "_host", "_hash", "_text")).join(F.broadcast(lines) if small else lines, ["_host", "line"]).where("_id <> first_id")
-    cut = hit.groupBy("_id", "_host", "_hash").agg(F.collect_set("line").alias("_cut"))
+    rows = materialize(keyed.select("_id", "_host", "_hash", _lines().alias("lines")), "quality")
+    cut = _hits(rows, _frequent(rows, line_docs, line_share), "_id", "_host", "_hash").groupBy("_id", "_host", "_hash").agg(F.collect_set("line").alias("_cut"))
     # a generator, not a filter: the counts of a text are then computed once
     fine = bind(base_stats(F.col("_text")), lambda s: F.struct(s["w"]["n_words"].alias("n"), s["w"]["n_repeat_words"].alias("r")))
     judged = keyed.withColumn("_s", F.explode(F.filter(F.array(fine), lambda s: (s["n"] >= MIN_WORDS) & (100 * s["r"] <= MAX_REPEAT_PERCENT * s["n"]))))

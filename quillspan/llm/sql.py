@@ -99,8 +99,8 @@ WITH d AS (
 ), each_line AS (
   SELECT k, id, host, text, unnest(list_transform(lines, lambda x: trim(regexp_replace(lower(x), '[\\x20\\x09-\\x0D]+', ' ', 'g')))) AS line FROM d
 ), over_limit AS (
-  SELECT host, line, min(id) AS first_id FROM each_line JOIN (SELECT host, count(*) AS n_host FROM d GROUP BY host) USING (host)
-  GROUP BY host, line HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.02 * any_value(n_host)
+  SELECT host, line, min(id) AS first_id FROM each_line JOIN (SELECT host, count(DISTINCT text) AS n_host FROM d GROUP BY host) USING (host)
+  GROUP BY host, line HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > 0.02 * any_value(n_host)
 ), lost AS (
   SELECT k, sum(len(string_split(line, ' '))) AS n FROM each_line JOIN over_limit USING (host, line) WHERE id <> first_id GROUP BY k
 ), st AS (
