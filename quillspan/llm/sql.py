@@ -57,10 +57,9 @@ FROM parts LEFT JOIN (SELECT * FROM met WHERE n = 1) m USING (k)
 """
 
 MIXING = f"""
-WITH d AS (
-  SELECT doc_id, source, len({_WORDS}) AS size, hash(coalesce(text, '')) AS tie,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents
+WITH t AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(text, '')) AS h FROM documents
+), d AS (
+  SELECT *, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || h), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM t
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
          2.0 * sum(size)::DOUBLE AS cap FROM d GROUP BY source
@@ -71,18 +70,32 @@ WITH d AS (
   FROM s
 ), wat AS (SELECT arg_min(level, r) AS water FROM lev WHERE level <= r), g AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, w * water) END AS target FROM lev, wat
-), h AS (
+), f AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g
 ), q AS (
-  SELECT *, target - whole * source_size AS rest FROM h
+  SELECT *, target - whole * source_size AS rest FROM f
+), tried AS (
+  SELECT source, size, (rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(n * size * sqrt(size)) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS lv
+  FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size) c JOIN (SELECT source AS k, rest FROM q) ON source IS NOT DISTINCT FROM k
+), lam AS (SELECT source, arg_max(lv, size) AS lv FROM tried WHERE lv * sqrt(size) <= 1 GROUP BY source
+), odds AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.rest, least(1.0, coalesce(lam.lv, 0.0) * sqrt(size)) AS p
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN lam ON d.source IS NOT DISTINCT FROM lam.source
 ), ranked AS (
-  SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.rest,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p <= 0 THEN 1.0 ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS v FROM odds
+), sums AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY v, u, size, h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked
+), inside AS (
+  SELECT *, size > 0 AND before + size / 2.0 <= rest AS more FROM sums
+), open AS (
+  SELECT *, rest - coalesce(sum(CASE WHEN more THEN size END) OVER (PARTITION BY source), 0) AS gap FROM inside
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY source, more OR size = 0 ORDER BY abs(gap - size), v, u, size, h, doc_id NULLS FIRST) AS place FROM open
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  CASE WHEN size > 0 THEN (least(whole + (CASE WHEN before < rest AND before + size / 2.0 <= rest THEN 1 ELSE 0 END), 2) * size)::BIGINT ELSE 0 END AS taken
-FROM ranked
+  CASE WHEN size > 0 THEN (least(whole + (more OR (place = 1 AND gap > 0 AND abs(gap - size) < gap))::INT, 2) * size)::BIGINT ELSE 0 END AS taken
+FROM near
 """
 
 QUALITY_RULES = f"""
