@@ -381,7 +381,8 @@ def decode_pair_total(spark, d):
 @query()
 def slot_marginals(spark, d):
     def kernel(row):
-        spans, _, mu = decode.slot_marginals(*_spans(row), int(row["k"]))
+        spans, p = _spans(row)
+        mu = decode.slot_marginals(spans, p, int(row["k"]))
         return [{"doc_id": row["doc_id"], "start": s[0], "end": s[1], "label": s[2], "total": round(float(m.sum()), 9)} for s, m in zip(spans, mu, strict=True)]
 
     return decode.per_document(pools(spark, d), kernel, "doc_id long, start int, end int, label string, total double")
@@ -417,7 +418,7 @@ def lattices(spark, d) -> DataFrame:
 
 
 def _lattice(row) -> decode.Lattice:
-    return decode.Lattice(int(row["n"]), np.stack([row["a"], row["b"]], axis=1), np.stack(list(row["energies"])))
+    return decode.Lattice(int(row["n"]), np.stack([row["a"], row["b"]], axis=1), row["energies"])
 
 
 @query()
@@ -646,31 +647,96 @@ def bio_spans(spark, d):
     return decode.per_document(tagged(spark, d), kernel, "doc_id long, start int, end int, label string")
 
 
-@query()
+def candidate_texts(spark, d) -> DataFrame:
+    return with_text(spark, d, relations(spark, d)[2])
+
+
+IN_WORD, IN_FIELD = features.IN_WORD, features.IN_FIELD
+
+
+def _sql_flags(names: dict[str, str]) -> str:
+    return ", ".join(f"coalesce({c}, false)::INT::DOUBLE AS {n}" for n, c in names.items())
+
+
+def _sql_before(pattern: str, within: str) -> str:
+    inside = f"regexp_matches(before, '^{within}$') AND regexp_matches(substr(v, 1, 1), '^{within}$')"
+    return f"regexp_extract_all(lower(CASE WHEN coalesce({inside}, false) THEN regexp_replace(substr(text, 1, start), '{within}+$', '') ELSE substr(text, 1, start) END), '{pattern}')"
+
+
+def _sql_after(pattern: str, within: str) -> str:
+    inside = f"regexp_matches(after, '^{within}$') AND regexp_matches(right(v, 1), '^{within}$')"
+    return f"regexp_extract_all(lower(CASE WHEN coalesce({inside}, false) THEN regexp_replace(substr(text, \"end\" + 1), '^{within}+', '') ELSE substr(text, \"end\" + 1) END), '{pattern}')"
+
+
+SPAN_FACTS = """, c AS (
+  SELECT cand.*, text, substr(text, start + 1, "end" - start) AS v, lower(substr(text, start + 1, "end" - start)) AS low, list_filter(string_split_regex(lower(substr(text, start + 1, "end" - start)), '\\s+'), lambda x: x <> '') AS ws,
+    CASE WHEN start > 0 THEN substr(text, start, 1) END AS before, CASE WHEN "end" < length(text) THEN substr(text, "end" + 1, 1) END AS after,
+    substr(text, greatest(0, start - 100) + 1, least(start, 100)) AS l100, substr(text, "end" + 1, 70) AS r70, substr(text, "end" + 1, 100) AS r100, ln(greatest(score, 1e-6)) - ln(greatest(1 - score, 1e-6)) AS odds
+  FROM cand JOIN documents USING (doc_id))"""
+COMMON_FLAGS = {
+    "has_digit": r"regexp_matches(v, '\p{Nd}')", "has_underscore": "contains(v, '_')", "has_at": "contains(v, '@')", "all_lower": r"regexp_matches(v, '\p{Ll}') AND NOT regexp_matches(v, '[\p{Lu}\p{Lt}]')", "all_upper": r"regexp_matches(v, '\p{Lu}') AND NOT regexp_matches(v, '[\p{Ll}\p{Lt}]')",
+    "title_case": r"regexp_matches(v, '[\p{Lu}\p{Lt}]') AND NOT regexp_matches(v, '(?:^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}') AND NOT regexp_matches(v, '[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]')",
+    "left_identifier": f"regexp_matches(before, '^{IN_WORD}$')", "right_identifier": f"regexp_matches(after, '^{IN_WORD}$')",
+}
+SPACES_AT_ENDS = {"starts_space": r"regexp_matches(v, '^\s')", "ends_space": r"regexp_matches(v, '\s$')"}
+LEFT_TITLE = {k: features.ends_with_word(v) for k, v in features.TITLES_BEFORE.items()}
+SPARSE_SQL = f"""{SPAN_FACTS}, n AS (SELECT *, list_reverse(regexp_extract_all(lower(l100), '{features.FIELD_OR_MARK}')) AS lw, regexp_extract_all(lower(r70), '{features.FIELD_OR_MARK}')[1:4] AS rw FROM c)
+SELECT doc_id, start, "end", label, round(start / greatest(1, length(text)), 9) AS position, 1.0::DOUBLE AS bias, round(odds / 4, 9) AS prior_logit, round(least(length(v), 150) / 30, 9) AS chars, round(least(len(ws), 15) / 3, 9) AS words, least(length(v) - length(replace(v, chr(10), '')), 3)::DOUBLE AS newlines,
+  {_sql_flags(COMMON_FLAGS | SPACES_AT_ENDS | {"starts_title": f"regexp_matches(v, '{features.TITLE_START}')", "left_title": f"regexp_matches(lower(l100), '{LEFT_TITLE['sparse']}')"})},
+  md5(array_to_string(list_sort(['phrase=' || low] || CASE WHEN len(ws) > 0 THEN ['first=' || ws[1], 'last=' || ws[-1]] ELSE ['empty'] END || list_transform(lw[1:5], lambda x, i: 'L' || (i - 1) || '=' || x) || list_transform(rw, lambda x, i: 'R' || (i - 1) || '=' || x)
+    || ['Lbigram=' || array_to_string(list_reverse(lw[1:2]), ' '), 'Rbigram=' || array_to_string(rw[1:2], ' '), 'left_char=' || coalesce(before, 'BOS'), 'right_char=' || coalesce(after, 'EOS')]), chr(10))) AS names FROM n"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(SPARSE_SQL)
 def candidate_features(spark, d):
-    g, _, c = relations(spark, d)
-    per = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "score"))).alias("spans"))
+    out = features.sparse_features(candidate_texts(spark, d))
+    return _rounded(out.select("doc_id", "start", "end", "label", "numbers.*", F.md5(F.array_join(F.array_sort("names"), "\n")).alias("names")))
+
+
+DENSE_FLAGS = {
+    "has_newline": "contains(v, chr(10))", "left_title": f"regexp_matches(lower(l100), '{LEFT_TITLE['dense']}')", "left_username": f"regexp_matches(lower(l100), '{features.whole_word(features.USERNAME_WORDS)}')",
+    "left_field": f"regexp_matches(lower(l100), '{features.whole_word(features.FIELD_WORDS)}')", "left_colon": r"regexp_matches(lower(l100), '[:=]\s*$')",
+} | {f"{side}_{w}": f"regexp_matches(lower({c}), '{features.whole_word(w)}')" for w in features.CONTEXT_WORDS for side, c in (("before", "l100"), ("after", "r100"))}
+DENSE_SQL = f"""{SPAN_FACTS}, near AS (SELECT *, coalesce({_sql_before(IN_FIELD + "+", IN_FIELD)}[-1], '') AS nl, coalesce({_sql_after(IN_FIELD + "+", IN_FIELD)}[1], '') AS nr, coalesce(ws[1], '') AS w1, coalesce(ws[-1], '') AS w9 FROM c)
+, counts AS (SELECT 'phrase' AS kind, low AS word, count(*) AS n FROM near GROUP BY 2 UNION ALL SELECT 'first', w1, count(*) FROM near GROUP BY 2 UNION ALL SELECT 'last', w9, count(*) FROM near GROUP BY 2 UNION ALL SELECT 'left', nl, count(*) FROM near GROUP BY 2)
+SELECT doc_id, start, "end", label, round(score, 9) AS score, list_position(['NAME','DATE','EMAIL','PHONE','ADDRESS','USERNAME','JOB_TITLE'], label)::DOUBLE - 1 AS label_id, round(odds, 9) AS log_odds, least(length(v), 200)::DOUBLE AS chars, least(len(ws), 20)::DOUBLE AS words,
+  round(start / greatest(1, length(text)), 9) AS position, round("end" / greatest(1, length(text)), 9) AS end_position, {_sql_flags(COMMON_FLAGS | DENSE_FLAGS)},
+  {", ".join(f"round(ln(1 + coalesce(n_{k}.n, 0)), 9) AS count_{k}" for k in ("phrase", "first", "last", "left"))}, 0.0::DOUBLE AS count_right
+FROM near {" ".join(f"LEFT JOIN counts n_{k} ON n_{k}.kind = '{k}' AND n_{k}.word = {c}" for k, c in (("phrase", "low"), ("first", "w1"), ("last", "w9"), ("left", "nl")))}"""
 
-    def kernel(row):
-        out = []
-        for s in row["spans"]:
-            sparse = features.candidate_features(row["text"], s["start"], s["end"], s["label"], s["score"])
-            out.append({"doc_id": row["doc_id"], "start": s["start"], "end": s["end"], "label": s["label"], "names": len(sparse), "total": round(sum(sparse.values()), 6)})
-        return out
 
-    return decode.per_document(with_text(spark, d, per), kernel, "doc_id long, start int, end int, label string, names int, total double")
+@query(DENSE_SQL)
+def dense_candidate_features(spark, d):
+    own = candidate_texts(spark, d)
+    # words to the left are counted as they stand there, words to the right not at all
+    left = own.select(F.lit("left").alias("kind"), F.coalesce(F.try_element_at(features.near_words(IN_FIELD + "+", IN_FIELD, 1)[0], F.lit(-1)), F.lit("")).alias("word")).groupBy("kind", "word").agg(F.count("*").alias("n"))
+    return _rounded(features.dense_features(own, features.phrase_counts(own).unionByName(left)))
+
+
+MIXED_FLAGS = {k: v for k, v in COMMON_FLAGS.items() if k != "has_digit"} | SPACES_AT_ENDS | {"has_title": "title <> ''", "left_newline": "before = chr(10)", "right_newline": "after = chr(10)", "left_title": f"regexp_matches(substr(text, greatest(0, start - 20) + 1, least(start, 20)), '{LEFT_TITLE['mixed']}')"}
+MIXED_SQL = f"""{SPAN_FACTS}, near AS (SELECT *, {_sql_before(features.WORD_OR_MARK, IN_WORD)} AS lw, {_sql_after(features.WORD_OR_MARK, IN_WORD)} AS rw, regexp_extract(v, '{features.TITLE_START}', 1) AS title,
+  regexp_replace(regexp_replace(regexp_replace(v, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g') AS kinds FROM c)
+SELECT doc_id, start, "end", round(score, 9) AS score, label, low AS phrase, coalesce(ws[1], '') AS first, coalesce(ws[-1], '') AS last, coalesce(lw[-1], '') AS left1, coalesce(lw[-2], '') AS left2, coalesce(rw[1], '') AS right1, coalesce(rw[2], '') AS right2,
+  array_to_string(lw[-2:], ' ') AS left_pair, array_to_string(rw[1:2], ' ') AS right_pair, left(array_to_string(list_transform(list_filter(generate_series(1, length(kinds)), lambda i: i = 1 OR kinds[i] <> kinds[i - 1]), lambda i: kinds[i]), ''), 40) AS shape, title,
+  round(odds, 9) AS log_odds, length(v)::DOUBLE AS chars, len(ws)::DOUBLE AS words, round(start / greatest(1, length(text)), 9) AS position, length(text)::DOUBLE AS text_chars, (length(v) - length(replace(v, chr(10), '')))::DOUBLE AS newlines, length(regexp_replace(v, '\\P{{Nd}}', '', 'g'))::DOUBLE AS digits, {_sql_flags(MIXED_FLAGS)} FROM near"""
+
+
+@query(MIXED_SQL)
+def mixed_candidate_features(spark, d):
+    return _rounded(features.mixed_features(candidate_texts(spark, d)))
 
 
 @query()
 def layout_features(spark, d):
     def kernel(row):
-        tokens = [(t["start"], t["end"]) for t in row["tokens"]]
-        layout, first = features.Layout(row["text"], tokens), {t[0]: i for i, t in enumerate(tokens)}
-        out = []
-        for s in row["spans"]:
-            a = first[s["start"]]
-            out.append({"doc_id": row["doc_id"], "start": s["start"], "control": [float(x) for x in layout.control(a, a + 1)], "structure": [float(x) for x in layout.structure(a, a + 1)]})
-        return out
+        tokens = np.array([(t["start"], t["end"]) for t in row["tokens"]])
+        at = np.searchsorted(tokens[:, 0], [s["start"] for s in row["spans"]])
+        control, structure = features.layout(row["text"], tokens, np.column_stack([at, at + 1]))
+        return [{"doc_id": row["doc_id"], "start": s["start"], "control": c, "structure": x} for s, c, x in zip(row["spans"], control.tolist(), structure.tolist(), strict=True)]
 
     return decode.per_document(with_text(spark, d, tagged(spark, d)), kernel, "doc_id long, start int, control array<double>, structure array<double>")
 

@@ -137,10 +137,11 @@ def test_beta(spark):
 def test_layout_and_titles():
     text = "Header: x\r\nline two\r\n\r\nBody\r\nlast"
     tokens = [(m.start(), m.end()) for m in __import__("re").finditer(r"\w+|[^\w\s]", text)]
-    layout = features.Layout(text, tokens)
-    assert layout.token_paragraph == [0, 0, 0, 0, 0, 1, 1] and len(layout.control(0, 2)) == 21 and len(layout.structure(0, 2)) == 19
-    assert layout.structure(2, 3)[7] == 1.0 and layout.structure(5, 6)[4] == 1.0
-    assert len(features.dense_features(text, 0, 6, 1, 0.5)) == 52
+    control, structure = features.layout(text, tokens, [(0, 2), (2, 3), (5, 6), (0, 7)])
+    assert control.shape == (4, 21) and structure.shape == (4, 19)
+    assert structure[:, 2].tolist() == [0, 0, 1, 0] and structure[:, 3].tolist() == [0, 0, 1, 1]  # paragraphs of both ends
+    assert structure[1, 7] == 1.0 and structure[2, 4] == 1.0
+    assert len(features.DENSE) == 52 and len(features.CATEGORIES) == 12 and len(features.NUMBERS) == 20
     assert annotations.adjust_titles("Dr. Smith", [(4, 9, "NAME")], "included") == [(0, 9, "NAME")]
     assert annotations.adjust_titles("Dr. Smith", [(0, 9, "NAME")], "excluded") == [(4, 9, "NAME")]
 
