@@ -203,3 +203,33 @@ def test_families_and_membership_lose_no_document(spark):
     assert len(set(grams(a)) & set(grams(b))) >= 0.8 * len(set(grams(a)) | set(grams(b)))
     assert {(r[0], r[1]) for r in similarity.families(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
     assert {(r[0], r[1]) for r in similarity.membership(docs).collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_streamed_lines_of_one_document_meet_across_batches(spark, tmp_path):
+    from quillspan.streaming.reassembly import segment_stream, upsert_batches
+
+    def send(rows, name):
+        spark.createDataFrame(rows, "doc_id long, segment_index int, text string").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        upsert_batches(segment_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+        return {r["doc_id"]: r["full_text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    assert send([(1, 1, "b"), (1, 0, "a"), (2, 1, "late"), (None, 0, "x")], "one") == {1: "a\nb"}
+    # a document grows, out of order and with a line that comes twice; the late first line of another arrives
+    assert send([(1, 3, "d"), (1, 2, "c"), (1, 1, "b"), (2, 0, "first"), (3, 0, None)], "two") == {1: "a\nb\nc\nd", 2: "first\nlate", 3: ""}
+    # a gap takes a document out, the missing line brings it back; a new text for an index replaces the old one
+    assert send([(2, 3, "z"), (3, 0, "now")], "three") == {1: "a\nb\nc\nd", 3: "now"}
+    assert send([(2, 2, "y")], "four") == {1: "a\nb\nc\nd", 2: "first\nlate\ny\nz", 3: "now"}
+
+
+def test_windowed_documents(spark, tmp_path):
+    import datetime as dt
+
+    from quillspan.streaming.reassembly import segment_stream, windowed_documents
+
+    at = dt.datetime(2026, 1, 1, 10, 30)
+    rows = [(1, 1, "b", at), (1, 0, None, at), (2, 1, "q", at), (9, 0, "later", at + dt.timedelta(hours=5))]
+    spark.createDataFrame(rows, "doc_id long, segment_index int, text string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    q = windowed_documents(segment_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("windowed").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(120)
+    got = {(r["doc_id"], r["full_text"], r["n_segments"], r["contiguous"]) for r in spark.table("windowed").collect()}
+    assert got == {(1, "\nb", 2, True), (2, "q", 1, False)}
