@@ -1,18 +1,21 @@
 """Span candidates: tokens, patterns, a phrase dictionary with smoothed precision, contexts.
 
 Offsets count code points and come from Python's regex engine, in Arrow batches over whole documents; no
-operator here shuffles text. The dictionary is sent to the tasks, so it is checked against a bound; beyond
+operator here shuffles text. The dictionary is sent to the tasks, so its bytes are checked against a bound; beyond
 it, phrases meet the text by an equi-join on word runs.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillspan.sources.scratch import materialize
+
 TOKEN = r"\w+|[^\w\s]"
 #: Candidate patterns as (label, pattern, score).
 PATTERNS = (
@@ -24,8 +27,9 @@ PATTERNS = (
 USERNAME_CONTEXT = r"(?i)\b(?:username|user\s+name|user\s+id|login\s+id)\s*(?:is\b|was\b|:|=)?\s*['\"`]?([A-Za-z0-9][A-Za-z0-9_.@-]{2,63})"
 USERNAME_SCORE = 0.5
 NO_USERNAME = frozenset({"is", "was", "for", "and", "the", "your", "will", "should", "has", "can"})
-#: Phrases sent to the tasks at most.
-MAX_PHRASES = 500_000
+#: Characters of the phrases sent to the tasks at most (a matcher takes some 100 bytes for each).
+MAX_CHARS = 2_000_000
+_MATCHERS: dict = {}
 
 
 def _scan(docs: DataFrame, doc: str, text: str, schema: str, found) -> DataFrame:
@@ -72,66 +76,67 @@ def username_hits(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     return _scan(docs, doc, text, "start int, end int, label string, score double", found)
 
 
-def _trie(phrases: list[str]) -> dict:
-    root: dict = {}
-    for p in phrases:
-        node = root
-        for c in p:
-            node = node.setdefault(c, {})
-        node[""] = p
-    return root
+def _matcher(phrases: list[str], key) -> "ahocorasick.Automaton":
+    """The automaton of some phrases; the last one is kept by each worker."""
+    import ahocorasick
+
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            found.add_word(p)
+        found.make_automaton()
+        _MATCHERS[key] = found
+    return _MATCHERS[key]
 
 
-def phrase_matches(text: str, trie: dict) -> Iterator[tuple[int, int, str]]:
+def phrase_matches(text: str, matcher) -> Iterator[tuple[int, int, str]]:
     """All occurrences of the phrases, nested ones too, that do not start or end inside a run of letters and digits."""
-    inner = [i > 0 and text[i - 1].isalnum() and c.isalnum() for i, c in enumerate(text)] + [False]
-    for a in range(len(text)):
-        if inner[a]:
+    for last, n in matcher.iter(text):
+        a, b = last + 1 - n, last + 1
+        if a and text[a].isalnum() and text[a - 1].isalnum():
+            continue
+        if b < len(text) and text[last].isalnum() and text[b].isalnum():
             continue
-        node, b = trie, a
-        while b < len(text) and (node := node.get(text[b])) is not None:
-            b += 1
-            if "" in node and not inner[b]:
-                yield a, b, node[""]
+        yield a, b, text[a:b]
 
 
 def dictionary_hits(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text: str = "text", phrase: str = "phrase") -> DataFrame:
     """(doc_id, start, end, phrase): every occurrence of every phrase. The phrases are sent to the tasks."""
-    known = phrases.select(phrase).where(F.length(phrase) > 0).distinct().limit(MAX_PHRASES + 1).toArrow().column(0).to_pylist()
-    if len(known) > MAX_PHRASES:
+    own = phrases.select(F.col(phrase).alias("p")).where(F.length("p") > 0).distinct()
+    if (own.agg(F.sum(F.length("p"))).first()[0] or 0) > MAX_CHARS:
         return dictionary_join(docs, phrases, doc, text, phrase)
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(known))
-    tries: list[dict] = []
+    sent = docs.sparkSession.sparkContext.broadcast(sorted(own.toArrow().column(0).to_pylist()))
+    key = uuid.uuid4().hex
 
     def found(t: str):
-        if not tries:
-            tries.append(_trie(sent.value))
-        return phrase_matches(t, tries[0])
+        return phrase_matches(t, _matcher(sent.value, key)) if sent.value else ()
 
     return _scan(docs, doc, text, "start int, end int, phrase string", found)
 
 
 def dictionary_join(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text: str = "text", phrase: str = "phrase", runs: int = 8) -> DataFrame:
     """As ``dictionary_hits`` for a dictionary of any size: substrings that run from one edge of letters and
-    digits to another, up to the longest phrase, meet the phrases by an equi-join. Phrases longer than
-    ``runs`` pieces are met by their first pieces and then compared in full."""
+    digits to another meet the phrases by an equi-join. Phrases of more than ``runs`` pieces are met by their first
+    pieces; such a substring carries the text that follows, as far as the longest phrase could reach, to compare."""
+    pieces = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
+    own = phrases.select(F.col(phrase).alias("p")).where(F.length("p") > 0).distinct()
+    heads = own.withColumn("head", F.array_join(F.slice(F.regexp_extract_all("p", F.lit(f"({pieces})"), F.lit(1)), 1, runs), ""))
+    longest = heads.agg(F.max(F.length("p") - F.length("head"))).first()[0] or 0
     piece = re.compile(r"[^\W_]+|[\W_]")
 
     def found(t: str):
         at = [m.span() for m in piece.finditer(t)]
         for i in range(len(at)):
             for j in range(i, min(i + runs, len(at))):
-                yield at[i][0], at[j][1], t[at[i][0] : at[j][1]]
+                b = at[j][1]
+                yield at[i][0], t[at[i][0] : b], t[b : b + longest + 1] if j == i + runs - 1 else ""
 
-    cut = F.udf(lambda p: "".join(piece.findall(p)[:runs]), "string")
-    heads = phrases.select(F.col(phrase).alias("p")).where(F.length("p") > 0).distinct().withColumn("head", cut("p"))
-    grams = _scan(docs, doc, text, "start int, last int, gram string", found)
-    met = grams.join(heads, F.col("gram") == F.col("head")).select("doc_id", "start", F.col("p").alias("phrase"))
-    whole = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_t"))
-    full = met.join(whole, "doc_id").withColumn("end", F.col("start") + F.length("phrase"))
-    same = F.substring(F.col("_t"), F.col("start") + 1, F.length("phrase")) == F.col("phrase")
-    edge = F.concat(F.substring(F.col("_t"), F.col("end"), F.lit(1)), F.substring(F.col("_t"), F.col("end") + 1, F.lit(1))).rlike(r"(?U)^[^\W_]{2}$")
-    return full.where(same & ~edge).select("doc_id", "start", "end", "phrase")
+    grams = _scan(docs, doc, text, "start int, gram string, rest string", found)
+    met = grams.join(heads, F.col("gram") == F.col("head")).withColumn("more", F.expr("substring(p, length(head) + 1)"))
+    edge = F.concat(F.substring("p", -1, 1), F.substring("rest", F.length("more") + 1, F.lit(1))).rlike(r"^[\p{L}\p{N}]{2}$")
+    hits = met.where((F.length("more") == 0) | (F.startswith("rest", "more") & ~edge))
+    return hits.select("doc_id", "start", (F.col("start") + F.length("p")).alias("end"), F.col("p").alias("phrase"))
 
 
 def fit_dictionary(docs: DataFrame, gold: DataFrame) -> DataFrame:
@@ -141,10 +146,13 @@ def fit_dictionary(docs: DataFrame, gold: DataFrame) -> DataFrame:
     among all annotations if none is; the score is (positives + 1) / (occurrences + 2).
     ``docs``: doc_id, text; ``gold``: doc_id, start, end, label, value.
     """
+    gold = materialize(gold.select("doc_id", "start", "end", "label", "value"), "dictionary-gold")
     hits = dictionary_hits(docs, gold.select(F.col("value").alias("phrase")))
-    met = hits.join(gold.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end"], "left")
-    seen = hits.groupBy("phrase").agg(F.count("*").alias("occurrences"))
-    good = met.where("label is not null").groupBy("phrase", "label").agg(F.count("*").alias("n"))
+    marks = gold.groupBy("doc_id", "start", "end").agg(F.collect_list("label").alias("labels"))
+    # texts are scanned once: what is left is one row for each phrase and set of labels
+    met = materialize(hits.join(marks, ["doc_id", "start", "end"], "left").groupBy("phrase", "labels").agg(F.count("*").alias("n")), "dictionary-met")
+    seen = met.groupBy("phrase").agg(F.sum("n").alias("occurrences"))
+    good = met.select("phrase", F.explode("labels").alias("label"), "n").groupBy("phrase", "label").agg(F.sum("n").alias("n"))
     best = lambda d: d.groupBy("phrase").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("label").alias("l"))).alias("b"))
     hit = best(good).select("phrase", F.col("b.l").alias("hit_label"), (-F.col("b.m")).alias("positives"))
     every = best(gold.groupBy(F.col("value").alias("phrase"), "label").agg(F.count("*").alias("n"))).select("phrase", F.col("b.l").alias("all_label"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan.operators.prefix import running_total
+from quillspan.sources.scratch import materialize
 
 
 def order_hash(seed: int, key: Column, tag: str = "") -> Column:
@@ -37,16 +43,18 @@ def assign_splits(records: DataFrame, seed: int, group: str = "duplicate_group",
         F.count("*").alias("size"), F.min_by("stratum", ident).alias("stratum"),
         F.when(F.max(F.col("fixed") == "train"), "train").when(F.max((F.col("fixed") == "dev") | (F.col("fixed") == "reviewed")), "dev").alias("role"),
     )
-    per = Window.partitionBy("stratum")
-    groups = groups.withColumns({"total": F.sum("size").over(per), "dev_fixed": F.coalesce(F.sum(F.when(F.col("role") == "dev", F.col("size"))).over(per), F.lit(0))})
-    groups = groups.withColumn("target", F.when(F.col("total") >= least, F.greatest(F.lit(1), F.bround(F.col("total") * share).cast("long"))).otherwise(0))
-    free = groups.where("role is null").withColumn("h", order_hash(seed, F.col(group)))
-    run = Window.partitionBy("stratum").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    free = free.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
+    groups = materialize(groups.withColumn("h", order_hash(seed, F.col(group))), "split-groups")
+    strata = groups.groupBy("stratum").agg(F.sum("size").alias("total"), F.coalesce(F.sum(F.when(F.col("role") == "dev", F.col("size"))), F.lit(0)).alias("dev_fixed"))
+    strata = strata.withColumn("target", F.when(F.col("total") >= least, F.greatest(F.lit(1), F.bround(F.col("total") * share).cast("long"))).otherwise(0)).withColumnRenamed("stratum", "s")
+    # the running size in a stratum is that over all strata in order, less what its first group has before it
+    run = materialize(running_total(groups.where("role is null"), ["stratum", "h", group], {"so_far": "size"}), "split-run")
+    first = run.groupBy(F.col("stratum").alias("f")).agg(F.min("so_far").alias("first"))
+    of = lambda c: F.col("stratum").eqNullSafe(F.col(c))
+    free = run.join(first, of("f")).join(strata, of("s")).withColumn("before", F.col("so_far") - F.col("first"))
     # groups enter holdout while what came before is under the target; dev counts on from where holdout ended
-    free = free.withColumn("in_holdout", F.col("before") < F.col("target"))
-    filled = F.coalesce(F.sum(F.when(F.col("in_holdout"), F.col("size"))).over(Window.partitionBy("stratum")), F.lit(0))
-    free = free.withColumn("held", filled)
+    free = free.withColumn("in_holdout", F.col("before") < F.col("target")).drop("f", "s")
+    held = free.where("in_holdout").groupBy(F.col("stratum").alias("t")).agg(F.sum("size").alias("held"))
+    free = free.join(held, of("t"), "left").withColumn("held", F.coalesce("held", F.lit(0)))
     free = free.withColumn("partition", F.when(F.col("in_holdout"), "holdout").when(F.col("dev_fixed") + F.col("before") - F.col("held") < F.col("target"), "dev").otherwise("train"))
     placed = free.select(group, "partition").unionByName(groups.where("role is not null").select(group, F.col("role").alias("partition")))
     return records.join(placed, group).select(F.col(group), ident, "stratum", "partition")
@@ -70,27 +78,72 @@ def family_sample(groups: DataFrame, size: int, seed: int, group: str = "group_i
     return running_total(groups.withColumn("_h", order_hash(seed, F.col(group))), ["_h", group], {"_b": count}).where(F.col("_b") < size).drop("_b", "_h")
 
 
+class _Filling:
+    """Families of one size dealt to the least loaded fold, ties to the lower: the q-th goes where the q-th smallest
+    of all pairs (load + k * size, fold), k = 0, 1, ..., stands."""
+
+    def __init__(self, loads: np.ndarray, size: int):
+        self.loads, self.size = loads, size
+
+    def upto(self, level: int) -> np.ndarray:
+        """How many families each fold takes at loads of at most ``level``."""
+        return np.maximum(0, (level - self.loads) // self.size + 1)
+
+    def folds(self, low: int, high: int) -> np.ndarray:
+        """The folds of families low .. high - 1."""
+        a, b = int(self.loads.min()), int(self.loads.max()) + self.size * (high + 1)
+        level = lambda q: bisect.bisect_left(range(a, b + 1), q, key=lambda v: int(self.upto(v).sum())) + a
+        before, after = self.upto(level(low + 1) - 1), self.upto(level(high))
+        keys = [(int(self.loads[f] + k * self.size), f) for f in range(len(self.loads)) for k in range(int(before[f]), int(after[f]))]
+        skip = low - int(before.sum())
+        return np.array([f for _, f in sorted(keys)[skip : skip + high - low]], dtype=np.int32)
+
+    def after(self, count: int) -> np.ndarray:
+        """The loads when ``count`` families are dealt."""
+        a, b = int(self.loads.min()), int(self.loads.max()) + self.size * (count + 1)
+        level = bisect.bisect_left(range(a, b + 1), count, key=lambda v: int(self.upto(v).sum())) + a
+        whole = self.upto(level - 1)
+        last = [f for f in range(len(self.loads)) if self.upto(level)[f] > whole[f]][: count - int(whole.sum())]
+        whole[last] += 1
+        return self.loads + whole * self.size
+
+
 def greedy_folds(groups: DataFrame, folds: int, seed: int, group: str = "group_id", size: str = "size") -> DataFrame:
     """Families, largest first (ties by hash), each to the fold with the fewest members, ties to the lower fold.
 
-    Sequential by nature: one task takes (group, size) rows of families in order and keeps ``folds`` sums.
+    Where a family goes follows from the loads before its size and its place among families of that size. The loads
+    are worked out from the number of families of each size, of which there are at most as many as the root of
+    twice the members; the places are running totals over ranges. So no task sees all families.
     """
-    import pandas as pd
-
     kind = groups.schema[group].dataType.simpleString()
-    rows = groups.select(F.col(group).alias("g"), F.col(size).cast("long").alias("n"), order_hash(seed, F.col(group)).alias("h"))
-
-    def run(batches):
-        total = [0] * folds
+    rows = materialize(groups.select(F.col(group).alias("g"), F.col(size).cast("long").alias("n"), order_hash(seed, F.col(group)).alias("h"), F.lit(1).alias("one")), "folds")
+    sizes = sorted(((r["n"], r["c"]) for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
+    loads, before, first = np.zeros(folds, np.int64), 0, {}
+    for n, count in sizes:
+        first[n] = (before, loads)
+        before += count
+        loads = _Filling(loads, n).after(count) if n > 0 else loads
+    sent = groups.sparkSession.sparkContext.broadcast(first)
+    run = running_total(rows.withColumn("m", -F.col("n")), ["m", "h", "g"], {"place": "one"})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for n in b["n"]:
-                f = min(range(folds), key=lambda i: (total[i], i))
-                total[f] += int(n)
-                out.append(f)
-            yield pd.DataFrame({group: b["g"], "size": b["n"], "fold": out})
-
-    return rows.repartition(1).sortWithinPartitions(F.desc("n"), "h", "g").mapInPandas(run, f"`{group}` {kind}, size long, fold int")
+            n, at = b.column("n").to_numpy(), b.column("place").to_numpy()
+            out = np.zeros(len(n), np.int32)
+            order = np.lexsort((at, -n))
+            for rows in np.split(order, np.nonzero(np.diff(n[order]))[0] + 1):
+                if not len(rows):
+                    continue
+                start, loads = sent.value[int(n[rows[0]])]
+                if n[rows[0]] <= 0:  # adds nothing: all to the least loaded fold
+                    out[rows] = int(loads.argmin())
+                    continue
+                q = at[rows] - start
+                for run in np.split(np.arange(len(q)), np.nonzero(np.diff(q) != 1)[0] + 1):
+                    out[rows[run]] = _Filling(loads, int(n[rows[0]])).folds(int(q[run[0]]), int(q[run[-1]]) + 1)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("n"), pa.array(out)], [group, "size", "fold"])
+
+    return run.select("g", "n", "place").mapInArrow(place, f"`{group}` {kind}, size long, fold int")
 
 
 def whole_families(members: DataFrame, group: str, eligible: str) -> DataFrame:

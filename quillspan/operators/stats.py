@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspan.operators.prefix import running_total
+from quillspan.sources.scratch import materialize
 
 QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -15,9 +16,27 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_profile(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
-    """(group, field, n, mean, std, quantiles): linear quantiles and population deviation of each column."""
-    long = df.select(*([F.col(group).alias("group")] if group else [F.lit("all").alias("group")]), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("group", "e.*")
-    return long.groupBy("group", "field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), *[F.percentile("x", q).alias(f"q{int(q * 100):03d}") for q in QUANTILES])
+    """(group, field, n, mean, std, quantiles): linear quantiles and population deviation of each column.
+
+    Values are counted, then ranked by running totals over ranges of (group, field, value), so no group is sorted
+    or held in one task; a quantile is read off the two values around its place."""
+    own = F.col(group) if group else F.lit("all")
+    long = df.select(own.alias("group"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("group", "e.*")
+    counts = materialize(long.groupBy("group", "field", "x").agg(F.count("*").alias("c")), "quantile-counts")
+    valid = counts.where("x is not null")
+    run = running_total(valid, ["group", "field", "x"], {"before": "c"})
+    ahead = run.groupBy(F.col("group").alias("g"), F.col("field").alias("f")).agg(F.sum("c").alias("n"), F.min("before").alias("first"))
+    placed = run.join(F.broadcast(ahead) if len(columns) * 1000 > ahead.count() else ahead, F.col("group").eqNullSafe(F.col("g")) & (F.col("field") == F.col("f")))
+    low = F.col("before") - F.col("first")
+    at = lambda place: F.max(F.when((low <= place) & (place < low + F.col("c")), F.col("x")))
+
+    def quantile(q: float) -> Column:
+        place = q * (F.col("n") - 1)
+        return (at(F.floor(place)) + (F.max(place) - F.max(F.floor(place))) * (at(F.ceil(place)) - at(F.floor(place)))).alias(f"q{int(q * 100):03d}")
+
+    quantiles = placed.groupBy("group", "field").agg(*[quantile(q) for q in QUANTILES]).select(F.col("group").alias("g"), F.col("field").alias("f"), *[f"q{int(q * 100):03d}" for q in QUANTILES])
+    moments = long.groupBy("group", "field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return moments.join(quantiles, F.col("group").eqNullSafe(F.col("g")) & (F.col("field") == F.col("f")), "left").drop("g", "f")
 
 
 def index_quantile(df: DataFrame, column: str, q: float) -> DataFrame:

@@ -84,7 +84,10 @@ def phrase_precision_labels(spark, d):
     return candidates.fit_dictionary(read(spark, d, "documents"), g).select("phrase", "label", "positive_occurrences")
 
 
-@query()
+RUNS = "runs AS (SELECT t AS value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS t FROM documents) GROUP BY 1)"
+
+
+@query(f"""{', ' + RUNS} SELECT value AS phrase, min(label) AS label, (count(*) + 1) / (any_value(n) + 2) AS score, count(*) AS positive_occurrences, any_value(n) AS occurrences FROM gold JOIN runs USING (value) GROUP BY value""")
 def phrase_precision(spark, d):
     return candidates.fit_dictionary(read(spark, d, "documents"), adapters.gold(spark, d))
 
@@ -586,12 +589,12 @@ def arm_deltas(spark, d) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark, d):
-    return calibration.bootstrap(arm_deltas(spark, d), "doc_id", "delta", "n_gold", 1000, 20260915)
+    return calibration.bootstrap(arm_deltas(spark, d), "doc_id", "delta", "n_gold", 10_000, 20260915)
 
 
 @query()
 def cluster_bootstrap_ci(spark, d):
-    return calibration.bootstrap(arm_deltas(spark, d).withColumn("family", F.col("doc_id") % 37), "family", "delta", "n_gold", 1000, 20260915, 0.002)
+    return calibration.bootstrap(arm_deltas(spark, d).withColumn("family", F.col("doc_id") % 37), "family", "delta", "n_gold", 10_000, 20260915, 0.002)
 
 
 # ---------------------------------------------------------------- tokens and features

@@ -233,3 +233,52 @@ def test_windowed_documents(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["doc_id"], r["full_text"], r["n_segments"], r["contiguous"]) for r in spark.table("windowed").collect()}
     assert got == {(1, "\nb", 2, True), (2, "q", 1, False)}
+
+
+def test_folds_match_the_sequential_rule(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(2)
+    for folds, sizes in ((3, [rng.choice([1, 1, 1, 2, 3, 50, 400]) for _ in range(300)]), (5, [7] * 40 + [1] * 90), (2, [0, 0, 3, 1]), (4, [])):
+        rows = [(i, n) for i, n in enumerate(sizes)]
+        load, want = [0] * folds, {}
+        for i, n in sorted(rows, key=lambda r: (-r[1], hashlib.sha256(f"9:{r[0]}".encode()).hexdigest())):
+            f = min(range(folds), key=lambda x: (load[x], x))
+            load[f] += n
+            want[i] = f
+        out = splitting.greedy_folds(spark.createDataFrame(rows, "group_id long, size int").repartition(3), folds, 9).collect()
+        assert {r["group_id"]: r["fold"] for r in out} == want and {r["group_id"]: r["size"] for r in out} == dict(rows)
+
+
+def test_quantiles_of_odd_groups(spark):
+    import numpy as np
+
+    rows = [("a", float(x), 1.0) for x in (5, 1, 1, 9, 2)] + [("b", 3.0, None), (None, 4.0, 2.0), (None, 8.0, None)]
+    out = {(r["group"], r["field"]): r for r in stats.quantile_profile(spark.createDataFrame(rows, "g string, x double, y double"), ["x", "y"], "g").collect()}
+    assert set(out) == {("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), (None, "x"), (None, "y")}
+    for q in stats.QUANTILES:
+        name = f"q{int(q * 100):03d}"
+        assert math.isclose(out["a", "x"][name], np.quantile([5, 1, 1, 9, 2], q)) and math.isclose(out[None, "x"][name], np.quantile([4, 8], q)) and out["b", "y"][name] is None
+
+
+def test_phrases_longer_than_the_runs_they_meet_on(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i jk. Ab-cd"), (2, "xa b c d e f"), (3, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("a b c d e f g",), ("a b c d e f g h i j",), ("b c",), ("-",), ("Ab-cd",), ("",)], "phrase string")
+    a, b = candidates.dictionary_hits(docs, phrases), candidates.dictionary_join(docs, phrases, runs=3)
+    got = sorted(map(tuple, a.collect()))
+    assert got == sorted(map(tuple, b.select("doc_id", "start", "end", "phrase").collect()))
+    assert got == [(1, 0, 13, "a b c d e f g"), (1, 2, 5, "b c"), (1, 22, 27, "Ab-cd"), (1, 24, 25, "-"), (2, 3, 6, "b c")]
+
+
+def test_bootstrap_agrees_with_resampling(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, int(d), int(k)) for i, (d, k) in enumerate(zip(rng.integers(-3, 4, 400), rng.integers(1, 9, 400), strict=True))]
+    out = calibration.bootstrap(spark.createDataFrame(rows, "d long, delta int, k int").repartition(3), "d", "delta", "k", 4000, 5).first()
+    x = np.array(rows)[:, 1:]
+    draws = rng.integers(0, len(x), (4000, len(x)))
+    ratio = x[draws, 0].sum(axis=1) / x[draws, 1].sum(axis=1)
+    low, mid, high = np.quantile(ratio, [0.025, 0.5, 0.975])
+    assert abs(out["low"] - low) < 0.006 and abs(out["median"] - mid) < 0.006 and abs(out["high"] - high) < 0.006
