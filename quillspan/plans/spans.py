@@ -33,6 +33,10 @@ def relations(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 KEYS = 'doc_id, start, "end", label'
+#: SQL for the tokens of a text with their offsets: pieces that cover it, the white ones left out.
+TOKENS = r"""tk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS i, (e - length(t))::INT AS start, e::INT AS "end", t AS token FROM (
+  SELECT doc_id, k, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (
+    SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]|\s+') AS ts FROM documents))) WHERE NOT regexp_matches(t, '^\s'))"""
 
 # ---------------------------------------------------------------- candidates and annotations
 
@@ -63,9 +67,12 @@ def regex_candidates_phone(spark, d):
     return candidates.pattern_hits(read(spark, d, "documents")).where("label = 'PHONE'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT c_custkey AS doc_id, (17 + c_custkey % 5)::INT AS start, (17 + c_custkey % 5 + length(c_name))::INT AS "end", 'USERNAME' AS label, 0.5::DOUBLE AS score FROM customer""", plain=True)
 def username_candidates(spark, d):
-    return candidates.username_hits(read(spark, d, "documents"))
+    """Names in a made-up text: white space before them varies, punctuation follows, and an introduced stop word is none."""
+    c = read(spark, d, "customer")
+    text = F.concat(F.lit("Hello, UserName: "), F.expr("repeat(' ', cast(c_custkey % 5 as int))"), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit(".,; his user  id is the same"))
+    return candidates.username_hits(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
 PHRASES = ("the", "of the", "Licensed", "All rights reserved", "MIT License")
@@ -129,20 +136,27 @@ def with_text(spark, d, spans):
     return spans.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-@query("""SELECT label, count(*) AS count, sum("end" - start)::BIGINT AS chars, count(*) FILTER (regexp_matches(substr(text, start, 1), '^\\s$') AND start > 0) AS left_whitespace, count(*) FILTER (regexp_matches(substr(text, "end" + 1, 1), '^\\s$')) AS right_whitespace, count(*) FILTER (regexp_matches(substr(text, "end" + 1, 1), '^[^\\p{L}\\p{N}_\\s]$')) AS right_punctuation FROM gold JOIN documents USING (doc_id) GROUP BY label""")
+@query("""SELECT label, count(*) AS count, sum("end" - start)::BIGINT AS chars, count(*) FILTER (regexp_matches(substr(text, start, 1), '^\\s$') AND start > 0) AS left_whitespace, count(*) FILTER (regexp_matches(substr(text, "end" + 1, 1), '^\\s$')) AS right_whitespace, count(*) FILTER (regexp_matches(substr(text, "end" + 1, 1), '^[^\\p{L}\\p{N}_\\s]$')) AS right_punctuation,
+  count(*) FILTER (start > 0 AND regexp_matches(substr(text, start, 1), '^[^\\p{L}\\p{N}_\\s]$')) AS left_punctuation, count(*) FILTER (regexp_matches(value, '^\\s')) AS leading_whitespace, count(*) FILTER (regexp_matches(value, '\\s$')) AS trailing_whitespace,
+  count(*) FILTER (regexp_matches(value, '^[^\\p{L}\\p{N}_\\s]')) AS leading_punctuation, count(*) FILTER (regexp_matches(value, '[^\\p{L}\\p{N}_\\s]$')) AS trailing_punctuation, count(*) FILTER (contains(value, chr(10))) AS internal_newline, count(*) FILTER (starts_with(value, chr(10))) AS leading_newline, count(*) FILTER (ends_with(value, chr(10))) AS trailing_newline FROM gold JOIN documents USING (doc_id) GROUP BY label""")
 def boundary_flags(spark, d):
-    out = annotations.boundary_profile(with_text(spark, d, adapters.gold(spark, d)))
-    return out.select("label", "count", "chars", "left_whitespace", "right_whitespace", "right_punctuation")
+    return annotations.boundary_profile(with_text(spark, d, adapters.gold(spark, d)))
 
 
-@query()
+@query(r""", x AS (SELECT label, start, length(text) AS n, substr(text, 1, start) AS before, substr(text, "end" + 1) AS after, value FROM gold JOIN documents USING (doc_id)),
+l AS (SELECT *, string_split(before, chr(10))[-1] || value || string_split(after, chr(10))[1] AS line FROM x)
+SELECT label, CASE WHEN start <= greatest(1, floor(n * 0.12)) AND regexp_matches(line, '(?i)(?:from|to|subject|date|cc)\s*:') THEN 'header'
+  WHEN regexp_matches(right(before, 160), '(?i)(?:regards|sincerely|thank you|best),?\s*$') OR (start > floor(n * 0.72) AND len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) <= 10) THEN 'signature_or_tail'
+  WHEN start < floor(n * 0.18) THEN 'opening' WHEN contains(right(before, 4), chr(10) || chr(10)) OR contains(left(after, 4), chr(10) || chr(10)) THEN 'paragraph_boundary' ELSE 'body' END AS region, count(*) AS n FROM l GROUP BY 1, 2""".replace("\\\\", "\\"))
 def region_classification(spark, d):
     return annotations.region_profile(with_text(spark, d, adapters.gold(spark, d)))
 
 
-@query("""SELECT count(*) AS count, count(*) FILTER (regexp_matches(value, '(?i)^(mr|mrs|ms|miss|dr|prof|rev|sir|madam)\\.?(\\s|$)')) AS included FROM gold WHERE label = 'NAME'""")
+@query("""SELECT count(*) AS count, count(*) FILTER (regexp_matches(value, '(?i)^(mr|mrs|ms|miss|dr|prof|rev|sir|madam)\\.?(\\s|$)')) AS included,
+  count(*) FILTER (regexp_matches(substr(text, greatest(0, start - 30) + 1, least(start, 30)), '(?i)(?:^|[^\\p{L}\\p{N}_])(?:mr|mrs|ms|miss|dr|prof|rev|sir|madam)\\.?\\s+$')) AS excluded,
+  count(*) FILTER (regexp_matches(value, '(?i)(?:[0-9]|#|@|/|-|(?:^|[^\\p{L}\\p{N}_])(?:ref|id|user|acct|ticket|case)(?:$|[^\\p{L}\\p{N}_]))')) AS reference_like FROM gold JOIN documents USING (doc_id) WHERE label = 'NAME'""")
 def honorific_profile(spark, d):
-    return annotations.title_profile(with_text(spark, d, adapters.gold(spark, d))).select("count", "included")
+    return annotations.title_profile(with_text(spark, d, adapters.gold(spark, d)))
 
 
 @query("""SELECT label, start, "end", doc_id, substr(text, greatest(0, start - 42) + 1, start - greatest(0, start - 42)) AS before, substr(text, "end" + 1, 42) AS after FROM gold JOIN documents USING (doc_id)""")
@@ -157,7 +171,10 @@ def cross_label_values(spark, d):
     return annotations.cross_labels(p.join(g.select("doc_id", "start", "value"), ["doc_id", "start"]))
 
 
-@query()
+@query(""", v AS (SELECT DISTINCT doc_id, value, string_split(text, value) AS parts FROM gold JOIN documents USING (doc_id)),
+o AS (SELECT doc_id, value, (list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(value))::INT AS start FROM v, LATERAL (SELECT unnest(generate_series(1, len(parts) - 1)) AS j))
+SELECT o.doc_id, o.value, o.start, EXISTS (FROM gold g WHERE g.doc_id = o.doc_id AND g.start < o.start + length(o.value) AND g."end" > o.start) AS overlapping
+FROM o WHERE NOT EXISTS (FROM gold g WHERE g.doc_id = o.doc_id AND g.start = o.start AND g."end" = o.start + length(o.value))""")
 def unlabelled_repeats(spark, d):
     some = adapters.gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
     return annotations.unlabelled_repeats(with_text(spark, d, some))
@@ -270,7 +287,9 @@ def transition_matrix(spark, d):
     return evaluation.transitions(g, adapters.predicted(g), adapters.predicted(g, 5))
 
 
-@query()
+@query(f""", {COM.replace("g.slot AS gr", 'g.start, g."end", g.label, g.slot AS gr')}, ep AS (SELECT *, sum(CASE WHEN dis = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY gr) AS ep FROM com), {STATE.format(2, 'ps2')},
+simple AS (SELECT doc_id, ep FROM ep WHERE dis <> 0 GROUP BY 1, 2 HAVING min(dis) = max(dis) AND abs(min(dis)) = 1)
+SELECT CASE st WHEN 'correct' THEN 'REPAIRED' WHEN 'wrong' THEN 'RETAINED_DISPLACED' ELSE 'LOST' END AS outcome, count(*) AS n FROM ep JOIN simple USING (doc_id, ep) JOIN s2 USING (doc_id, start, "end", label) WHERE dis <> 0 GROUP BY 1""")
 def episode_outcomes(spark, d):
     g = adapters.gold(spark, d)
     return evaluation.episode_outcomes(g, adapters.predicted(g), adapters.predicted(g, 5))
@@ -322,10 +341,10 @@ def submission_validation(spark, d):
 
 
 def pools(spark, d) -> DataFrame:
-    """(doc_id, spans, k): each document's candidates, and how many of them to choose (a quarter, 8 at most)."""
+    """(doc_id, spans, k): each document's candidates, and how many of them to choose (a quarter, 31 at most)."""
     _, _, c = relations(spark, d)
     per = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "score"))).alias("spans"))
-    return per.withColumn("k", F.least(F.lit(8), F.ceil(F.size("spans") / 4)).cast("int"))
+    return per.withColumn("k", F.least(F.lit(31), F.ceil(F.size("spans") / 4)).cast("int"))
 
 
 def _spans(row) -> tuple[list[tuple], list[float]]:
@@ -408,15 +427,19 @@ def turns(spark, d) -> DataFrame:
     return c.withColumn("n", F.greatest(F.lit(1), F.size(F.split("text", " "))))
 
 
+#: Intervals chosen in a turn, at most.
+K_LATTICE = 8
+
+
 def lattices(spark, d) -> DataFrame:
-    """(doc_id, n, a, b, energies, k, gold_energy): a lattice over the words of each turn, intervals up to four
+    """(doc_id, n, a, b, energies, k, gold_energy): a lattice over the words of each turn, intervals up to 16
     words, with energies for two labels by arithmetic on the interval."""
     docs = turns(spark, d).select("doc_id", "n")
-    u = candidates.span_universe(docs, 4)
+    u = candidates.span_universe(docs)
     e = lambda m: (F.pmod(F.col("doc_id") * 13 + F.col("a") * m + F.col("b") * 5, F.lit(17)) - 8) / 4.0
     rows = u.withColumn("e", F.array(e(7), e(11)))
     per = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("b", "a", "e"))).alias("x")).join(docs, "doc_id")
-    out = per.select("doc_id", "n", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.e").alias("energies"), F.least(F.lit(3), F.col("n")).cast("int").alias("k"))
+    out = per.select("doc_id", "n", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.e").alias("energies"), F.least(F.lit(K_LATTICE), F.col("n")).cast("int").alias("k"))
     return out.withColumn("gold_energy", F.lit(3.0))
 
 
@@ -565,14 +588,14 @@ def calibration_summary(spark, d):
     return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
-@query(f", {SCORED}, s AS (SELECT p, count(*) FILTER (y)::DOUBLE AS a, count(*) FILTER (NOT y)::DOUBLE AS b FROM sc GROUP BY 1), r AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb FROM s) SELECT round(sum(a * (bb + 0.5 * b)) / (sum(a) * sum(b)), 9) AS auc FROM r")
+@query(f", {SCORED}, s AS (SELECT p, coalesce(sum(start % 5 + 1.0) FILTER (y), 0)::DOUBLE AS a, coalesce(sum(start % 5 + 1.0) FILTER (NOT y), 0)::DOUBLE AS b FROM sc GROUP BY 1), r AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb FROM s) SELECT round(sum(a * (bb + 0.5 * b)) / (sum(a) * sum(b)), 9) AS auc FROM r")
 def weighted_auc(spark, d):
-    return calibration.weighted_auc(scored(spark, d), "p", "y").select(F.round("auc", 9).alias("auc"))
+    return calibration.weighted_auc(scored(spark, d), "p", "y", F.col("start") % 5 + 1.0).select(F.round("auc", 9).alias("auc"))
 
 
-@query(f", {SCORED} SELECT round(avg(-(y::INT * ln(greatest(1e-12, least(1 - 1e-12, p))) + (1 - y::INT) * ln(1 - greatest(1e-12, least(1 - 1e-12, p))))), 8) AS logloss FROM sc")
+@query(f", {SCORED} SELECT round(sum((start % 5 + 1) * -(y::INT * ln(greatest(1e-12, least(1 - 1e-12, p))) + (1 - y::INT) * ln(1 - greatest(1e-12, least(1 - 1e-12, p))))) / sum(start % 5 + 1), 8) AS logloss FROM sc")
 def weighted_logloss(spark, d):
-    return calibration.weighted_logloss(scored(spark, d), "p", "y").select(F.round("logloss", 8).alias("logloss"))
+    return calibration.weighted_logloss(scored(spark, d), "p", "y", F.col("start") % 5 + 1.0).select(F.round("logloss", 8).alias("logloss"))
 
 
 @query(f", {SCORED}, m AS (SELECT doc_id, max(p) FILTER (y) AS a, max(p) FILTER (NOT y) AS b FROM sc GROUP BY 1) SELECT count(*) AS pairs, round(avg(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0.0 END), 9) AS accuracy FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -599,6 +622,8 @@ def cluster_bootstrap_ci(spark, d):
 
 # ---------------------------------------------------------------- tokens and features
 
+COMMON_TITLE = r"regexp_matches(v, '[\p{Lu}\p{Lt}]') AND NOT regexp_matches(v, '(?:^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}') AND NOT regexp_matches(v, '[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]')"
+
 
 @query("SELECT n::BIGINT AS n, sum(least(b, 16))::BIGINT AS intervals FROM (SELECT doc_id, len(string_split(text, ' ')) AS n, unnest(generate_series(1, len(string_split(text, ' ')))) AS b FROM documents) GROUP BY doc_id, n", plain=True)
 def span_universe(spark, d):
@@ -606,21 +631,28 @@ def span_universe(spark, d):
     return candidates.span_universe(docs).groupBy("doc_id").agg(F.count("*").alias("intervals")).join(docs, "doc_id").select("n", "intervals")
 
 
-@query("""SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS id FROM (SELECT lower(t) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) AS t FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 498)""", plain=True)
+@query("""SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS id FROM (SELECT lower(t) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) AS t FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 49998)""", plain=True)
 def vocabulary(spark, d):
-    out = features.vocabulary(candidates.tokenize(read(spark, d, "documents")), 500)
+    out = features.vocabulary(candidates.tokenize(read(spark, d, "documents")))
     return out.select("word", "n", F.col("id").cast("long").alias("id"))
 
 
-@query()
+NEAR_TOKENS = ", ".join(f'{f}(lower(token), {abs(k)}) OVER w AS "w{k:+d}"' for k, f in ((-2, "lag"), (-1, "lag"), (1, "lead"), (2, "lead")))
+AFFIXES = ", ".join(f"CASE WHEN length(token) > 1 THEN {f}(lower(token), {n}) END AS {k}{n}" for k, f in (("pre", "left"), ("suf", "right")) for n in (2, 3, 4))
+
+
+@query(f"""WITH {TOKENS}, x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(token, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g') AS kinds FROM tk)
+SELECT doc_id, i, start, "end", token, lower(token) AS lower, array_to_string(list_transform(list_filter(generate_series(1, length(kinds)), lambda j: j = 1 OR kinds[j] <> kinds[j - 1]), lambda j: kinds[j]), '') AS shape, least(length(token), 20)::INT AS length, {NEAR_TOKENS}, {AFFIXES},
+  coalesce(lag("end") OVER w = start, start = 0) AS left_joined, coalesce(lead(start) OVER w = "end", false) AS right_joined, regexp_matches(token, '\\p{{Lu}}') AND NOT regexp_matches(token, '[\\p{{Ll}}\\p{{Lt}}]') AS upper,
+  {COMMON_TITLE.replace("(v,", "(token,")} AS title, regexp_matches(token, '^\\p{{Nd}}+$') AS digit FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)""", plain=True)
 def token_features(spark, d):
     return features.token_features(candidates.tokenize(read(spark, d, "documents")))
 
 
-@query()
+@query(f""", {TOKENS} SELECT count(*) AS spans, count(*) FILTER (a.i IS NULL OR b.i IS NULL) AS unaligned, sum(b.i - a.i + 1)::BIGINT AS tokens FROM pred g LEFT JOIN tk a ON a.doc_id = g.doc_id AND a.start = g.start LEFT JOIN tk b ON b.doc_id = g.doc_id AND b."end" = g."end" """)
 def token_alignment(spark, d):
     docs = read(spark, d, "documents")
-    a = candidates.token_aligned(candidates.tokenize(docs), adapters.gold(spark, d))
+    a = candidates.token_aligned(candidates.tokenize(docs), adapters.predicted(adapters.gold(spark, d)))
     return a.agg(F.count("*").alias("spans"), F.count_if(F.col("first").isNull() | F.col("last").isNull()).alias("unaligned"), F.sum(F.col("last") - F.col("first") + 1).alias("tokens"))
 
 
@@ -631,7 +663,7 @@ def tagged(spark, d) -> DataFrame:
     return toks.join(own, "doc_id")
 
 
-@query()
+@query(f""", {TOKENS} SELECT doc_id, (SELECT count(*) FROM tk WHERE tk.doc_id = x.doc_id)::INT AS tokens, n::INT AS begins, 0 AS inside, 0 AS unaligned FROM (SELECT doc_id, count(*) AS n FROM gold GROUP BY 1) x""")
 def bio_tags(spark, d):
     def kernel(row):
         tags, off = decode.tags_of([(t["start"], t["end"]) for t in row["tokens"]], [(s["start"], s["end"], s["label"]) for s in row["spans"]])
@@ -678,7 +710,7 @@ SPAN_FACTS = """, c AS (
   FROM cand JOIN documents USING (doc_id))"""
 COMMON_FLAGS = {
     "has_digit": r"regexp_matches(v, '\p{Nd}')", "has_underscore": "contains(v, '_')", "has_at": "contains(v, '@')", "all_lower": r"regexp_matches(v, '\p{Ll}') AND NOT regexp_matches(v, '[\p{Lu}\p{Lt}]')", "all_upper": r"regexp_matches(v, '\p{Lu}') AND NOT regexp_matches(v, '[\p{Ll}\p{Lt}]')",
-    "title_case": r"regexp_matches(v, '[\p{Lu}\p{Lt}]') AND NOT regexp_matches(v, '(?:^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}') AND NOT regexp_matches(v, '[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]')",
+    "title_case": COMMON_TITLE,
     "left_identifier": f"regexp_matches(before, '^{IN_WORD}$')", "right_identifier": f"regexp_matches(after, '^{IN_WORD}$')",
 }
 SPACES_AT_ENDS = {"starts_space": r"regexp_matches(v, '^\s')", "ends_space": r"regexp_matches(v, '\s$')"}
@@ -744,7 +776,12 @@ def layout_features(spark, d):
     return decode.per_document(with_text(spark, d, tagged(spark, d)), kernel, "doc_id long, start int, control array<double>, structure array<double>")
 
 
-@query()
+TURNS = "turns AS (SELECT conv_id * 1000 + turn AS doc_id, greatest(1, len(string_split(coalesce(text, ''), ' '))) AS n FROM conversations), u AS (SELECT doc_id, n, a, b FROM (SELECT doc_id, n, unnest(generate_series(1, n)) AS b FROM turns), LATERAL (SELECT unnest(generate_series(greatest(0, b - 16), b - 1)) AS a))"
+
+
+@query(f"""WITH {TURNS}, pos AS (FROM u WHERE a % 10 = 3 AND b = a + 2), old AS (FROM u WHERE a % 7 = 1 AND b = a + 3),
+f AS (SELECT doc_id, a, b, bit_or(f) AS flags FROM (SELECT doc_id, a + dx AS a, b + dy AS b, 2 AS f FROM pos, (VALUES (-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2)) m(dx, dy) UNION ALL SELECT doc_id, a, b, 4 FROM old) GROUP BY 1, 2, 3)
+SELECT kind, CASE WHEN kind = 'forced' THEN flags ELSE 0 END AS flags, count(*) AS n FROM (SELECT CASE WHEN p.doc_id IS NOT NULL THEN 'positive' WHEN f.flags IS NOT NULL THEN 'forced' ELSE 'remaining' END AS kind, f.flags FROM u LEFT JOIN pos p USING (doc_id, a, b) LEFT JOIN f USING (doc_id, a, b)) GROUP BY 1, 2""", plain=True)
 def sampling_plan(spark, d):
     u = candidates.span_universe(turns(spark, d).select("doc_id", "n"))
     pos, old = u.where("a % 10 = 3 and b = a + 2"), u.where("a % 7 = 1 and b = a + 3")
