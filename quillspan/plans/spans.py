@@ -381,6 +381,56 @@ def slot_mbr(spark, d):
     return decoded(pools(spark, d), lambda r: decode.decode(*_spans(r), int(r["k"]), "slot_mbr"))
 
 
+#: SQL for the pools, for the greatest totals and the sums over all sets of q spans that end by a place, and for those
+#: that start at or after it.
+K_POOL = 31
+POOL = f", pc AS MATERIALIZED (SELECT doc_id, start, \"end\", label, score, ln(greatest(least(score, 1 - 1e-6), 1e-6)) - ln(1 - greatest(least(score, 1 - 1e-6), 1e-6)) AS odds FROM cand), pk AS MATERIALIZED (SELECT doc_id, least({K_POOL}, ceil(count(*) / 4))::INT AS k FROM cand GROUP BY 1)"
+
+
+def _sql_greatest(value: str) -> str:
+    levels = f"{POOL}, l1 AS MATERIALIZED (SELECT doc_id, \"end\", {value} AS t FROM pc)" + "".join(
+        f""", p{q} AS MATERIALIZED (SELECT doc_id, "end", max(max(t)) OVER (PARTITION BY doc_id ORDER BY "end") AS m FROM l{q} GROUP BY 1, 2),
+l{q + 1} AS MATERIALIZED (SELECT x.doc_id, x."end", p.m + x.{value} AS t FROM pc x ASOF JOIN p{q} p ON p.doc_id = x.doc_id AND p."end" <= x.start)"""
+        for q in range(1, K_POOL)
+    )
+    every = " UNION ALL ".join(f"SELECT doc_id, {q} AS q, max(t) AS t FROM l{q} GROUP BY 1" for q in range(1, K_POOL + 1))
+    return f"{levels} SELECT doc_id, max(q)::INT AS spans, round(arg_max(t, q), 6) AS total, true AS apart FROM ({every}) JOIN pk USING (doc_id) WHERE q <= k GROUP BY 1"
+
+
+def _sql_inclusion() -> str:
+    one = "SELECT doc_id, start, \"end\", exp(odds) AS f FROM pc"
+    levels = f"{POOL}, f1 AS MATERIALIZED ({one}), g1 AS MATERIALIZED ({one})"
+    for q in range(1, K_POOL + 1):
+        levels += f""", p{q} AS MATERIALIZED (SELECT doc_id, "end" AS t, sum(sum(f)) OVER (PARTITION BY doc_id ORDER BY "end") AS s FROM f{q} GROUP BY 1, 2), r{q} AS MATERIALIZED (SELECT doc_id, start AS t, sum(sum(f)) OVER (PARTITION BY doc_id ORDER BY start DESC) AS s FROM g{q} GROUP BY 1, 2)"""
+        if q < K_POOL:
+            levels += f""", f{q + 1} AS MATERIALIZED (SELECT x.doc_id, x.start, x."end", exp(odds) * p.s AS f FROM pc x ASOF JOIN p{q} p ON p.doc_id = x.doc_id AND p.t <= x.start), g{q + 1} AS MATERIALIZED (SELECT x.doc_id, x.start, x."end", exp(odds) * r.s AS f FROM pc x ASOF JOIN r{q} r ON r.doc_id = x.doc_id AND r.t >= x."end")"""
+    levels += ", p AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT doc_id, {q} AS q, t, s FROM p{q}" for q in range(1, K_POOL + 1)) + " UNION ALL SELECT doc_id, 0, -1, 1.0 FROM pk), r AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT doc_id, {q} AS q, t, s FROM r{q}" for q in range(1, K_POOL + 1)) + " UNION ALL SELECT doc_id, 0, 2147483647, 1.0 FROM pk)"
+    levels += ", z AS (SELECT doc_id, max(s) AS z FROM p JOIN pk USING (doc_id) WHERE q = k GROUP BY 1), xs AS (SELECT pc.*, k, unnest(generate_series(0, k - 1)) AS q FROM pc JOIN pk USING (doc_id))"
+    levels += ', left_ AS (SELECT xs.*, p.s AS before FROM xs ASOF JOIN p ON p.doc_id = xs.doc_id AND p.q = xs.q AND p.t <= xs.start), both_ AS (SELECT l.*, r.s AS after FROM (SELECT *, k - 1 - q AS rest FROM left_) l ASOF JOIN r ON r.doc_id = l.doc_id AND r.q = l.rest AND r.t >= l."end")'
+    return levels + ' SELECT pc.doc_id, pc.start, pc."end", pc.label, round(coalesce(sum(before * exp(b.odds) * after) / any_value(z), 0), 6) AS total FROM pc JOIN z USING (doc_id) LEFT JOIN both_ b USING (doc_id, start, "end", label) GROUP BY 1, 2, 3, 4'
+
+
+def chosen_totals(df: DataFrame, choose, value) -> DataFrame:
+    """How many spans ``choose`` takes of each document, their ``value`` added up, and whether they are apart."""
+
+    def kernel(row):
+        spans, scores = _spans(row)
+        got, worth = choose(row), dict(zip(spans, value(np.array(scores)).tolist(), strict=True))
+        return [{"doc_id": row["doc_id"], "spans": len(got), "total": round(sum(worth[x] for x in got), 6), "apart": all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))}]
+
+    return decode.per_document(df, kernel, "doc_id long, spans int, total double, apart boolean")
+
+
+@query(_sql_greatest("odds"))
+def decode_map_total(spark, d):
+    return chosen_totals(pools(spark, d), lambda r: decode.decode(*_spans(r), int(r["k"]), "map"), decode.log_odds)
+
+
+@query(_sql_greatest("score"))
+def decode_known_count_total(spark, d):
+    return chosen_totals(pools(spark, d), lambda r: decode.best_sum(*_spans(r), int(r["k"])), lambda p: p)
+
+
 SOLO = ", top AS (SELECT * FROM cand)"
 
 
@@ -400,12 +450,12 @@ def decode_pair_total(spark, d):
     return decode.per_document(pools(spark, d), kernel, "doc_id long, best double")
 
 
-@query()
+@query(_sql_inclusion())
 def slot_marginals(spark, d):
     def kernel(row):
         spans, p = _spans(row)
         mu = decode.slot_marginals(spans, p, int(row["k"]))
-        return [{"doc_id": row["doc_id"], "start": s[0], "end": s[1], "label": s[2], "total": round(float(m.sum()), 9)} for s, m in zip(spans, mu, strict=True)]
+        return [{"doc_id": row["doc_id"], "start": s[0], "end": s[1], "label": s[2], "total": round(float(m.sum()), 6)} for s, m in zip(spans, mu, strict=True)]
 
     return decode.per_document(pools(spark, d), kernel, "doc_id long, start int, end int, label string, total double")
 
@@ -443,6 +493,25 @@ def lattices(spark, d) -> DataFrame:
     return out.withColumn("gold_energy", F.lit(3.0))
 
 
+TURNS = "turns AS (SELECT conv_id * 1000 + turn AS doc_id, greatest(1, len(string_split(coalesce(text, ''), ' '))) AS n FROM conversations), u AS (SELECT doc_id, n, a, b FROM (SELECT doc_id, n, unnest(generate_series(1, n)) AS b FROM turns), LATERAL (SELECT unnest(generate_series(greatest(0, b - 16), b - 1)) AS a))"
+#: SQL for the lattices' energies, for sums over all structures of q intervals, and for their two greatest energies:
+#: each level adds one interval to what ends at or before its start.
+ENERGIES = f"WITH {TURNS}, e AS MATERIALIZED (SELECT doc_id, n, a, b, ((doc_id * 13 + a * 7 + b * 5) % 17 - 8) / 4.0::DOUBLE AS e0, ((doc_id * 13 + a * 11 + b * 5) % 17 - 8) / 4.0::DOUBLE AS e1 FROM u)"
+SUMS = f"{ENERGIES}, x AS MATERIALIZED (SELECT doc_id, n, a, b, tau, exp(e0 / tau) + exp(e1 / tau) AS w, exp(e0 / tau) * e0 / tau + exp(e1 / tau) * e1 / tau AS g FROM e, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) t(tau)), l1 AS MATERIALIZED (SELECT doc_id, n, tau, b, w AS f, g AS h, 2.0::DOUBLE AS c FROM x)" + "".join(
+    f""", p{q} AS MATERIALIZED (SELECT doc_id, tau, b, sum(sum(f)) OVER w AS f, sum(sum(h)) OVER w AS h, sum(sum(c)) OVER w AS c FROM l{q} GROUP BY doc_id, tau, b WINDOW w AS (PARTITION BY doc_id, tau ORDER BY b)),
+l{q + 1} AS MATERIALIZED (SELECT x.doc_id, x.n, x.tau, x.b, w * f AS f, g * f + w * h AS h, 2 * c AS c FROM x ASOF JOIN p{q} p ON p.doc_id = x.doc_id AND p.tau = x.tau AND p.b <= x.a)"""
+    for q in range(1, K_LATTICE)
+)
+BEST = f"{ENERGIES}, v AS MATERIALIZED (SELECT doc_id, n, a, b, e0 AS e FROM e UNION ALL SELECT doc_id, n, a, b, e1 FROM e), l1 AS MATERIALIZED (SELECT doc_id, n, b, e AS t FROM v)" + "".join(
+    f""", p{q} AS MATERIALIZED (SELECT doc_id, b, list_reverse(list_sort(flatten(list(m) OVER (PARTITION BY doc_id ORDER BY b))))[1:2] AS m FROM (SELECT doc_id, b, max(t, 2) AS m FROM l{q} GROUP BY 1, 2)),
+l{q + 1} AS MATERIALIZED (SELECT doc_id, n, b, unnest(list_transform(m, lambda y: y + e)) AS t FROM (SELECT v.*, p.m FROM v ASOF JOIN p{q} p ON p.doc_id = v.doc_id AND p.b <= v.a))"""
+    for q in range(1, K_LATTICE)
+)
+TOP = f"{BEST}, top AS (" + " UNION ALL ".join(f"SELECT doc_id, any_value(n) AS n, max(t, 2) AS m FROM l{q} WHERE n {'=' if q < K_LATTICE else '>='} {q} GROUP BY 1" for q in range(1, K_LATTICE + 1)) + ")"
+#: Gold of a turn: k one-word intervals, evenly spaced.
+GOLD_SLOTS = f"gs AS (SELECT doc_id, n, j, j * step AS a, j * step + 1 AS b, step, k FROM (SELECT doc_id, n, least({K_LATTICE}, n) AS k, greatest(1, n // least({K_LATTICE}, n)) AS step, unnest(generate_series(0, least({K_LATTICE}, n) - 1)) AS j FROM turns))"
+
+
 def _lattice(row) -> decode.Lattice:
     return decode.Lattice(int(row["n"]), np.stack([row["a"], row["b"]], axis=1), row["energies"])
 
@@ -456,27 +525,33 @@ def labelled_slot_mbr(spark, d):
     return decode.per_document(lattices(spark, d), kernel, "doc_id long, mbr string, map string, gain double")
 
 
-@query()
+@query(f"{SUMS}, z AS (" + " UNION ALL ".join(f"SELECT doc_id, tau, sum(f) AS f, sum(h) AS h, sum(c) AS c FROM l{q} WHERE n {'=' if q < K_LATTICE else '>='} {q} GROUP BY 1, 2" for q in range(1, K_LATTICE + 1)) + ") SELECT doc_id, tau, round(ln(f), 6) AS log_z, round(ln(f) - h / f, 6) AS entropy, round(ln(c), 6) AS log_count FROM z", plain=True)
 def posterior_stats(spark, d):
     def kernel(row):
         out = []
         for tau in (0.5, 1.0, 2.0):
             p = decode.posterior(_lattice(row), int(row["k"]), tau)
-            out.append({"doc_id": row["doc_id"], "tau": tau, "log_z": round(p.log_z, 9), "entropy": round(p.entropy, 9), "log_count": round(p.log_count, 9)})
+            out.append({"doc_id": row["doc_id"], "tau": tau, "log_z": round(p.log_z, 6), "entropy": round(p.entropy, 6), "log_count": round(p.log_count, 6)})
         return out
 
     return decode.per_document(lattices(spark, d), kernel, "doc_id long, tau double, log_z double, entropy double, log_count double")
 
 
-@query()
+@query(f"{TOP} SELECT doc_id, i::INT AS rank, m[i] AS energy, m[i] AS of_spans, true AS apart FROM (SELECT doc_id, m, unnest(generate_series(1, len(m))) AS i FROM top)", plain=True)
 def top2_structures(spark, d):
+    """Energies of the two best structures, those of their spans added up, and whether these are K and apart."""
+
     def kernel(row):
-        return [{"doc_id": row["doc_id"], "rank": i, "energy": round(s, 9), "spans": str(p)} for i, (s, p) in enumerate(decode.best_two(_lattice(row), int(row["k"])), 1)]
+        lattice, k = _lattice(row), int(row["k"])
+        value = {(int(a), int(b)): e for (a, b), e in zip(lattice.pairs, lattice.energies, strict=True)}
+        top = decode.best_two(lattice, k)
+        fine = lambda p: len(p) == k and all(x[1] <= y[0] for x, y in zip(p, p[1:], strict=False)) and len({q for _, q in top}) == len(top)
+        return [{"doc_id": row["doc_id"], "rank": i, "energy": s, "of_spans": float(sum(value[a, b][x] for a, b, x in p)), "apart": fine(p)} for i, (s, p) in enumerate(top, 1)]
 
-    return decode.per_document(lattices(spark, d), kernel, "doc_id long, rank int, energy double, spans string")
+    return decode.per_document(lattices(spark, d), kernel, "doc_id long, rank int, energy double, of_spans double, apart boolean")
 
 
-@query()
+@query(f"{TOP}, g AS (SELECT m[1] - m[2] AS gap FROM top WHERE len(m) > 1) SELECT count(*) FILTER (gap > 1e-12) AS wins, count(*) FILTER (abs(gap) <= 1e-12) AS ties, count(*) FILTER (gap < -1e-12) AS losses, avg(gap) AS mean_gap FROM g", plain=True)
 def ranking_gaps(spark, d):
     def kernel(row):
         top = decode.best_two(_lattice(row), int(row["k"]))
@@ -511,16 +586,20 @@ def _gold_of(row) -> list[tuple[int, int, int]]:
     return [(i * step, i * step + 1, int(row["doc_id"]) % 2) for i in range(k)]
 
 
-@query()
+@query(f"""{TOP}, {GOLD_SLOTS}, g AS (SELECT gs.doc_id, sum(CASE WHEN gs.doc_id % 2 = 0 THEN e0 ELSE e1 END) AS ge FROM gs JOIN e USING (doc_id, a, b) GROUP BY 1)
+SELECT doc_id, true AS supported, ge AS gold_energy, ge = m[1] AS reaches_best, CASE WHEN ge < m[1] THEN ge - m[1] WHEN len(m) > 1 THEN ge - m[2] END AS gap FROM g JOIN top USING (doc_id)""", plain=True)
 def ranking_records(spark, d):
     def kernel(row):
         r = decode.ranking_record(_lattice(row), int(row["k"]), _gold_of(row))
-        return [{"doc_id": row["doc_id"], "supported": r.supported, "map_is_gold": r.map_is_gold, "gap": None if r.gap is None else round(r.gap, 9)}]
+        best = r.gold_energy is not None and (r.map_is_gold or r.gold_energy >= r.rival_energy)
+        return [{"doc_id": row["doc_id"], "supported": r.supported, "gold_energy": r.gold_energy, "reaches_best": best, "gap": r.gap}]
 
-    return decode.per_document(lattices(spark, d), kernel, "doc_id long, supported boolean, map_is_gold boolean, gap double")
+    return decode.per_document(lattices(spark, d), kernel, "doc_id long, supported boolean, gold_energy double, reaches_best boolean, gap double")
 
 
-@query()
+@query(f"""{ENERGIES}, {GOLD_SLOTS}, nb AS (SELECT *, coalesce(lag(b) OVER w, 0) AS low, coalesce(lead(a) OVER w, n) AS high FROM gs WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+r AS (SELECT nb.doc_id, nb.j, x, CASE WHEN x = 0 THEN e0 ELSE e1 END AS v, e.a = nb.a AND e.b = nb.b AND x = nb.doc_id % 2 AS own FROM nb JOIN e ON e.doc_id = nb.doc_id AND e.a >= low AND e.b <= high, (VALUES (0), (1)) l(x))
+SELECT doc_id, j::INT AS slot, true AS supported, (count(*) - 1)::INT AS competitors, max(v) FILTER (own) - max(v) FILTER (NOT own) AS gap FROM r GROUP BY 1, 2""", plain=True)
 def local_span_ranking(spark, d):
     def kernel(row):
         return [{"doc_id": row["doc_id"], **x} for x in decode.local_ranking(_lattice(row), _gold_of(row))]
@@ -776,9 +855,6 @@ def layout_features(spark, d):
     return decode.per_document(with_text(spark, d, tagged(spark, d)), kernel, "doc_id long, start int, control array<double>, structure array<double>")
 
 
-TURNS = "turns AS (SELECT conv_id * 1000 + turn AS doc_id, greatest(1, len(string_split(coalesce(text, ''), ' '))) AS n FROM conversations), u AS (SELECT doc_id, n, a, b FROM (SELECT doc_id, n, unnest(generate_series(1, n)) AS b FROM turns), LATERAL (SELECT unnest(generate_series(greatest(0, b - 16), b - 1)) AS a))"
-
-
 @query(f"""WITH {TURNS}, pos AS (FROM u WHERE a % 10 = 3 AND b = a + 2), old AS (FROM u WHERE a % 7 = 1 AND b = a + 3),
 f AS (SELECT doc_id, a, b, bit_or(f) AS flags FROM (SELECT doc_id, a + dx AS a, b + dy AS b, 2 AS f FROM pos, (VALUES (-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2)) m(dx, dy) UNION ALL SELECT doc_id, a, b, 4 FROM old) GROUP BY 1, 2, 3)
 SELECT kind, CASE WHEN kind = 'forced' THEN flags ELSE 0 END AS flags, count(*) AS n FROM (SELECT CASE WHEN p.doc_id IS NOT NULL THEN 'positive' WHEN f.flags IS NOT NULL THEN 'forced' ELSE 'remaining' END AS kind, f.flags FROM u LEFT JOIN pos p USING (doc_id, a, b) LEFT JOIN f USING (doc_id, a, b)) GROUP BY 1, 2""", plain=True)
