@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspan.llm.common import SPACES, WORD, bind, words
+from quillspan.llm.common import SPACES, WORD, bind, key_filter, split, words
 from quillspan.sources.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +31,7 @@ MIN_LEFT = 0.5
 #: Over-limit lines are broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_LINES = 200_000
 _POS_BITS = 24
+_KEY = ("_id", "_host", "_hash")
 
 
 def _covered(starts: Column) -> Column:
@@ -152,11 +153,14 @@ def filter(docs: DataFrame, text: str = "text", host: str = "source", doc_id: st
     at = {c: f"x_{docs.columns.index(c)}" for c in (text, host, doc_id)}
     keyed = _keyed(own, at[text], at[host], at[doc_id])
     rows = materialize(keyed.select("_id", "_host", "_hash", _lines().alias("lines")), "quality")
-    cut = _hits(rows, _frequent(rows, line_docs, line_share), "_id", "_host", "_hash").groupBy("_id", "_host", "_hash").agg(F.collect_set("line").alias("_cut"))
+    cut = _hits(rows, _frequent(rows, line_docs, line_share), *_KEY).groupBy(*_KEY).agg(F.collect_set("line").alias("_cut"))
+    cut = materialize(cut, "lines-cut")
     # a generator, not a filter: the counts of a text are then computed once
     fine = bind(base_stats(F.col("_text")), lambda s: F.struct(s["w"]["n_words"].alias("n"), s["w"]["n_repeat_words"].alias("r")))
     judged = keyed.withColumn("_s", F.explode(F.filter(F.array(fine), lambda s: (s["n"] >= MIN_WORDS) & (100 * s["r"] <= MAX_REPEAT_PERCENT * s["n"]))))
-    met = judged.join(cut, ["_id", "_host", "_hash"], "left")
+    # only texts that may lose a line are shuffled
+    some, none = split(judged, key_filter(cut, *_KEY), *_KEY)
+    met = some.join(cut, list(_KEY), "left").unionByName(none.withColumn("_cut", F.lit(None).cast("array<bigint>")))
     keep = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalized(x))))
     edited = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(keep, "\n"))
     left = lambda t: F.col("_cut").isNull() | (F.size(words(t)) >= MIN_LEFT * F.col("_s.n"))

@@ -33,13 +33,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspan.sources.scratch import materialize
+from quillspan.llm.common import key_filter, split
+from quillspan.sources.scratch import discard, materialize
 
 WINDOW, GRAM = 35, 8
-#: Occurrences above which an anchor's windows travel one by one.
-HOT = 20_000
+#: Rows whose texts are held at once where texts are written.
+ROWS = 256
 #: Words of a shard's automaton; passages folded in a task at once.
 SHARD_WORDS, FOLD = 60_000, 60_000
+#: Occurrences above which an anchor's windows travel one by one.
+HOT = 20_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +50,11 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _values(column: pa.Array) -> Iterator:
+    """A column's values one by one, so that only one text is held as a Python string."""
+    return (x.as_py() for x in column)
+
+
 class Hashes(dict):
     """Word -> 64-bit hash, kept for the words met lately."""
 
@@ -154,7 +162,7 @@ def _anchor_rows(slim: DataFrame, window: int) -> DataFrame:
         hashes, first = Hashes(), TaskContext.get().partitionId() << 36
         for b in batches:
             places, runs = [], []
-            for x in b.column("text").to_pylist():
+            for x in _values(b.column("text")):
                 place, run_hash = anchors(_tokens(x), hashes, window)
                 place = np.unique(place)
                 places.append(place.astype(np.int32))
@@ -211,7 +219,7 @@ def _passages(suspects: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, fold = Hashes(), _Fold()
         for b in batches:
-            for k1, k2, x, flags in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "flags")), strict=True):
+            for k1, k2, x, flags in zip(*(_values(b.column(c)) for c in ("k1", "k2", "text", "flags")), strict=True):
                 words = _tokens(x)
                 place, run_hash = anchors(words, hashes, window)
                 if not len(place):
@@ -313,10 +321,14 @@ def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int, extra: lis
     # rows that repeat a document have the same flags
     flags = flags.join(found.select("rid", "k1", "k2"), "rid").groupBy("k1", "k2").agg(F.first("flags").alias("flags"))
     flags = materialize(flags, "substring-flags")
-    spans = _spans(_passages(slim.join(flags, ["k1", "k2"]), window), window)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    discard(found, again)
+    # of both joins, only texts that may have a match are shuffled
+    suspects = split(slim, key_filter(flags, "k1", "k2"), "k1", "k2")[0].join(flags, ["k1", "k2"])
+    spans = _spans(_passages(suspects, window), window)
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "substring-spans")
     whole = docs.select(*[F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(extra)], k1, k2, F.col(text).cast("string").alias("text"))
-    return whole.join(spans, ["k1", "k2"], "left")
+    some, none = split(whole, key_filter(spans, "k1", "k2"), "k1", "k2")
+    return some.join(spans, ["k1", "k2"], "left").unionByName(none.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def kept_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -333,9 +345,9 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             total, gone, digest = [], [], []
-            for x, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for x, s in zip(_values(b.column("text")), _values(b.column("spans")), strict=True):
                 words = _tokens(x)
                 kept = kept_words(words, s)
                 total.append(len(words))
@@ -351,8 +363,8 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     """``docs`` with repeated spans cut out of the text; a text that loses words has the others joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [x if not s else b" ".join(kept_words(_tokens(x), s)).decode("utf-8", "surrogatepass") for x, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            out = [x if not s else b" ".join(kept_words(_tokens(x), s)).decode("utf-8", "surrogatepass") for x, s in zip(_values(b.column("text")), _values(b.column("spans")), strict=True)]
             own = [c for c in b.schema.names if c.startswith("x_")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.string())], [*own, "text"])
 
