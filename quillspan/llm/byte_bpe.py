@@ -9,7 +9,8 @@ it doubles, in the end to the whole of both halves. Decoding joins the bytes of
 
 Defined results: a null text is encoded as the empty one (no tokens); very long texts, and words longer
 than any window, give the tokens of the whole text; repeated rows each give a row; an empty table gives
-an empty table; extra columns pass through ``encode`` and are ignored by ``digests``.
+an empty table; extra columns pass through ``encode``, one with the new column's name too (the new one then
+has underscores added to its own), and are ignored by ``digests``.
 """
 
 from __future__ import annotations
@@ -105,21 +106,26 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     With ``check`` all ids are decoded again, and a text that they do not give back fails the job."""
     table = _shipped(docs, path)
+    while ids in docs.columns:
+        ids += "_"
+    rows = docs.withColumn(text, F.col(text).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(table.value, pattern)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                piece = b.slice(at, ROWS)
-                texts = [x or "" for x in piece.column(text).to_pylist()]
-                out = [np.array(codec.encode(x), np.int32) for x in texts]
-                if check and any(codec.decode(i.tolist()) != x.encode() for i, x in zip(out, texts, strict=True)):
-                    raise ValueError("token ids do not decode to their text")
+                piece, out = b.slice(at, ROWS), []
+                for x in piece.column(text):
+                    one = x.as_py() or ""
+                    out.append(np.array(codec.encode(one), np.int32))
+                    if check and codec.decode(out[-1].tolist()) != one.encode():
+                        raise ValueError("token ids do not decode to their text")
                 ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
                 packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, packed], [*b.schema.names, ids])
 
-    return docs.withColumn(text, F.col(text).cast("string")).drop(ids).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn(text, F.col(text).cast("string")).drop(ids).schema) + f", `{ids}` array<int>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, `{ids}` array<int>")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -130,8 +136,8 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
         codec = _codec(table.value, pattern)
         for b in batches:
             n, packed, back = [], [], []
-            for x in b.column("text").to_pylist():
-                ids = codec.encode(x or "")
+            for x in b.column("text"):
+                ids = codec.encode(x.as_py() or "")
                 n.append(len(ids))
                 packed.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([fingerprint(x) for x in b.column("text").to_pylist()], pa.int64())], ["doc_id", "h", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([fingerprint(x.as_py()) for x in b.column("text")], pa.int64())], ["doc_id", "h", "fp"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(_text(text)).alias("h"), _text(text).alias("text"))
     return slim.mapInArrow(run, "doc_id long, h long, fp long")

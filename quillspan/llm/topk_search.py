@@ -19,7 +19,8 @@ Defined results: a vector that is null, or holds a null or non-finite component,
 row with a null id; vectors of other lengths than the query's are no candidates for it; rows with the
 query's own id are its own; repeated rows of a query id give one list (of the first vector in order);
 repeated candidate rows each count; fewer candidates than k give all of them; scores are exact integers, above
-2^53 too; one that a 64-bit integer cannot hold is given as the nearest that it can; an empty table gives none.
+2^53 too; one that a 64-bit integer cannot hold is given as the nearest that it can; a component that times the scale
+is beyond doubles counts as the largest of them; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def _valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _integers(v: pa.Array, n: int, scale: float) -> np.ndarray:
-    return np.floor(scale * v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+    most = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)), -most, most)
 
 
 def _matrices(ids: np.ndarray, column: pa.Array, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,7 +72,8 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.k = ids, k
         # dimensions that weigh most first, so that bounds tighten early
-        self.order = np.argsort(-np.square(queries).sum(axis=0), kind="stable")
+        with np.errstate(over="ignore"):
+            self.order = np.argsort(-np.square(queries).sum(axis=0), kind="stable")
         self.q = np.ascontiguousarray(queries[:, self.order])
         self.cuts = [*range(0, self.q.shape[1], DIMS), self.q.shape[1]]
         self.q_rest = self._rest(self.q)
@@ -80,17 +84,20 @@ class Search:
 
     def _rest(self, x: np.ndarray) -> np.ndarray:
         """Norms of the dimensions from each cut on: (cuts, rows)."""
-        mass = np.square(x)
+        with np.errstate(over="ignore"):
+            mass = np.square(x)
         return np.sqrt(np.stack([mass[:, at:].sum(axis=1) for at in self.cuts]))
 
     def floors(self) -> np.ndarray:
-        """The k-th score of every query, -inf where there are fewer; whole numbers above 2^53 rounded down."""
-        return np.nextafter(self.scores[:, -1].astype(np.float64), -np.inf)
+        """A double at most the k-th score of every query, -inf where there are fewer."""
+        most = float(np.finfo(np.float64).max)
+        return np.nextafter(np.array([s if -most <= s <= most else most if s > 0 else -np.inf for s in self.scores[:, -1].tolist()], dtype=np.float64), -np.inf)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         x = vectors[:, self.order]
         self.full += x.size * len(self.q)
-        peak = np.abs(x).max(initial=0.0) * np.abs(self.q).max(initial=0.0) * x.shape[1]
+        with np.errstate(over="ignore"):
+            peak = np.abs(x).max(initial=0.0) * np.abs(self.q).max(initial=0.0) * x.shape[1]
         if peak >= 2.0**53 or self.scores.dtype == object:  # beyond doubles: whole numbers of any size
             self._exact(ids, x)
             return
