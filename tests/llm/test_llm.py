@@ -401,33 +401,6 @@ def test_windows_fall_back_to_full_hashes(spark):
 # ---------------------------------------------------------------- pipeline
 
 
-def test_pipeline_matches_its_stages_by_brute_force(spark):
-    import corpus_pipeline
-    import public_tokenizers as P
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = {r["doc_id"]: r for r in docs.collect()}
-    stage = dict(corpus_pipeline.STAGES)
-    first = stage["quality rules"](spark, docs, DATA).cache()
-    assert first.columns == docs.columns
-    kept = {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
-    assert {r["doc_id"] for r in first.collect()} == kept
-    second = stage["near-dedup"](spark, first, DATA).cache()
-    comp = simhash.components(first).collect()
-    assert {r["doc_id"] for r in second.collect()} == {r["component_id"] for r in comp}
-    third = stage["substring dedup"](spark, second, DATA).cache()
-    ids = [r["doc_id"] for r in second.collect()]
-    want = dict(zip(ids, (x[2] for x in removed([rows[i]["text"] for i in ids], 35)), strict=True))
-    assert {r["doc_id"]: hashlib.sha256(b" ".join(toks(r["text"]))).hexdigest() for r in third.collect()} == want
-    fourth = stage["mixing"](spark, third, DATA).cache()
-    taken = {r["doc_id"]: r["copies"] for r in mixing.taken(third).collect()}
-    assert collections.Counter(r["doc_id"] for r in fourth.collect()) == {i: c for i, c in taken.items() if c}
-    last = stage["byte-level BPE"](spark, fourth, DATA).collect()
-    codec = byte_bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
-    texts = {r["doc_id"]: r["text"] for r in fourth.collect()}
-    assert len(last) == fourth.count() and all(r["ids"] == codec.leaf(texts[r["doc_id"]]) for r in last)
-
-
 def test_pipeline_keeps_one_of_near_copies(spark):
     import corpus_pipeline
 
@@ -486,3 +459,189 @@ def test_pipeline_decodes_its_ids(spark, monkeypatch):
     monkeypatch.setattr(P, "PATTERN", "[a-z]+")  # drops what is no letter
     with pytest.raises(Exception, match="do not decode"):
         last(spark, docs, DATA).collect()
+
+
+# ---------------------------------------------------------------- more of the contracts
+
+
+def test_hmm_scores_match_a_plain_model_and_ignore_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "PART", 50)  # longer texts are trained on in linked parts
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{min(rng.randint(0, 40), rng.randint(0, 4000))}" for _ in range(n))) for i, n in enumerate([300, 7, 0, 45, 120, 30, 49, 51, 5, 64])] + [(None, "w1 W2"), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(plain([r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 4)]) for r in hmm_lm.score(d, hmm_lm.train(d, states=3, rounds=3)).collect()) for d in (df.repartition(1), df.repartition(4, "text"))]
+    assert got[0] == got[1]
+    count = collections.Counter()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    token = lambda t: [*((t or "").lower().encode().split()), b""]
+    for i, t in rows:
+        if not held(i):
+            count.update(token(t))
+    n = sum(count.values())
+    frequent = sorted(w for w, c in count.items() if w and c * hmm_lm.CLASS_SHARE >= n)
+    of = lambda w: 0 if not w else 1 + frequent.index(w) if w in frequent else 1 + len(frequent) + zlib.crc32(w[-4:]) % hmm_lm.SUFFIX_CLASSES
+    size = np.ones(1 + len(frequent) + hmm_lm.SUFFIX_CLASSES)
+    for w, c in count.items():
+        size[of(w)] += c + 1
+    share = size / size.sum()
+    gen = np.random.default_rng(7)
+    emit = share[:, None] * gen.gamma(1.0, size=(len(share), 3))
+    move = np.full((3, 3), 0.1 / 3) + 0.9 * np.eye(3)
+    model = hmm_lm.Model(np.full(3, 1 / 3), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    for _ in range(3):  # plain forward and backward passes in doubles
+        start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros_like(model.emit)
+        for i, t in rows:
+            if held(i):
+                continue
+            x = [of(w) for w in token(t)]
+            alpha, beta = np.zeros((len(x), 3)), np.ones((len(x), 3))
+            for k, o in enumerate(x):
+                alpha[k] = (alpha[k - 1] @ model.move if k else model.start) * model.emit[o]
+                alpha[k] /= alpha[k].sum()
+            for k in range(len(x) - 1, 0, -1):
+                beta[k - 1] = model.move @ (model.emit[x[k]] * beta[k])
+                beta[k - 1] /= beta[k - 1].sum()
+            gamma = alpha * beta
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            start += gamma[0]
+            for k, o in enumerate(x):
+                emits[o] += gamma[k]
+                if k:
+                    xi = alpha[k - 1][:, None] * model.move * (model.emit[o] * beta[k])
+                    moves += xi / xi.sum()
+        model = hmm_lm.maximized(start, moves, emits, share)
+    want = []
+    for i, t in rows:
+        x, a, log = token(t), model.start, 0.0
+        for k, w in enumerate(x):
+            a = (a @ model.move if k else model.start) * model.emit[of(w)]
+            log += math.log10(a.sum()) + math.log10((count[w] + 1) / size[of(w)])
+            a = a / a.sum()
+        want.append((i, len(x), sum(count[w] > 0 for w in x), log))
+    scores = sorted(plain([i, n, k, round(s, 2)]) for i, n, k, s in want)
+    assert scores == sorted(plain([r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 2)]) for r in hmm_lm.score(df, hmm_lm.train(df, states=3, rounds=3)).collect())
+
+
+def test_classifier_statistics_by_a_plain_reading(spark):
+    texts = [t for _, t, *_ in corpus()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", quality_classifier.statistics(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        w, s = [x.decode() for x in toks(t)], got[i].asDict()
+        assert all(math.isfinite(v) for v in s.values()) and set(s) == set(quality_classifier.STATS)
+        if len(w) > 1 and "n_words" in s:
+            assert s["n_words"] in (len(w), math.log(len(w)), math.log1p(len(w)))
+
+
+def test_topk_prunes_and_stays_exact_beyond_doubles(spark):
+    rng = np.random.default_rng(5)
+    # vectors whose mass lies in few dimensions: bounds from the longest vectors bite early
+    x = np.floor(64 * rng.normal(size=(6000, 64)) * np.geomspace(4, 0.01, 64))
+    ids = np.arange(len(x))
+    cold = topk_search.Search(ids[::50], x[::50], 10)
+    warm = topk_search.Search(ids[::50], x[::50], 10)
+    longest = np.argsort(-np.square(x).sum(axis=1))[:500]
+    first = topk_search.Search(ids[::50], x[::50], 10)
+    first.offer(ids[longest], x[longest])
+    warm.warm = first.floors()
+    for at in range(0, len(x), 1000):
+        for s in (cold, warm):
+            s.offer(ids[at : at + 1000], x[at : at + 1000])
+    assert cold.full == warm.full == x.size * 120 and warm.steps < 0.5 * warm.full and warm.steps < cold.steps
+    table = x[::50] @ x.T
+    table[np.arange(120), ids[::50]] = -np.inf
+    for s in (cold, warm):
+        for q in range(120):
+            best = np.lexsort((ids, -table[q]))[:10]
+            assert s.found[q].tolist() == best.tolist() and s.scores[q].tolist() == table[q][best].tolist()
+    # scores next to each other above 2^53, and ones no long can hold
+    big = 2.0**30
+    rows = [(0, [big, 1.0]), *((i, [big, float(i)]) for i in range(1, 6)), (20, [1e300, 1.0]), (40, [-1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk_search.top_k(df, topk_search.every_nth(df), k=6, scale=2.0).orderBy("query_id", "rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out if r["query_id"] == 0] == [(20, 2**63 - 1), *((i, 2**62 + 4 * i) for i in (5, 4, 3, 2, 1))]
+    assert [(r["vec_id"], r["score"]) for r in out if r["query_id"] == 40] == [(i, -(2**63)) for i in (0, 1, 2, 3, 4, 5)]  # equal as given, so by id
+
+
+def test_simhash_component_ids(spark):
+    import xxhash
+
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randint(0, 500)}" for _ in range(400)]
+        for k in range(4):
+            w = list(base)
+            for at in rng.sample(range(400), 3 * k):
+                w[at] = f"n{rng.randint(0, 9999)}"
+            rows.append((1000 - len(rows), " ".join(w)))
+    rows += [(5, rows[0][1]), (5, rows[0][1]), (None, rows[9][1]), (None, "lone words of no id"), (7, None), (8, "")]
+
+    def fingerprint(t):
+        w = (t or "").lower().encode().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fingerprint(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[top(i)] = min((x for x in (low.get(top(i)), d) if x is not None), default=None)
+    assert len({top(i) for i in range(len(rows))}) < len(set(fps))
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(plain(list(r)) for r in got) == sorted(plain([d, f"{fps[i]:016x}", low[top(i)]]) for i, (d, _) in enumerate(rows))
+
+
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    rows = [(None, "a b c d e f g h i j", "s", i) for i in range(40)] + [(1, "k l m", "s", 0), (2, "n " * 30, "s", 0), (3, "o " * 7, "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5)
+    out = mixing.taken(df).collect()
+    target, took = {r["source_size"]: r["target"] for r in out}, collections.Counter()
+    for r in out:
+        took[r["source_size"]] += r["taken"]
+        assert r["taken"] % max(1, r["size"]) == 0
+    assert all(abs(took[s] - t) <= 2 for s, t in target.items()) and len({r["taken"] for r in out if r["size"] == 10}) == 2
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and sum(len(toks(r["text"])) for r in mixed.collect()) == sum(took.values())
+
+
+@pytest.mark.parametrize("bits", [60, 2])
+def test_windows_with_clashing_prefixes_and_long_texts(spark, monkeypatch, bits):
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abcdef") + rng.choice(["", "1", "2"]) for _ in range(n)) for n in (0, 2, 3, 4, 30, 200, 700)]
+    monkeypatch.setattr(quality_rules, "_POS_BITS", bits)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", quality_rules.repeated_window_words(F.filter(F.split("t", " "), lambda w: w != "")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        assert got[i] == len({k + j for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for j in range(3)})
+
+
+def test_encode_keeps_a_column_of_its_own_name(spark):
+    import public_tokenizers as P
+
+    docs = spark.createDataFrame([(1, "some words", "mine")], "doc_id long, text string, ids string")
+    out = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert out.columns == ["doc_id", "text", "ids", "ids_"] and out.first()["ids"] == "mine" and len(out.first()["ids_"]) == 2
+
+
+def test_key_filter_splits_without_loss(spark):
+    from quillspan.llm.common import key_filter, split
+
+    rows = spark.range(3000).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("b"))
+    keys = rows.where("a % 5 = 0")
+    some, none = split(rows, key_filter(keys, "a", "b"), "a", "b")
+    assert some.count() + none.count() == 3000 and some.join(none, "a").count() == 0 and keys.join(none, "a").count() == 0 and none.count() > 2300
+    some, none = split(rows, key_filter(keys.limit(0), "a", "b"), "a", "b")
+    assert some.count() == 0 and none.count() == 3000
