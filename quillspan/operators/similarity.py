@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspan.functions.text import jaccard, masked, normalized, shingles
+from quillspan.operators import near
 from quillspan.operators.components import connected_components
 from quillspan.sources.scratch import materialize
 
@@ -110,16 +111,26 @@ def cross_audit(queries: DataFrame, references: DataFrame, ident: str = "id", te
     return every.groupBy(F.col("a").alias("query")).agg(F.count("*").alias("candidates"), best.alias("x"), F.count_if(F.col("jaccard") >= threshold).alias("above")).select("query", "candidates", (-F.col("x.m")).alias("best"), F.col("x.ref").alias("best_reference"), "above")
 
 
-def families(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def word_runs(text: str | None) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's runs of five words, sorted; none if it is shorter."""
+    w = (text or "").split()
+    runs = (" ".join(w[i : i + SHINGLE]).encode() for i in range(len(w) - SHINGLE + 1))
+    return np.unique(np.fromiter((int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little") for r in runs), dtype=np.uint64))
+
+
+def families(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, group_id): families joined by equal normalized text, equal digit-masked text, or near-duplicate
     masked texts; the id is the smallest member's.
 
-    One representative stands for each masked text in the pair join, which misses no pair, so repeated templates are not paired up.
+    One representative stands for each masked text; what is similar meets at hubs (see ``near``), so neither repeated
+    templates nor wide families are paired up.
     """
     base = docs.select(F.col(ident).alias("id"), normalized(F.col(text)).alias("norm"), masked(F.col(text)).alias("mask"))
     own = materialize(base.select("id", F.sha2("norm", 256).alias("norm"), F.sha2("mask", 256).alias("key"), "mask"), "family-keys")
     reps = own.groupBy("key").agg(F.min("id").alias("rep"), F.first("mask").alias("mask"))
-    near = exact_pairs(materialize(reps.select(F.col("rep").alias("id"), "mask"), "family-masks"), "id", "mask", threshold).select("a", "b")
+    masks = materialize(reps.select(F.col("rep").alias("h"), F.col("mask").alias("text")).where(F.col("text").isNotNull()), "family-masks")
+    keyed = materialize(near.signatures(masks, word_runs), "family-signed")
+    linked = near.links(keyed, lambda wanted: near.shingle_sets(masks, word_runs, wanted))
     star = lambda c: own.join(own.groupBy(c).agg(F.min("id").alias("b")), c).where("id <> b").select(F.col("id").alias("a"), "b")
-    found = connected_components(near.unionByName(star("key")).unionByName(star("norm")), "a", "b")
+    found = connected_components(linked.unionByName(star("key")).unionByName(star("norm")), "a", "b")
     return own.select("id").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(ident), F.coalesce("component", "id").alias("group_id"))
