@@ -41,8 +41,8 @@ WINDOW, GRAM = 35, 8
 ROWS = 256
 #: Words of a shard's automaton; passages folded in a task at once.
 SHARD_WORDS, FOLD = 60_000, 60_000
-#: Occurrences above which an anchor's windows travel one by one.
-HOT = 20_000
+#: Occurrences above which an anchor's windows travel one by one: below it, its passages of some 60 words fill a shard at most.
+HOT = SHARD_WORDS // 60
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
