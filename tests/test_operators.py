@@ -282,3 +282,53 @@ def test_bootstrap_agrees_with_resampling(spark):
     ratio = x[draws, 0].sum(axis=1) / x[draws, 1].sum(axis=1)
     low, mid, high = np.quantile(ratio, [0.025, 0.5, 0.975])
     assert abs(out["low"] - low) < 0.006 and abs(out["median"] - mid) < 0.006 and abs(out["high"] - high) < 0.006
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import types as T
+
+    p = tmp_path / "loose.csv"
+    p.write_text('﻿"id",text\n1,"a ""b"", c"\n2,\n', encoding="utf-8")
+    loose = tabular.read_csv_loose(spark, str(p))
+    assert loose.columns == ["id", "text"] and [tuple(r) for r in loose.orderBy("id").collect()] == [("1", 'a "b", c'), ("2", None)]
+    lines = tmp_path / "x.jsonl"
+    lines.write_text('{"a": 1, "b": "x"}\n{"b": "ü\\n", "c": [1]}\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    assert sorted((r["a"] or 0, r["b"]) for r in tabular.read_jsonl(spark, str(lines), schema).collect()) == [(0, "ü\n"), (1, "x")]
+    lines.write_text('{"a": 1}\n{broken\n', encoding="utf-8")
+    with pytest.raises(Exception, match="Malformed|FAILFAST|malformed"):
+        tabular.read_jsonl(spark, str(lines), schema).collect()
+    assert tabular.read_jsonl(spark, str(lines), schema, strict=False).where("a = 1").count() == 1
+    array = tmp_path / "x.json"
+    array.write_text('[{"document_id": "d1", "group_id": "g", "text": "{\\"document_id\\": 3}"}, {"document_id": "d2", "deep": {"document_id": "no"}}]', encoding="utf-8")
+    assert sorted((r["document_id"], r["group_id"]) for r in tabular.read_identities(spark, str(array)).collect()) == [("d1", "g"), ("d2", None)]
+    df = spark.createDataFrame([(2, "b,\"q\""), (1, "a"), (3, "c")], "n int, v string")
+    tabular.write_csv_ordered(df, f"{tmp_path}/sub", "n")
+    files = list((tmp_path / "sub").glob("part-*.csv"))
+    assert len(files) == 1 and files[0].read_text(encoding="utf-8") == 'v\na\n"b,""q"""\nc\n'
+    tabular.write_parquet(df, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    with pytest.raises(PySparkException):
+        tabular.write_parquet(df, f"{tmp_path}/out")
+
+
+def test_scratch_tables_are_discarded_and_need_a_shared_folder(spark, monkeypatch):
+    import os
+
+    from quillspan.sources import scratch
+
+    df = scratch.materialize(spark.range(3), "t")
+    path = df.scratch_path.removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(path) and df.count() == 3
+    scratch.discard(df)
+    assert not os.path.exists(path)
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext, conf = Context(), type("C", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Session())
