@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspan.operators.components import connected_components
+from quillspan.operators.keyfilter import key_filter, split
 from quillspan.sources.scratch import discard, materialize
 
 SEED, THRESHOLD = 42, 0.8
@@ -148,9 +149,12 @@ def _linkable(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): linked texts, enough of them to give every component. ``keyed``: (h, keys) of every row, equal texts
     with equal h; ``sets_of``: from the (h) of some texts, (h, s) of each, once."""
-    rows = keyed.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
-    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
-    met = materialize(rows.join(sizes, "key"), "near-met")
+    rows = keyed.select("h", F.explode("keys").alias("key"))
+    # keys of several texts; equal texts count as often as they stand, which only weighs hubs
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    sizes = materialize(sizes.select("key", "n"), "near-sizes")
+    shared, _ = split(rows, key_filter(sizes, "key"), "key")
+    met = materialize(shared.join(sizes, "key").distinct(), "near-met")
     degree = materialize(met.groupBy("h").agg(F.sum("n").alias("degree")), "near-degrees")
     sets = materialize(sets_of(degree.select("h")).withColumn("n", F.size("s")), "near-sets")
     hubs = met.join(degree, "h").groupBy("key").agg(F.max(F.struct("degree", "h"))["h"].alias("hub"))

@@ -31,22 +31,23 @@ def candidate_table(spark, d) -> DataFrame:
 @query
 def candidate_logistic(spark, d):
     t = candidate_table(spark, d)
-    model = scoring.hashed_logistic(t.where("fold > 0"), ["label", "lang", "right_char", "chars", "position", "prior_logit"], size=1 << 16)
+    model = scoring.hashed_logistic(t.where("fold > 0"), ["label", "lang", "right_char", "chars", "position", "prior_logit"])
     return scoring.probability(model, t).select(*evaluation.SPAN, "y", F.round("score", 6).alias("score"))
 
 
 @query
 def candidate_trees(spark, d):
     t = candidate_table(spark, d)
-    model = scoring.boosted_trees(t.where("fold > 0"), ["chars", "position", "prior_logit", "right_word"], ["label", "lang"], trees=5, depth=3)
+    model = scoring.boosted_trees(t.where("fold > 0"), ["chars", "position", "prior_logit", "right_word"], ["label", "lang"])
     return scoring.probability(model, t).select(*evaluation.SPAN, "y", F.round("score", 6).alias("score"))
 
 
 @query
 def style_classifier(spark, d):
     t = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("y"))
-    model = scoring.style_classifier(t, size=1 << 15, rounds=10)
-    return scoring.probability(model, t).select("doc_id", "y", F.round("score", 6).alias("score"))
+    t = t.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = scoring.style_classifier(t.where("not held_out"))
+    return scoring.probability(model, t).select("doc_id", "y", "held_out", F.round("score", 6).alias("score"))
 
 
 @query
