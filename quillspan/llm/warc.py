@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspan.operators.keyfilter import key_filter, split
 from quillspan.sources.scratch import fresh_path, materialize
 
 MIN_REVISIT, SEGMENT, CHUNK = 1000, 16 << 10, 4 << 10
@@ -102,9 +103,12 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", payload: str =
     slim = pages.select(F.col(page_id).cast("long").alias("page_id"), body.alias("body")).withColumns({"bytes": F.octet_length("body"), "digest": F.sha1("body")})
     groups = slim.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = materialize(groups.withColumnsRenamed({"digest": "g_digest", "bytes": "g_bytes"}), "warc-groups")
+    same = (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes"))
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    joined = slim.join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes")), "left")
+        joined = slim.join(F.broadcast(groups), same, "left")
+    else:  # only pages that may belong to a group are shuffled
+        some, none = split(slim, key_filter(groups.select(F.col("g_digest").alias("digest"), F.col("g_bytes").alias("bytes")), "digest", "bytes"), "digest", "bytes")
+        joined = some.join(groups, same, "left").unionByName(none, allowMissingColumns=True)
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     told = joined.select("page_id", F.monotonically_increasing_id().alias("mark"), "body", "digest", "owner", revisit.alias("revisit"))
 

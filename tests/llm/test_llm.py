@@ -143,7 +143,9 @@ def test_compiled_rules_score_as_the_rows(spark):
 # ---------------------------------------------------------------- 3
 
 
-def test_warc_round_trip_with_segments(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc_round_trip_with_segments(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", broadcast)
     big = "é日" * 30_000
     rows = [(1, "a" * 2000), (2, "a" * 2000), (2, "a" * 2000), (3, "small"), (4, "small"), (5, None), (6, ""), (None, big), (7, big), (8, "x\r\n\r\nWARC/1.1\r\n\r\n" * 100), (None, "lonely" * 300)]
     pages = spark.createDataFrame([(p, h, "u", 1) for p, h in rows], "page_id long, html string, url string, digest int")
