@@ -54,8 +54,20 @@ def band(value: Column, edges: list[tuple[int, str]], rest: str) -> Column:
     return reduce(lambda a, e: a.when(value <= e[0], e[1]), edges[1:], F.when(value <= edges[0][0], edges[0][1])).otherwise(rest)
 
 
+#: The bands of counts, of counts in audits, of lengths in tokens, of margins and of similarities.
+COUNT_BANDS, AUDIT_BANDS = ([(10, "1-10"), (15, "11-15")], "16+"), ([(10, "0-10"), (15, "11-15")], "16+")
+LENGTH_BANDS = ([(128, "<=128"), (256, "129-256")], ">256")
+MARGIN_BANDS = ([(0.0, "<0"), (2.0, "0-2"), (5.0, "2-5")], ">=5")
+SIMILARITY_BANDS = ([(0.5, "0-0.5"), (0.8, "0.5-0.8"), (0.9, "0.8-0.9")], "0.9-1.0")
+
+
+def band_below(value: Column, edges: list[tuple[float, str]], rest: str) -> Column:
+    """The name of the first edge that the value is below."""
+    return reduce(lambda a, e: a.when(value < e[0], e[1]), edges[1:], F.when(value < edges[0][0], edges[0][1])).otherwise(rest)
+
+
 def count_band(value: Column) -> Column:
-    return band(value, [(10, "1-10"), (15, "11-15")], "16+")
+    return band(value, *COUNT_BANDS)
 
 
 def shape(word: Column) -> Column:

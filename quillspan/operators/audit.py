@@ -66,6 +66,14 @@ def invalid_entities(entities: DataFrame, labels: tuple[str, ...], text: str = "
     return entities.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(only_first, only_second, both, subset, equal) of two columns of keys, as sets."""
+    side = lambda df, n: df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(n, F.lit(1))
+    met = side(a, "_a").join(side(b, "_b"), key, "full_outer")
+    only = met.agg(F.count_if(F.col("_b").isNull()).alias("only_first"), F.count_if(F.col("_a").isNull()).alias("only_second"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
+    return only.withColumns({"subset": F.col("only_first") == 0, "equal": (F.col("only_first") == 0) & (F.col("only_second") == 0)})
+
+
 def shared_partitions(rows: DataFrame, pools: DataFrame, key: str, name: str, into: str = "overlap_partitions") -> DataFrame:
     """``rows`` with the sorted names of the pools that hold their key."""
     found = pools.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias(into))

@@ -160,6 +160,24 @@ def paired(per_a: DataFrame, per_b: DataFrame) -> DataFrame:
     return a.join(b, "doc_id").agg(F.count("*").alias("documents"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), F.count_if(d == 0).alias("tied"), F.sum(F.greatest(d, F.lit(0))).alias("gained"), F.sum(F.greatest(-d, F.lit(0))).alias("lost"), ratio(F.sum(d), F.sum("n_gold")).alias("gain"))
 
 
+def paired_by_pool(per_a: DataFrame, per_b: DataFrame, gold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``paired`` for documents whose gold spans are all candidates, and for the others: (complete, documents, ...)."""
+    lacking = gold.select(*SPAN).join(candidates.select(*SPAN).distinct(), SPAN, "left_anti").select("doc_id").distinct().withColumn("complete", F.lit(False))
+    docs = per_a.select("doc_id").join(lacking, "doc_id", "left").withColumn("complete", F.coalesce("complete", F.lit(True)))
+    both = per_a.select("doc_id", "n_gold", F.col("slot_correct").alias("a")).join(per_b.select("doc_id", F.col("slot_correct").alias("b")), "doc_id").join(docs, "doc_id")
+    d = F.col("b") - F.col("a")
+    return both.groupBy("complete").agg(F.count("*").alias("documents"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), F.count_if(d == 0).alias("tied"), F.sum(F.greatest(d, F.lit(0))).alias("gained"), F.sum(F.greatest(-d, F.lit(0))).alias("lost"), ratio(F.sum(d), F.sum("n_gold")).alias("gain"))
+
+
+def slot_ids(rows: DataFrame, column: str = "row_id") -> DataFrame:
+    """``rows`` with document, slot and ``valid`` of ids like "doc_07": a number after the last underscore, of two digits
+    at least, padded with zeros to two only, from 1."""
+    digits = F.regexp_extract(column, r"_(\d+)$", 1)
+    slot = F.expr(f"try_cast(nullif(regexp_extract({column}, '_([0-9]+)$', 1), '') as int)")
+    fine = F.col(column).rlike(r"^.+_\d{2,}$") & (slot >= 1) & ((F.length(digits) == 2) | ~digits.startswith("0"))
+    return rows.withColumns({"document": F.regexp_extract(column, r"^(.*)_\d+$", 1), "slot": slot, "valid": F.coalesce(fine, F.lit(False))})
+
+
 def submission(predicted: DataFrame, template: DataFrame) -> DataFrame:
     """(row_order, row_id, Predicted): predictions put on the template's slots, in its order."""
     value = F.concat_ws(":", "label", F.col("start").cast("string"), F.col("end").cast("string")).alias("Predicted")

@@ -132,7 +132,8 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 def _mixed(named: DataFrame, tag: str) -> DataFrame:
     """The rows of ``named`` (key, h, part, ...) in buckets of several parts."""
     keys = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    return materialize(named.join(keys, "key"), tag)
+    # written, so that the rows of a hot key can be split where they meet it
+    return materialize(named.join(materialize(keys, f"{tag}-keys"), "key"), tag)
 
 
 def _linkable(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, FeatureHasher, HashingTF, NGram, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from quillspan.sources import artifacts
 
 
 def _typed(df: DataFrame, label: str) -> DataFrame:
@@ -59,6 +61,19 @@ def probability(model: PipelineModel, df: DataFrame, name: str = "score") -> Dat
     return out.select(*[F.col(f"`{c}`") for c in df.columns], vector_to_array(F.col(column))[1].alias(name))
 
 
+def save_model(model: PipelineModel, path: str) -> str:
+    """Write a fitted model; its digest."""
+    model.write().save(path)
+    return artifacts.digest(SparkSession.active(), path)
+
+
+def load_model(path: str, digest: str) -> PipelineModel:
+    """A model as it was written; an error if a file has changed since."""
+    if artifacts.digest(SparkSession.active(), path) != digest:
+        raise artifacts.ArtifactError("the model has changed")
+    return PipelineModel.load(path)
+
+
 def out_of_fold(df: DataFrame, fold: str, folds: int, fit, name: str = "score") -> DataFrame:
     """``df`` with each row scored by the model fitted on the other folds."""
     out = None

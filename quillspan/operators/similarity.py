@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillspan.functions.text import jaccard, masked, normalized, shingles
-from quillspan.operators import near
+from quillspan.functions.text import SIMILARITY_BANDS, band_below, jaccard, masked, normalized, shingles
+from quillspan.operators import near, splitting
 from quillspan.operators.components import connected_components
 from quillspan.sources.scratch import materialize
 
@@ -102,11 +102,33 @@ def exact_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     return verified(met, own, own, "id", threshold)
 
 
+def cross_pairs(queries: DataFrame, references: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
+    """(a, b, jaccard): queries and references that share a band, whatever their similarity."""
+    q, r = materialize(with_signature(queries, text), "audit-q"), materialize(with_signature(references, text), "audit-r")
+    return verified(lsh_pairs(q, r, ident), q, r, ident, 0.0)
+
+
+def cross_bins(pairs: DataFrame) -> DataFrame:
+    """(bin, pairs, queries, references) of similar pairs (a, b, jaccard), by band of similarity."""
+    return pairs.groupBy(band_below(F.col("jaccard"), *SIMILARITY_BANDS).alias("bin")).agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("queries"), F.count_distinct("b").alias("references"))
+
+
+def group_and_sample(docs: DataFrame, size: int, most: int, folds: int, least: int, seed: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ident, group_id, fold): whole families in hash order until ``size`` documents, dealt to folds of about one size.
+
+    More than ``most`` documents, or fewer than ``least`` families a fold, are an error: families are not cut."""
+    own = materialize(families(docs, ident, text), "sample-families")
+    chosen = materialize(splitting.family_sample(own.groupBy("group_id").agg(F.count("*").alias("size")), size, seed), "sample-chosen")
+    found = chosen.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count("*").alias("families")).first()
+    if found["n"] > most or found["families"] < folds * least:
+        raise ValueError(f"the sample has {found['n']} documents in {found['families']} families")
+    return own.join(splitting.greedy_folds(chosen, folds, seed).select("group_id", "fold"), "group_id").select(ident, "group_id", "fold")
+
+
 def cross_audit(queries: DataFrame, references: DataFrame, ident: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(query, candidates, best, best_reference, above): for each query with a candidate, the most similar
     reference (ties to the smaller id) and how many reach the threshold."""
-    q, r = materialize(with_signature(queries, text), "audit-q"), materialize(with_signature(references, text), "audit-r")
-    every = verified(lsh_pairs(q, r, ident), q, r, ident, 0.0)
+    every = cross_pairs(queries, references, ident, text)
     best = F.min(F.struct((-F.col("jaccard")).alias("m"), F.col("b").alias("ref")))
     return every.groupBy(F.col("a").alias("query")).agg(F.count("*").alias("candidates"), best.alias("x"), F.count_if(F.col("jaccard") >= threshold).alias("above")).select("query", "candidates", (-F.col("x.m")).alias("best"), F.col("x.ref").alias("best_reference"), "above")
 

@@ -15,6 +15,12 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def nested_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:
+    """(outer, counts): for each value, a map from the values of ``inner`` beside it to their number, in order."""
+    per = df.groupBy(outer, F.coalesce(F.col(inner).cast("string"), F.lit("")).alias("_i")).agg(F.count("*").alias("_n"))
+    return per.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_i", "_n")))).alias("counts"))
+
+
 def quantile_profile(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
     """(group, field, n, mean, std, quantiles): linear quantiles and population deviation of each column.
 

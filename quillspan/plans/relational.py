@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from quillspan.functions import text
 from quillspan.functions.text import count_band, group_hash, words
-from quillspan.operators import audit, reassembly, splitting, stats
+from quillspan.operators import audit, evaluation, reassembly, splitting, stats
 from quillspan.sources.adapters import read, segments
 
 QUERIES, ORACLES = {}, {}
@@ -85,8 +86,8 @@ def contiguity(spark, d):
     return audit.contiguity(read(spark, d, "conversations"), "conv_id", "turn")
 
 
-@query("""SELECT * FROM (
-  SELECT 'n_chars' AS name, count(*) FILTER (length(text) <> n_chars) AS failures, count(*) AS denominator FROM documents
+@query("""SELECT name, failures, denominator, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN name = 'short_text' THEN (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT doc_id::VARCHAR AS i FROM documents WHERE length(text) < 200 ORDER BY 1 LIMIT 8)) ELSE '' END AS examples FROM (
+  SELECT 'short_text' AS name, count(*) FILTER (length(text) < 200) AS failures, count(*) AS denominator FROM documents UNION ALL SELECT 'n_chars' AS name, count(*) FILTER (length(text) <> n_chars) AS failures, count(*) AS denominator FROM documents
   UNION ALL SELECT 'unique_id', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)), (SELECT count(DISTINCT doc_id) FROM documents)
   UNION ALL SELECT 'label_owner', count(*) FILTER (d.doc_id IS NULL), count(*) FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id))""")
 def check_rows(spark, d):
@@ -95,7 +96,8 @@ def check_rows(spark, d):
     b = audit.check("unique_id", docs.groupBy("doc_id").count(), F.col("count") > 1, "doc_id")
     owned = lab.join(docs.select("doc_id").distinct().withColumn("own", F.lit(1)), "doc_id", "left")
     c = audit.check("label_owner", owned, F.col("own").isNull(), "doc_id")
-    return a.unionByName(b).unionByName(c).select("name", "failures", "denominator")
+    few = audit.check("short_text", docs, F.length("text") < 200, "doc_id")
+    return a.unionByName(b).unionByName(c).unionByName(few).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("SELECT lang AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 9) AS share FROM documents GROUP BY lang")
@@ -125,10 +127,11 @@ def numeric_drift_smd(spark, d):
 
 
 @query("""WITH c AS (SELECT value AS x, count(*) FILTER (event_type <> 'click') AS a, count(*) FILTER (event_type = 'click') AS b FROM events GROUP BY 1)
-SELECT (SELECT sum(a) FROM c)::BIGINT AS n_first, (SELECT sum(b) FROM c)::BIGINT AS n_second, round(max(g), 9) AS statistic FROM (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS g FROM c)""")
+SELECT n_first, n_second, round(statistic, 9) AS statistic, round(CASE WHEN z < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(generate_series(1, 100), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * j * j * z * z))))) END, 9) AS p_value
+FROM (SELECT *, statistic * sqrt(n_first * n_second / (n_first + n_second)) AS z FROM (SELECT (SELECT sum(a) FROM c)::BIGINT AS n_first, (SELECT sum(b) FROM c)::BIGINT AS n_second, max(g) AS statistic FROM (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS g FROM c)))""")
 def ks_statistic(spark, d):
     out = stats.ks_statistic(read(spark, d, "events"), F.col("event_type") == "click", "value")
-    return out.select(F.col("n_first").cast("long").alias("n_first"), F.col("n_second").cast("long").alias("n_second"), F.round("statistic", 9).alias("statistic"))
+    return out.select(F.col("n_first").cast("long").alias("n_first"), F.col("n_second").cast("long").alias("n_second"), F.round("statistic", 9).alias("statistic"), F.round("p_value", 9).alias("p_value"))
 
 
 @query("""WITH p AS (SELECT lang AS v, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), q AS (SELECT lang AS v, count(*) / sum(count(*)) OVER () AS q FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
@@ -205,6 +208,18 @@ def group_pivot_counts(spark, d):
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 9).alias("avg_disc"))
 
 
+@query("SELECT lang, string_agg(source || '=' || n, ',' ORDER BY source) AS counts FROM (SELECT lang, coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
+def nested_counts(spark, d):
+    out = stats.nested_counts(read(spark, d, "documents"), "lang", "source")
+    return out.select("lang", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer), m AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b USING (k))
+SELECT count(*) FILTER (y IS NULL) AS only_first, count(*) FILTER (x IS NULL) AS only_second, count(*) FILTER (x = y) AS both, count(*) FILTER (y IS NULL) = 0 AS subset, count(*) FILTER (y IS NULL OR x IS NULL) = 0 AS equal FROM m""")
+def set_relation(spark, d):
+    return audit.set_relation(read(spark, d, "orders").select(F.col("o_custkey").alias("k")), read(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
 @query("SELECT doc_id, concat_ws('|', source, lang, CASE WHEN n <= 10 THEN '1-10' WHEN n <= 15 THEN '11-15' ELSE '16+' END) AS stratum FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM documents)")
 def stratum_keys(spark, d):
     lines = F.size(F.split("text", "\n", -1))
@@ -291,11 +306,24 @@ def examples_per_category(spark, d):
     return splitting.top_per(c, ["c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], 8)
 
 
-@query("SELECT row_id, regexp_extract(row_id, '^(.*)_(\\d+)$', 1) AS document_id, regexp_extract(row_id, '^(.*)_(\\d+)$', 2)::INT AS slot FROM (SELECT o_orderkey || '_' || lpad((o_custkey % 30 + 1)::VARCHAR, 2, '0') AS row_id FROM orders)")
+@query("""SELECT row_id, regexp_extract(row_id, '^(.*)_[0-9]+$', 1) AS document, try_cast(nullif(regexp_extract(row_id, '_([0-9]+)$', 1), '') AS INT) AS slot, coalesce(regexp_matches(row_id, '^.+_[0-9]{2,}$') AND try_cast(nullif(regexp_extract(row_id, '_([0-9]+)$', 1), '') AS INT) >= 1 AND (length(regexp_extract(row_id, '_([0-9]+)$', 1)) = 2 OR NOT starts_with(regexp_extract(row_id, '_([0-9]+)$', 1), '0')), false) AS valid
+FROM (SELECT CASE o_orderkey % 6 WHEN 0 THEN o_orderkey || '_' || (o_custkey % 30) WHEN 1 THEN o_orderkey || '_a' || o_custkey WHEN 2 THEN '_' || lpad((o_custkey % 130)::VARCHAR, 3, '0') ELSE o_orderkey || '_' || lpad((o_custkey % 130)::VARCHAR, greatest(2, length((o_custkey % 130)::VARCHAR))::INT, '0') END AS row_id FROM orders)""")
 def slot_id_parse(spark, d):
-    rid = F.concat(F.col("o_orderkey").cast("string"), F.lit("_"), F.lpad((F.col("o_custkey") % 30 + 1).cast("string"), 2, "0"))
-    rows = read(spark, d, "orders").select(rid.alias("row_id"))
-    return rows.select("row_id", F.regexp_extract("row_id", r"^(.*)_(\d+)$", 1).alias("document_id"), F.regexp_extract("row_id", r"^(.*)_(\d+)$", 2).cast("int").alias("slot"))
+    n, key = (F.col("o_custkey") % 130).cast("string"), F.concat(F.col("o_orderkey").cast("string"), F.lit("_"))
+    kind = F.col("o_orderkey") % 6
+    odd = F.when(kind == 0, F.concat(key, (F.col("o_custkey") % 30).cast("string"))).when(kind == 1, F.concat(key, F.lit("a"), F.col("o_custkey").cast("string"))).when(kind == 2, F.concat(F.lit("_"), F.lpad(n, 3, "0")))
+    return evaluation.slot_ids(read(spark, d, "orders").select(odd.otherwise(F.concat(key, F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))).alias("row_id")))
+
+
+BANDED = "SELECT n_chars AS n, doc_id % 10 / 10.0 AS s, doc_id % 13 - 3.0 AS m, len(string_split(text, chr(10))) AS c FROM documents"
+
+
+@query(f"""SELECT count_band, audit_band, length_band, margin_band, similarity_band, count(*) AS n FROM (SELECT CASE WHEN c <= 10 THEN '1-10' WHEN c <= 15 THEN '11-15' ELSE '16+' END AS count_band, CASE WHEN c <= 10 THEN '0-10' WHEN c <= 15 THEN '11-15' ELSE '16+' END AS audit_band,
+  CASE WHEN n <= 128 THEN '<=128' WHEN n <= 256 THEN '129-256' ELSE '>256' END AS length_band, CASE WHEN m < 0 THEN '<0' WHEN m < 2 THEN '0-2' WHEN m < 5 THEN '2-5' ELSE '>=5' END AS margin_band, CASE WHEN s < 0.5 THEN '0-0.5' WHEN s < 0.8 THEN '0.5-0.8' WHEN s < 0.9 THEN '0.8-0.9' ELSE '0.9-1.0' END AS similarity_band FROM ({BANDED})) GROUP BY ALL""")
+def band_counts(spark, d):
+    lines, n = F.size(F.split("text", "\n", -1)), F.col("n_chars")
+    bands = {"count_band": text.band(lines, *text.COUNT_BANDS), "audit_band": text.band(lines, *text.AUDIT_BANDS), "length_band": text.band(n, *text.LENGTH_BANDS), "margin_band": text.band_below(F.col("doc_id") % 13 - F.lit(3.0), *text.MARGIN_BANDS), "similarity_band": text.band_below(F.col("doc_id") % 10 / F.lit(10.0), *text.SIMILARITY_BANDS)}
+    return read(spark, d, "documents").select(*[c.alias(k) for k, c in bands.items()]).groupBy(*bands).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, paragraph, count(*) AS lines FROM (SELECT doc_id, segment_index, sum(CASE WHEN nb AND prev < segment_index - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY segment_index)::BIGINT AS paragraph FROM (SELECT *, max(CASE WHEN nb THEN segment_index END) OVER (PARTITION BY doc_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT *, regexp_matches(text, '\\S') AS nb FROM (SELECT doc_id, unnest(ls) AS text, (generate_subscripts(ls, 1) - 1)::INT AS segment_index FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))))) GROUP BY 1, 2")

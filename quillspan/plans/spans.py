@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions.text import masked, shingles
-from quillspan.operators import annotations, audit, calibration, candidates, decode, evaluation, features, similarity, stats
+from quillspan.operators import annotations, audit, calibration, candidates, decode, evaluation, features, replay, similarity, stats
 from quillspan.schemas import LABELS, TAGS
 from quillspan.sources import adapters
 from quillspan.sources.adapters import SQL, read
@@ -34,7 +34,7 @@ def relations(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 KEYS = 'doc_id, start, "end", label'
 #: SQL for the tokens of a text with their offsets: pieces that cover it, the white ones left out.
-TOKENS = r"""tk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS i, (e - length(t))::INT AS start, e::INT AS "end", t AS token FROM (
+TOKENS = r"""tk AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS i, (e - length(t))::INT AS start, e::INT AS "end", t AS token FROM (
   SELECT doc_id, k, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (
     SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]|\s+') AS ts FROM documents))) WHERE NOT regexp_matches(t, '^\s'))"""
 
@@ -111,11 +111,15 @@ def entity_slices(spark, d):
     return g.select("doc_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
 
 
-@query("""SELECT 'text' AS reason, count(*) AS n FROM pred p JOIN gold g USING (doc_id, start) WHERE p."end" <> g."end" HAVING count(*) > 0""")
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p.start % 19 = 0 THEN 'label' WHEN p.start % 23 = 0 OR p.start % 29 = 0 OR p.start % 31 = 0 THEN 'bounds' WHEN p."end" <> g."end" THEN 'text' END AS reason FROM pred p JOIN gold g USING (doc_id, start)) WHERE reason IS NOT NULL GROUP BY 1""")
 def entity_validation(spark, d):
+    """Predictions against the text of gold, some with a label that there is not, some outside the text, empty or turned round."""
     g, p, _ = relations(spark, d)
     rows = p.join(g.select("doc_id", "start", F.col("value").alias("text")), ["doc_id", "start"]).join(read(spark, d, "documents").select("doc_id", F.col("text").alias("full_text")), "doc_id")
-    return audit.invalid_entities(rows, LABELS)
+    s = F.col("start")
+    label = F.when(s % 19 == 0, "OTHER").otherwise(F.col("label"))
+    end = F.when(s % 23 == 0, F.length("full_text") + 1).when(s % 29 == 0, s).when(s % 31 == 0, s - 1).otherwise(F.col("end"))
+    return audit.invalid_entities(rows.withColumns({"label": label, "end": end}), LABELS)
 
 
 OVER = """x AS (SELECT doc_id, start, "end" + start % 9 AS "end", label FROM gold)"""
@@ -317,6 +321,25 @@ def paired_arms(spark, d):
     return out.withColumn("gain", F.round("gain", 9))
 
 
+@query(f"""SELECT complete, count(*) AS documents, count(*) FILTER (b > a) AS better, count(*) FILTER (b < a) AS worse, count(*) FILTER (b = a) AS tied, sum(greatest(b - a, 0))::BIGINT AS gained, sum(greatest(a - b, 0))::BIGINT AS lost, round(sum(b - a) / sum(n_gold), 9) AS gain FROM (
+  SELECT a.doc_id, a.n_gold, a.slot_correct AS a, b.slot_correct AS b, NOT EXISTS (FROM gold g ANTI JOIN cand USING (doc_id, start, "end", label) WHERE g.doc_id = a.doc_id) AS complete FROM ({PER.format('ps')}) a JOIN ({PER.format('ps2')}) b USING (doc_id)) GROUP BY 1""")
+def paired_arms_by_pool(spark, d):
+    g, p, c = relations(spark, d)
+    out = evaluation.paired_by_pool(evaluation.document_counts(g, p), evaluation.document_counts(g, adapters.predicted(g, 5)), g, c)
+    return out.withColumn("gain", F.round("gain", 9))
+
+
+@query("""SELECT count(*) AS documents, count(*) FILTER (m = 0 AND x = 0) AS same, sum(m)::BIGINT AS missing, sum(x)::BIGINT AS added FROM (SELECT doc_id, count(*) FILTER (p IS NULL) AS m, count(*) FILTER (g IS NULL) AS x FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS p FROM pred) USING (doc_id, start, "end", label) GROUP BY 1)""")
+def replay_gate(spark, d):
+    g, p, _ = relations(spark, d)
+    return replay.replay(p, g)
+
+
+@query("""SELECT sha256('[' || string_agg(j, ',' ORDER BY doc_id) || ']') AS sha256 FROM (SELECT doc_id, '[' || doc_id || ',[' || string_agg('[' || start || ',' || "end" || ',"' || label || '"]', ',' ORDER BY start, "end", label) || ']]' AS j FROM gold GROUP BY 1)""")
+def prediction_hash(spark, d):
+    return spark.createDataFrame([(replay.canonical_hash(replay.prediction_slots(adapters.gold(spark, d))),)], "sha256 string")
+
+
 @query("""SELECT row_number() OVER (ORDER BY g.doc_id, g.slot) - 1 AS row_order, g.doc_id || '_' || CASE WHEN g.slot < 10 THEN '0' ELSE '' END || g.slot AS row_id, CASE WHEN p.slot IS NULL THEN NULL ELSE p.label || ':' || p.start || ':' || p."end" END AS "Predicted" FROM gs g LEFT JOIN ps p ON p.doc_id = g.doc_id AND p.slot = g.slot""")
 def submission_rows(spark, d):
     from quillspan.operators.prefix import running_total
@@ -597,6 +620,13 @@ def ranking_records(spark, d):
     return decode.per_document(lattices(spark, d), kernel, "doc_id long, supported boolean, gold_energy double, reaches_best boolean, gap double")
 
 
+@query(f"""{SUMS}, {GOLD_SLOTS}, z AS (""" + " UNION ALL ".join(f"SELECT doc_id, n, tau, ln(sum(f)) AS z FROM l{q} WHERE n {'=' if q < K_LATTICE else '>='} {q} GROUP BY 1, 2, 3" for q in range(1, K_LATTICE + 1)) + f"""), g AS (SELECT gs.doc_id, any_value(k) AS k, sum(CASE WHEN gs.doc_id % 2 = 0 THEN e0 ELSE e1 END) AS ge FROM gs JOIN e USING (doc_id, a, b) GROUP BY 1)
+SELECT a.doc_id, k::INT AS k, true AS map_kept, round((a.z - ge) / k, 6) AS nll, round((b.z - 2 * ge) / k, 6) AS nll_scaled FROM z a JOIN z b USING (doc_id) JOIN g USING (doc_id) WHERE a.tau = 1 AND b.tau = 0.5""", plain=True)
+def scaling_audit(spark, d):
+    out = replay.scaling_audit(lattices(spark, d), _gold_of, 2.0)
+    return out.select("doc_id", "k", "map_kept", F.round("nll", 6).alias("nll"), F.round("nll_scaled", 6).alias("nll_scaled"))
+
+
 @query(f"""{ENERGIES}, {GOLD_SLOTS}, nb AS (SELECT *, coalesce(lag(b) OVER w, 0) AS low, coalesce(lead(a) OVER w, n) AS high FROM gs WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
 r AS (SELECT nb.doc_id, nb.j, x, CASE WHEN x = 0 THEN e0 ELSE e1 END AS v, e.a = nb.a AND e.b = nb.b AND x = nb.doc_id % 2 AS own FROM nb JOIN e ON e.doc_id = nb.doc_id AND e.a >= low AND e.b <= high, (VALUES (0), (1)) l(x))
 SELECT doc_id, j::INT AS slot, true AS supported, (count(*) - 1)::INT AS competitors, max(v) FILTER (own) - max(v) FILTER (NOT own) AS gap FROM r GROUP BY 1, 2""", plain=True)
@@ -742,6 +772,24 @@ def tagged(spark, d) -> DataFrame:
     return toks.join(own, "doc_id")
 
 
+@query(f""", {TOKENS}, v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id FROM (SELECT lower(token) AS word, count(*) AS n FROM tk GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 49998)),
+x AS (SELECT tk.*, text, lag("end") OVER w AS le, lead(start) OVER w AS ls FROM tk JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, i, coalesce(v.id, 1)::INT AS id, rpad(left(hex(encode(token)), 64), 64, '0') AS bytes, concat_ws('', (regexp_matches(token, '\\p{{Lu}}') AND NOT regexp_matches(token, '[\\p{{Ll}}\\p{{Lt}}]'))::INT, regexp_matches(token, '^\\p{{Nd}}+$')::INT, ({COMMON_TITLE.replace("(v,", "(token,")})::INT,
+  contains(substr(text, coalesce(le, 0) + 1, start - coalesce(le, 0)), chr(10))::INT, contains(substr(text, "end" + 1, coalesce(ls, length(text)) - "end"), chr(10))::INT, coalesce(le = start, false)::INT, coalesce(ls = "end", false)::INT) AS flags FROM x LEFT JOIN v ON v.word = lower(token)""")
+def token_codes(spark, d):
+    docs = read(spark, d, "documents")
+    tokens = candidates.tokenize(docs)
+    out = features.token_codes(tokens, docs, features.vocabulary(tokens))
+    return out.select("doc_id", "i", "id", F.hex("bytes").alias("bytes"), F.array_join(F.transform("flags", lambda x: x.cast("int").cast("string")), "").alias("flags"))
+
+
+@query(f""", {TOKENS}, al AS MATERIALIZED (SELECT c.doc_id, label, score, a.i AS f, b.i AS l FROM cand c LEFT JOIN tk a ON a.doc_id = c.doc_id AND a.start = c.start LEFT JOIN tk b ON b.doc_id = c.doc_id AND b."end" = c."end" WHERE a.i IS NOT NULL AND b.i IS NOT NULL),
+r AS MATERIALIZED (SELECT doc_id, label, score, f, l, unnest(generate_series(f, l)) AS i FROM al)
+SELECT doc_id, i::INT AS i, 'dict_' || role || '_' || label AS feature, least(9, floor(max(score) * 10))::INT AS bucket FROM (SELECT *, CASE WHEN i = f THEN 'B' ELSE 'I' END AS role FROM r UNION ALL SELECT *, 'E' FROM r WHERE i = l) GROUP BY 1, 2, 3""")
+def dictionary_roles(spark, d):
+    return features.dictionary_roles(candidates.token_aligned(candidates.tokenize(read(spark, d, "documents")), relations(spark, d)[2]))
+
+
 @query(f""", {TOKENS} SELECT doc_id, (SELECT count(*) FROM tk WHERE tk.doc_id = x.doc_id)::INT AS tokens, n::INT AS begins, 0 AS inside, 0 AS unaligned FROM (SELECT doc_id, count(*) AS n FROM gold GROUP BY 1) x""")
 def bio_tags(spark, d):
     def kernel(row):
@@ -902,6 +950,17 @@ def template_families(spark, d):
     return similarity.families(read(spark, d, "documents"))
 
 
+@query()
+def contamination_bins(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return similarity.cross_bins(similarity.cross_pairs(q, read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+
+
+@query()
+def family_folds(spark, d):
+    return similarity.group_and_sample(read(spark, d, "documents"), 100, 100_000, 3, 2, 11)
+
+
 @query()
 def benchmark_contamination(spark, d):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")

@@ -332,3 +332,83 @@ def test_scratch_tables_are_discarded_and_need_a_shared_folder(spark, monkeypatc
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch.shared_folder(Session())
+
+
+def test_hashes_replays_and_stages(spark, tmp_path):
+    import hashlib
+
+    from quillspan.operators import replay
+    from quillspan.sources import artifacts
+
+    kind = "doc_id string, predicted array<struct<start: int, end: int, label: string>>"
+    rows = [("é", [(0, 2, "NAME"), (2, 5, "DATE")]), ("b", [])]
+    df = spark.createDataFrame(rows, kind)
+    assert replay.canonical_hash(df) == hashlib.sha256('[["b",[]],["é",[[0,2,"NAME"],[2,5,"DATE"]]]]'.encode()).hexdigest()
+    assert replay.canonical_hash(df.limit(0)) == hashlib.sha256(b"[]").hexdigest()
+    for bad in ([(2, 5, "DATE"), (0, 2, "NAME")], [(0, 3, "NAME"), (2, 5, "DATE")], [(3, 3, "NAME")], [(0, 1, "OTHER")], [(0, 1, "NAME"), (0, 1, "NAME")]):
+        with pytest.raises(ValueError):
+            replay.canonical_hash(spark.createDataFrame([("a", bad)], kind))
+    with pytest.raises(ValueError):
+        replay.canonical_hash(df.union(df))
+    a, b = spans(spark, [(0, 1, "NAME"), (2, 3, "DATE")]), spans(spark, [(0, 1, "NAME"), (2, 3, "EMAIL")])
+    assert tuple(replay.replay(a, a).first()) == (1, 1, 0, 0) and tuple(replay.replay(a, b).first()) == (1, 0, 1, 1)
+    made = []
+
+    def first(_):
+        made.append("first")
+        return spark.range(4).toDF("x")
+
+    def second(done):
+        made.append("second")
+        return spark.read.parquet(done["first"]).where("x > 1")
+
+    root = f"file://{tmp_path}/stages"
+    paths = replay.Stages(spark, root, [("first", first), ("second", second)]).run()
+    assert spark.read.parquet(paths["second"]).count() == 2
+    assert replay.Stages(spark, root, [("first", first), ("second", second)]).run() == paths and made == ["first", "second"]
+    spark.range(1).toDF("x").write.mode("append").parquet(paths["first"])
+    with pytest.raises(artifacts.ArtifactError):
+        replay.Stages(spark, root, [("first", first), ("second", second)]).run()
+
+
+def test_scores_become_spans(spark):
+    from quillspan.operators import replay
+
+    labels = [[0.0] * 8 for _ in range(3)]
+    labels[0][1], labels[1][3], labels[2][2] = 5.0, 4.0, 1.0  # intervals [0, 1), [1, 2), [0, 2)
+    rows = [(7, 2, [0, 1, 0], [1, 2, 2], labels, 2, [(3, 6), (7, 9)])]
+    df = spark.createDataFrame(rows, "doc_id long, n int, a array<int>, b array<int>, logits array<array<double>>, k int, bounds array<struct<start: int, end: int>>")
+    assert [tuple(r) for r in replay.decode_scores(df).collect()] == [(7, 1, 3, 6, "NAME"), (7, 2, 7, 9, "EMAIL")]
+
+
+def test_models_are_read_as_written(spark, tmp_path):
+    from quillspan.operators import scoring
+    from quillspan.sources import artifacts
+
+    df = spark.range(40).select((F.col("id") % 4).cast("double").alias("x"), (F.col("id") % 4 > 1).cast("int").alias("y"))
+    model = scoring.linear_probe(df, ["x"])
+    path = f"file://{tmp_path}/model"
+    digest = scoring.save_model(model, path)
+    again = scoring.load_model(path, digest)
+    assert scoring.probability(again, df).orderBy("x").collect() == scoring.probability(model, df).orderBy("x").collect()
+    with pytest.raises(artifacts.ArtifactError):
+        scoring.load_model(path, "0" * 64)
+
+
+def test_samples_keep_families_whole(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=30)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i].upper()) for i in range(10)] + [(200 + i, texts[i]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = similarity.group_and_sample(docs, 20, 40, 3, 2, 5).collect()
+    assert 20 <= len(out) <= 40
+    groups = {r["group_id"]: set() for r in out}
+    for r in out:
+        groups[r["group_id"]].add((r["doc_id"], r["fold"]))
+    for g, members in groups.items():
+        assert {d for d, _ in members} == {g} | ({100 + g} if g < 10 else set()) | ({200 + g} if g < 5 else set()) and len({f for _, f in members}) == 1
+    for size, most, least in ((20, 5, 2), (20, 40, 30)):
+        with pytest.raises(ValueError):
+            similarity.group_and_sample(docs, size, most, 3, least, 5)
