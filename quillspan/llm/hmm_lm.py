@@ -22,7 +22,6 @@ on their odds, which gives the counts of the whole in bounded memory; extra colu
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
