@@ -17,6 +17,17 @@ def query(f):
     return f
 
 
+ORACLES["token_emissions"] = r"""
+WITH t AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]') AS ts FROM documents)),
+f AS (SELECT doc_id, i, 'len=' || least(length(t), 9) AS feature FROM t UNION ALL SELECT doc_id, i, 'cap=' || regexp_matches(t, '^\p{Lu}') FROM t),
+w(feature, label, weight) AS (VALUES ('cap=true', 'B-NAME', 1.5::DOUBLE), ('cap=false', 'O', 0.5), ('len=1', 'O', 1.0))
+SELECT doc_id, i::INT AS i, label, sum(weight) AS emission FROM f JOIN w USING (feature) GROUP BY 1, 2, 3"""
+#: The names outscore all else and do not overlap, so exactly as many spans as there are names are the names.
+ORACLES["end_to_end_slice"] = r"""
+SELECT doc_id, true AS contiguous, true AS same_length, true AS same_text, n AS n_gold, n AS n_predicted, n AS slot_correct, n AS entity_correct FROM (
+  SELECT doc_id, len(list_filter(string_split_regex(text, '\s')[1:-2], lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}'))) AS n FROM documents)"""
+
+
 def candidate_table(spark, d) -> DataFrame:
     """Candidates with features of their text and neighbours, a label y, and a fold by document."""
     g = adapters.gold(spark, d)

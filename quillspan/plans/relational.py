@@ -268,7 +268,10 @@ def whole_family_sample(spark, d):
     return splitting.family_sample(part_groups(spark, d), 5000, 11)
 
 
-@query()
+@query("""WITH RECURSIVE g AS MATERIALIZED (SELECT group_id, size, row_number() OVER (ORDER BY size DESC, sha256('11:' || group_id), group_id) AS r FROM (SELECT l_partkey AS group_id, count(*) AS size FROM lineitem GROUP BY 1)),
+s AS (SELECT 0::BIGINT AS r, [0, 0, 0]::BIGINT[] AS loads, 0 AS fold UNION ALL
+  SELECT g.r, list_transform(s.loads, lambda x, i: x + CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN g.size ELSE 0 END), list_position(s.loads, list_min(s.loads)) - 1 FROM s JOIN g ON g.r = s.r + 1)
+SELECT group_id, size, fold::INT AS fold FROM g JOIN s USING (r)""")
 def greedy_folds(spark, d):
     return splitting.greedy_folds(part_groups(spark, d), 3, 11)
 

@@ -665,7 +665,7 @@ def leaf_sums(spark, d):
     return stats.leaf_sums(per.select(F.struct(F.struct(F.col("n_gold").alias("gold"), F.col("n_predicted").alias("predicted")).alias("counts"), F.struct(F.col("slot_correct").alias("slots")).alias("right")).alias("r")), "r")
 
 
-@query()
+@query(""", x AS (SELECT g.*, CASE WHEN label = 'NAME' THEN length(regexp_extract(substr(text, 1, start), '(?i)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mx)\\.?[ \\t\\r\\n]+$')) ELSE 0 END AS n FROM gold g JOIN documents USING (doc_id)) SELECT doc_id, (start - n)::INT AS start, "end", label FROM x""")
 def title_adjustment(spark, d):
     own = adapters.gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
 
