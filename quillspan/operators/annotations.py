@@ -14,6 +14,7 @@ TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Rev|Sir|Madam"
 TITLE_START = rf"(?i)^(?:{TITLES})\.?(?:\s|$)"
 TITLE_BEFORE = rf"(?i)\b(?:{TITLES})\.?\s+$"
 REFERENCE_LIKE = r"(?i)(?:\d|#|@|/|-{1,2}|\b(?:ref|id|user|acct|ticket|case)\b)"
+#: Header lines and closings of letters.
 HEADER_LINE = r"(?i)(?:from|to|subject|date|cc)\s*:"
 CLOSING = r"(?i)(?:regards|sincerely|thank you|best),?\s*$"
 
@@ -26,6 +27,7 @@ def context(text: Column, start: Column, end: Column, width: int = 42) -> Column
 
 def region(text: Column, start: Column, end: Column) -> Column:
     """Where a span stands: header, signature_or_tail, opening, paragraph_boundary or body; the first that holds."""
+    # Shares of the text, characters looked back, words of a short line.
     n = F.length(text).cast("double")
     before, after = cut(text, F.lit(0), start), cut(text, end, F.length(text))
     head = F.element_at(F.split(before, "\n", -1), -1)
