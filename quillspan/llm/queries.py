@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the thirteen operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import byte_bpe, hmm_lm, mixing, quality_classifier, quality_rules, simhash, sql, substring_dedup, topk_search, url_filters, warc
+from quillspan.llm import byte_bpe, exact_dedup, hmm_lm, mixing, periodic_runs, quality_classifier, quality_rules, simhash, sql, substring_dedup, tokenizer_alignment, topk_search, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,8 +58,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(_read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_read(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenizer_alignment.report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_lm, op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op6_substring_dedup, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_quality_classifier, op3_warc, op4_topk_search, op5_simhash, op6_substring_dedup, op7_byte_bpe, op8_url_filters, op9_mixing, op10_quality_rules, op11_periodic_runs, op12_exact_dedup, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -127,4 +127,12 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM st
 """
 
-ORACLES = {"op3_warc": WARC, "op4_topk_search": TOPK_SEARCH, "op6_substring_dedup": SUBSTRING_DEDUP, "op8_url_filters": URL_FILTERS, "op9_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
+EXACT_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n_chars DESC, doc_id NULLS LAST)
+"""
+
+ORACLES = {"op3_warc": WARC, "op4_topk_search": TOPK_SEARCH, "op6_substring_dedup": SUBSTRING_DEDUP, "op8_url_filters": URL_FILTERS, "op9_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op12_exact_dedup": EXACT_DEDUP}
