@@ -22,7 +22,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from quillspan.sources.scratch import materialize
 
 #: Pairs with at least this part of all links are broadcast.
 SHARE = 1 << 18
-#: Rows whose results are held at once.
-ROWS = 128
+#: Rows whose results are held at once, and kinds of spans whose counts are kept.
+ROWS, KNOWN = 128, 1 << 16
 _SPAN = re.compile(rb"[^3]*3")
 _CODECS: dict[bytes, tuple] = {}
 
@@ -85,49 +84,57 @@ class Aligner:
     def __init__(self, a, b):
         if b"" in a.bytes.values() or b"" in b.bytes.values():
             raise ValueError("a token stands for no byte")
-        self.a, self.b = a, b
-        # what is written for a token: its id and what follows it, in the middle and at the end of its side of a group
-        self.written = [[[f"{i}," for i in range(max(x.bytes) + 1)], [f"{i}{end}" for i in range(max(x.bytes) + 1)]] for x, end in ((a, "|"), (b, ";"))]
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int], bytes]:
+        self.encode = (a.encode, b.encode)
+        self.bytes = tuple([x.bytes.get(i, b"") for i in range(max(x.bytes) + 1)] for x in (a, b))
+        self.lengths = tuple(np.array(list(map(len, table)), np.int64) for table in self.bytes)
+        # what is written for a token, its id and what follows it: of A, of A at a group's end, of B, of B at a group's end
+        self.sizes = tuple(map(len, self.bytes))
+        self.written = [f"{i}{end}" for size, ends in zip(self.sizes, (",|", ",;"), strict=True) for end in ends for i in range(size)]
+        self.counts: dict[bytes, tuple[int, int]] = {}
+
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
         """The ids of A and B, and the labels of the bytes; nothing where either does not give back space + text."""
+        none = np.empty(0, np.int64)
         if not text:
-            return [], [], b""
-        whole = b" " + text.encode()
-        sides = self.a.encode(text), self.b.encode(text)
+            return none, none, b""
+        whole, sides = b" " + text.encode(), []
         labels = np.full(len(whole), 48, np.uint8)
-        for mark, ids, tokenizer in zip((1, 2), sides, (self.a, self.b), strict=True):
-            parts = [tokenizer.bytes[i] for i in ids]
-            if b"".join(parts) != whole:
-                return [], [], b""
-            labels[np.fromiter(accumulate(map(len, parts)), np.int64, len(parts)) - 1] += mark
+        for mark, encode, table, lengths in zip((1, 2), self.encode, self.bytes, self.lengths, strict=True):
+            ids = encode(text)
+            if b"".join(map(table.__getitem__, ids)) != whole:
+                return none, none, b""
+            sides.append(np.array(ids, np.int64))
+            labels[lengths[sides[-1]].cumsum() - 1] += mark
         return *sides, labels.tobytes()
 
-    @staticmethod
-    def groups(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of A and of B tokens in each group."""
-        spans = _SPAN.findall(labels)
-        return tuple(np.fromiter((s.count(mark) + 1 for s in spans), np.int64, len(spans)) for mark in (b"1", b"2"))
+    def groups(self, labels: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of A and of B tokens in each group: bytes at which nothing ends are left out, so few spans differ."""
+        spans = _SPAN.findall(labels.translate(None, b"0"))
+        if len(self.counts) > KNOWN:
+            self.counts.clear()
+        for s in set(spans) - self.counts.keys():
+            self.counts[s] = (s.count(b"1") + 1, s.count(b"2") + 1)
+        return tuple(np.array(list(map(self.counts.__getitem__, spans)), np.int64).reshape(-1, 2).T)
 
-    def listed(self, a: list[int], b: list[int], n_a: np.ndarray, n_b: np.ndarray) -> str:
+    def listed(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> str:
         """The groups as `a1,a2|b1;a3|b2,b3`."""
-        out = np.empty(len(a) + len(b), object)
-        ends = np.cumsum(n_a + n_b)
-        for ids, n, last, (inner, outer) in ((a, n_a, ends - n_b, self.written[0]), (b, n_b, ends, self.written[1])):
-            place = np.arange(len(ids)) + np.repeat(last - np.cumsum(n), n)
-            text = [inner[i] for i in ids]
-            for at in (np.cumsum(n) - 1).tolist():
-                text[at] = outer[ids[at]]
-            out[place] = text
-        return "".join(out.tolist())[:-1]
+        out = np.empty(len(a) + len(b), np.int64)
+        ends, base = np.cumsum(n_a + n_b), 0
+        for ids, n, last, size in ((a, n_a, ends - n_b, self.sizes[0]), (b, n_b, ends, self.sizes[1])):
+            stop = np.cumsum(n)
+            codes = ids + base
+            codes[stop - 1] += size
+            out[np.arange(len(ids)) + np.repeat(last - stop, n)] = codes
+            base += 2 * size
+        return "".join(map(self.written.__getitem__, out.tolist()))[:-1]
 
     @staticmethod
-    def links(a: list[int], b: list[int], labels: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def links(a: np.ndarray, b: np.ndarray, labels: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The distinct linked pairs of ids, as a * 2^32 + b, and how often each is linked."""
         ends = np.frombuffer(labels, np.uint8)
         ends = ends[ends > 48] - 48
         left, right = ends & 1, ends >> 1
-        pair = np.array(a, np.int64)[np.cumsum(left, dtype=np.int64) - left] << 32 | np.array(b, np.int64)[np.cumsum(right, dtype=np.int64) - right]
+        pair = a[np.cumsum(left, dtype=np.int64) - left] << 32 | b[np.cumsum(right, dtype=np.int64) - right]
         return np.unique(pair, return_counts=True)
 
 
