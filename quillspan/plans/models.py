@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions.text import group_hash
-from quillspan.operators import candidates, decode, evaluation, reassembly, scoring
+from quillspan.operators import calibration, candidates, chain, decode, evaluation, newton, reassembly, scoring, sequence, spanhead
+from quillspan.schemas import LABELS, TAGS
 from quillspan.sources import adapters
 from quillspan.sources.adapters import read, segments
+from quillspan.sources.scratch import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,6 +79,119 @@ def token_emissions(spark, d):
     return scoring.linear_emissions(f, w, ["doc_id", "i"])
 
 
+#: Rounds of the registered training.
+CRF_ROUNDS = 25
+
+
+def tagged_documents(spark, d) -> DataFrame:
+    return sequence.training_rows(read(spark, d, "documents"), adapters.phrases(spark, d), TAGS)
+
+
+@query
+def crf_training(spark, d):
+    """The penalised loss of each round of training a linear chain on all documents, and the jobs that it took."""
+    _, log = sequence.train(tagged_documents(spark, d), TAGS, rounds=CRF_ROUNDS)
+    return spark.createDataFrame([(i, r.loss, r.steepness, r.evaluations) for i, r in enumerate(log)], "round int, loss double, steepness double, evaluations int")
+
+
+@query
+def crf_exact_k(spark, d):
+    """Each document under the trained chain: its best tags, and its best tags with the known number of spans."""
+    rows = tagged_documents(spark, d)
+    model, _ = sequence.train(rows, TAGS, rounds=CRF_ROUNDS)
+    return sequence.tagged(rows, model).select("doc_id", "tokens", "k", "unaligned", F.round("nll", 3).alias("nll"), F.size("raw").alias("raw_spans"), "raw_right", F.size("exact").alias("exact_spans"), "exact_right")
+
+
+@query
+def transition_fit(spark, d):
+    """Moves between tags, fitted to the gold tags with emissions that only tell a token's first letter and length."""
+    tokens = candidates.tokenize(read(spark, d, "documents"))
+    cap, small, size = F.col("token").rlike(r"^[A-Z][a-z]{3,}$"), F.col("token").rlike(r"^[a-z]{1,5}$"), F.pmod(F.length("token"), F.lit(len(LABELS)))
+    score = lambda t: F.lit(0.5) if t == "O" else F.when(cap & (size == LABELS.index(t[2:])), 1.5).otherwise(-2.0) if t[0] == "B" else F.when(small, 0.25).otherwise(-2.0)
+    scored = tokens.select("doc_id", F.struct("i", F.array(*[score(t) for t in TAGS]).alias("e")).alias("t")).groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = scored.select("doc_id", F.flatten("t.e").alias("emission")).join(tagged_documents(spark, d).select("doc_id", "gold"), "doc_id")
+    move, _ = sequence.fit_transitions(materialize(rows, "emissions"), TAGS, l2=0.01)
+    ok = chain.legal(TAGS)
+    return spark.createDataFrame([(a, b, round(float(move[i, j]), 3)) for i, a in enumerate(TAGS) for j, b in enumerate(TAGS) if ok[i, j]], "from_tag string, to_tag string, weight double")
+
+
+#: Slots (as a power of 2) and rounds of the registered interval heads; weight of the ranking loss.
+HEAD_BITS, HEAD_ROUNDS, RANKING = 14, 25, 1.0
+
+
+def head_stretches(spark, d) -> DataFrame:
+    rows = sequence.training_rows(read(spark, d, "documents"), adapters.phrases(spark, d), TAGS, HEAD_BITS)
+    return spanhead.stretches(rows, adapters.predicted(adapters.gold(spark, d)).select("doc_id", "start", "end"))
+
+
+@query
+def span_head(spark, d):
+    """Each stretch's K best token intervals under a head that was trained on weighted samples of the intervals."""
+    rows = head_stretches(spark, d)
+    x, _ = spanhead.train(rows, HEAD_BITS, HEAD_ROUNDS)
+    return spanhead.records(rows, x, HEAD_BITS).select("doc_id", "part", "k", "right", "map_is_gold", F.round("gap", 3).alias("gap"))
+
+
+@query
+def global_ranking(spark, d):
+    """Gold against its strongest rival, under the head trained by samples ("control") and trained on with the ranking loss."""
+    rows = head_stretches(spark, d)
+    control, _ = spanhead.train(rows, HEAD_BITS, HEAD_ROUNDS)
+    challenger, _ = spanhead.train(rows, HEAD_BITS, HEAD_ROUNDS, ranking=RANKING, start=control)
+    out = [calibration.gap_summary(spanhead.records(rows, x, HEAD_BITS), "gap").withColumn("arm", F.lit(arm)) for arm, x in (("control", control), ("challenger", challenger))]
+    return out[0].unionByName(out[1]).select("arm", "wins", "ties", "losses", F.round("mean_gap", 3).alias("mean_gap"))
+
+
+ORACLES["interval_sample"] = """
+WITH turns AS (SELECT conv_id * 1000 + turn AS doc_id, greatest(1, len(string_split(coalesce(text, ''), ' '))) AS n FROM conversations),
+u AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY b, a) - 1 AS place FROM (SELECT doc_id, n, unnest(generate_series(1, n)) AS b FROM turns), LATERAL (SELECT unnest(generate_series(greatest(0, b - 16), b - 1)) AS a)),
+pos AS (FROM u WHERE a % 10 = 3 AND b = a + 2), old AS (FROM u WHERE a % 7 = 1 AND b = a + 3),
+f AS (SELECT doc_id, a, b, bit_or(f) AS flags FROM (SELECT doc_id, a + dx AS a, b + dy AS b, 2 AS f FROM pos, (VALUES (-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2)) m(dx, dy) UNION ALL SELECT doc_id, a, b, 4 FROM old) GROUP BY 1, 2, 3),
+k AS (SELECT u.*, CASE WHEN p.doc_id IS NOT NULL THEN 1 WHEN u.b > 20 AND u.a < 23 THEN -1 ELSE coalesce(f.flags, 0) END AS kind FROM u LEFT JOIN pos p USING (doc_id, a, b) LEFT JOIN f USING (doc_id, a, b)),
+h AS (SELECT *, (doc_id % 2147483647 * 48271 + place * 16807 + 2026 * 69621 + 1) % 2147483647 AS x FROM k WHERE kind = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (x * x % 2147483647 * 39373 + place) % 2147483647, place) AS r, count(*) OVER (PARTITION BY doc_id) AS rest FROM h),
+s AS (SELECT doc_id, a, b, kind, 1.0::DOUBLE AS w FROM k WHERE kind > 0 UNION ALL SELECT doc_id, a, b, 8, rest / least(256, rest)::DOUBLE FROM o WHERE r <= 256)
+SELECT doc_id, kind, count(*)::INT AS n, round(sum(w), 6) AS weight, sum(a * 31 + b)::BIGINT AS checksum FROM s GROUP BY 1, 2"""
+
+
+@query
+def interval_sample(spark, d):
+    """What is drawn from the intervals of every turn, with gold, earlier predictions and a protected stretch by arithmetic."""
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), " "))).alias("n"))
+
+    def kernel(row):
+        n, key = int(row["n"]), int(row["doc_id"])
+        plan = spanhead.sample(n, [(a, a + 2, 0) for a in range(3, n - 1, 10)], [(20, 23)], [(a, a + 3) for a in range(1, n - 2, 7)], key)
+        return [{"doc_id": key, "kind": int(x), "n": int((plan.kind == x).sum()), "weight": round(float(plan.weight[plan.kind == x].sum()), 6), "checksum": int((plan.a * 31 + plan.b)[plan.kind == x].sum())} for x in np.unique(plan.kind)]
+
+    return decode.per_document(turns, kernel, "doc_id long, kind int, n int, weight double, checksum long")
+
+
+#: The features of each variant of the probes.
+VARIANTS = {"form": ["chars", "right_word"], "all": ["chars", "position", "prior_logit", "right_word"]}
+
+
+@query
+def newton_probe(spark, d):
+    """Every candidate's score by the probe of its label, fitted on the other folds, for two variants of the features."""
+    t = materialize(candidate_table(spark, d), "candidates")
+    out = [newton.out_of_fold(t, "fold", 3, features, by=["label"]).withColumn("variant", F.lit(name)) for name, features in VARIANTS.items()]
+    return out[0].unionByName(out[1]).select("variant", *evaluation.SPAN, "y", "fold", F.round("score", 6).alias("score"))
+
+
+ORACLES["probe_moments"] = f"""
+WITH {adapters.SQL}, t AS (SELECT doc_id, label, length(substr(text, start + 1, "end" - start))::DOUBLE AS chars, start / greatest(1, length(text)) AS position FROM cand JOIN documents USING (doc_id))
+SELECT label, round(avg(chars), 9) AS chars_mean, round(stddev_pop(chars), 9) AS chars_scale, round(avg(position), 9) AS position_mean, round(stddev_pop(position), 9) AS position_scale FROM t GROUP BY 1"""
+
+
+@query
+def probe_moments(spark, d):
+    """What each label's features are standardised by."""
+    probes = newton.fit(candidate_table(spark, d), ["chars", "position"], by=["label"])
+    rows = [(k[0], *(round(float(v), 9) for x in (0, 1) for v in (p.mean[x], p.scale[x]))) for k, p in probes.items()]
+    return spark.createDataFrame(rows, "label string, chars_mean double, chars_scale double, position_mean double, position_scale double")
+
+
 def slice_(spark, d: str) -> DataFrame:
     """Lines -> documents -> candidates -> exactly-K decoding -> slots -> correct slots of each document."""
     shuffled = segments(spark, d).repartition("doc_id", "segment_index")

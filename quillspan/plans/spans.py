@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions.text import masked, shingles
-from quillspan.operators import annotations, audit, calibration, candidates, decode, evaluation, features, replay, similarity, stats
+from quillspan.operators import annotations, audit, calibration, candidates, chain, decode, evaluation, features, replay, similarity, stats
 from quillspan.schemas import LABELS, TAGS
 from quillspan.sources import adapters
 from quillspan.sources.adapters import SQL, read
@@ -520,11 +520,19 @@ TURNS = "turns AS (SELECT conv_id * 1000 + turn AS doc_id, greatest(1, len(strin
 #: SQL for the lattices' energies, for sums over all structures of q intervals, and for their two greatest energies:
 #: each level adds one interval to what ends at or before its start.
 ENERGIES = f"WITH {TURNS}, e AS MATERIALIZED (SELECT doc_id, n, a, b, ((doc_id * 13 + a * 7 + b * 5) % 17 - 8) / 4.0::DOUBLE AS e0, ((doc_id * 13 + a * 11 + b * 5) % 17 - 8) / 4.0::DOUBLE AS e1 FROM u)"
-SUMS = f"{ENERGIES}, x AS MATERIALIZED (SELECT doc_id, n, a, b, tau, exp(e0 / tau) + exp(e1 / tau) AS w, exp(e0 / tau) * e0 / tau + exp(e1 / tau) * e1 / tau AS g FROM e, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) t(tau)), l1 AS MATERIALIZED (SELECT doc_id, n, tau, b, w AS f, g AS h, 2.0::DOUBLE AS c FROM x)" + "".join(
-    f""", p{q} AS MATERIALIZED (SELECT doc_id, tau, b, sum(sum(f)) OVER w AS f, sum(sum(h)) OVER w AS h, sum(sum(c)) OVER w AS c FROM l{q} GROUP BY doc_id, tau, b WINDOW w AS (PARTITION BY doc_id, tau ORDER BY b)),
+
+def _sql_sums(*taus: float) -> str:
+    """Sums, expected energies and counts of the sets of q intervals at each temperature."""
+    values = ", ".join(f"({t}::DOUBLE)" for t in taus)
+    first = f"{ENERGIES}, x AS MATERIALIZED (SELECT doc_id, n, a, b, tau, exp(e0 / tau) + exp(e1 / tau) AS w, exp(e0 / tau) * e0 / tau + exp(e1 / tau) * e1 / tau AS g FROM e, (VALUES {values}) t(tau)), l1 AS MATERIALIZED (SELECT doc_id, n, tau, b, w AS f, g AS h, 2.0::DOUBLE AS c FROM x)"
+    return first + "".join(
+        f""", p{q} AS MATERIALIZED (SELECT doc_id, tau, b, sum(sum(f)) OVER w AS f, sum(sum(h)) OVER w AS h, sum(sum(c)) OVER w AS c FROM l{q} GROUP BY doc_id, tau, b WINDOW w AS (PARTITION BY doc_id, tau ORDER BY b)),
 l{q + 1} AS MATERIALIZED (SELECT x.doc_id, x.n, x.tau, x.b, w * f AS f, g * f + w * h AS h, 2 * c AS c FROM x ASOF JOIN p{q} p ON p.doc_id = x.doc_id AND p.tau = x.tau AND p.b <= x.a)"""
-    for q in range(1, K_LATTICE)
-)
+        for q in range(1, K_LATTICE)
+    )
+
+
+SUMS = _sql_sums(0.5, 1.0, 2.0)
 BEST = f"{ENERGIES}, v AS MATERIALIZED (SELECT doc_id, n, a, b, e0 AS e FROM e UNION ALL SELECT doc_id, n, a, b, e1 FROM e), l1 AS MATERIALIZED (SELECT doc_id, n, b, e AS t FROM v)" + "".join(
     f""", p{q} AS MATERIALIZED (SELECT doc_id, b, list_reverse(list_sort(flatten(list(m) OVER (PARTITION BY doc_id ORDER BY b))))[1:2] AS m FROM (SELECT doc_id, b, max(t, 2) AS m FROM l{q} GROUP BY 1, 2)),
 l{q + 1} AS MATERIALIZED (SELECT doc_id, n, b, unnest(list_transform(m, lambda y: y + e)) AS t FROM (SELECT v.*, p.m FROM v ASOF JOIN p{q} p ON p.doc_id = v.doc_id AND p.b <= v.a))"""
@@ -596,7 +604,7 @@ def counted_viterbi(spark, d):
     def kernel(row):
         n, size = int(row["n"]), len(TAGS)
         e = ((np.arange(n)[:, None] * 7 + np.arange(size) * 3 + int(row["doc_id"])) % 11 / 5.0)
-        tags = decode.counted_viterbi(e, np.zeros((size, size)), list(TAGS), min(3, n))
+        tags = chain.counted_viterbi(e, np.zeros((size, size)), list(TAGS), min(3, n))
         return [{"doc_id": row["doc_id"], "i": i, "tag": t} for i, t in enumerate(tags)]
 
     return decode.per_document(docs, kernel, "doc_id long, i int, tag string")
@@ -620,7 +628,7 @@ def ranking_records(spark, d):
     return decode.per_document(lattices(spark, d), kernel, "doc_id long, supported boolean, gold_energy double, reaches_best boolean, gap double")
 
 
-@query(f"""{SUMS}, {GOLD_SLOTS}, z AS (""" + " UNION ALL ".join(f"SELECT doc_id, n, tau, ln(sum(f)) AS z FROM l{q} WHERE n {'=' if q < K_LATTICE else '>='} {q} GROUP BY 1, 2, 3" for q in range(1, K_LATTICE + 1)) + f"""), g AS (SELECT gs.doc_id, any_value(k) AS k, sum(CASE WHEN gs.doc_id % 2 = 0 THEN e0 ELSE e1 END) AS ge FROM gs JOIN e USING (doc_id, a, b) GROUP BY 1)
+@query(f"""{_sql_sums(0.5, 1.0)}, {GOLD_SLOTS}, z AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT doc_id, n, tau, ln(sum(f)) AS z FROM l{q} WHERE n {'=' if q < K_LATTICE else '>='} {q} GROUP BY 1, 2, 3" for q in range(1, K_LATTICE + 1)) + f"""), g AS (SELECT gs.doc_id, any_value(k) AS k, sum(CASE WHEN gs.doc_id % 2 = 0 THEN e0 ELSE e1 END) AS ge FROM gs JOIN e USING (doc_id, a, b) GROUP BY 1)
 SELECT a.doc_id, k::INT AS k, true AS map_kept, round((a.z - ge) / k, 6) AS nll, round((b.z - 2 * ge) / k, 6) AS nll_scaled FROM z a JOIN z b USING (doc_id) JOIN g USING (doc_id) WHERE a.tau = 1 AND b.tau = 0.5""", plain=True)
 def scaling_audit(spark, d):
     out = replay.scaling_audit(lattices(spark, d), _gold_of, 2.0)
@@ -793,7 +801,7 @@ def dictionary_roles(spark, d):
 @query(f""", {TOKENS} SELECT doc_id, (SELECT count(*) FROM tk WHERE tk.doc_id = x.doc_id)::INT AS tokens, n::INT AS begins, 0 AS inside, 0 AS unaligned FROM (SELECT doc_id, count(*) AS n FROM gold GROUP BY 1) x""")
 def bio_tags(spark, d):
     def kernel(row):
-        tags, off = decode.tags_of([(t["start"], t["end"]) for t in row["tokens"]], [(s["start"], s["end"], s["label"]) for s in row["spans"]])
+        tags, off = chain.tags_of([(t["start"], t["end"]) for t in row["tokens"]], [(s["start"], s["end"], s["label"]) for s in row["spans"]])
         return [{"doc_id": row["doc_id"], "tokens": len(tags), "begins": sum(t[0] == "B" for t in tags), "inside": sum(t[0] == "I" for t in tags), "unaligned": off}]
 
     return decode.per_document(tagged(spark, d), kernel, "doc_id long, tokens int, begins int, inside int, unaligned int")
@@ -803,8 +811,8 @@ def bio_tags(spark, d):
 def bio_spans(spark, d):
     def kernel(row):
         tokens = [(t["start"], t["end"]) for t in row["tokens"]]
-        tags, _ = decode.tags_of(tokens, [(s["start"], s["end"], s["label"]) for s in row["spans"]])
-        return [{"doc_id": row["doc_id"], "start": a, "end": b, "label": x} for a, b, x in decode.spans_of(tokens, tags)]
+        tags, _ = chain.tags_of(tokens, [(s["start"], s["end"], s["label"]) for s in row["spans"]])
+        return [{"doc_id": row["doc_id"], "start": a, "end": b, "label": x} for a, b, x in chain.spans_of(tokens, tags)]
 
     return decode.per_document(tagged(spark, d), kernel, "doc_id long, start int, end int, label string")
 

@@ -7,7 +7,7 @@ follow from the spans' offsets by arithmetic, so that SQL can make the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspan.operators.candidates import tokenize
 from quillspan.operators.reassembly import explode_lines
@@ -32,6 +32,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "start", "end", label_of(F.length("token")).alias("label"), F.col("token").alias("value"))
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold of one or two words: a gold word, with the word after it if that has one to five small letters and one space is between."""
+    pieces = tokenize(read(spark, sf_dir, "documents"), pattern=r"[^ \n]+|\n")
+    order = Window.partitionBy("doc_id").orderBy("i")
+    both = F.lead("token").over(order).rlike("^[a-z]{1,5}$") & (F.lead("start").over(order) == F.col("end") + 1)
+    rows = pieces.withColumns({"two": F.coalesce(both, F.lit(False)), "next": F.lead("token").over(order)}).where(F.col("token").rlike("^[A-Z][a-z]{3,}$"))
+    value = F.when(F.col("two"), F.concat_ws(" ", "token", "next")).otherwise(F.col("token"))
+    return rows.select("doc_id", "start", (F.col("start") + F.length(value)).cast("int").alias("end"), label_of(F.length("token")).alias("label"), value.alias("value"))
+
+
 def predicted(gold: DataFrame, salt: int = 0) -> DataFrame:
     """(doc_id, start, end, label): gold spans, some dropped, some relabelled, some a character short."""
     s = F.col("start") + salt
@@ -71,3 +81,11 @@ tok AS (
 ), ps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label)::INT AS slot FROM pred
 ), ps2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label)::INT AS slot FROM pred2)
 """
+#: SQL for gold of one or two words.
+PHRASES = r"""
+two AS (
+  SELECT t.doc_id, s AS start, e AS "end", w, CASE WHEN regexp_full_match(n, '[a-z]{1,5}') AND ns = e + 1 AND substr(text, e + 1, 1) = ' ' THEN w || ' ' || n ELSE w END AS value
+  FROM (SELECT doc_id, w, s, e, lead(w) OVER o AS n, lead(s) OVER o AS ns FROM tok WHERE w <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY s)) t JOIN documents USING (doc_id) WHERE regexp_full_match(w, '[A-Z][a-z]{3,}')
+), phrases AS (
+  SELECT doc_id, start, (start + length(value))::INT AS "end", ['NAME','DATE','EMAIL','PHONE','ADDRESS','USERNAME','JOB_TITLE'][(length(w) % 7 + 1)::INT] AS label, value FROM two
+)"""
