@@ -186,11 +186,13 @@ def held_out(doc_id: Column, mod: int = HELD_MOD, at: int = HELD_AT) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Ensemble:
-    """Learn from labelled rows that are not held out, at most ``sample`` of them."""
+    """Learn from labelled rows that are not held out, at most ``sample`` of them, however often ids are repeated."""
     own = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     met = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    table = met.select("_id", "_y", statistics(F.col("_text")).alias("s")).select("_id", "_y", "s.*").toPandas().sort_values(["_id", "_y", *STATS])
+    rows = met.select("_id", "_y", statistics(F.col("_text")).alias("s")).select("_id", "_y", "s.*")
+    # rows that repeat an id are more than the labels chosen: the bound holds for what is brought here too
+    table = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(sample).toPandas().sort_values(["_id", "_y", *STATS])
     return fit_rows(table[list(STATS)].to_numpy(float).reshape(len(table), len(STATS)), table["_y"].to_numpy(float))
 
 

@@ -524,15 +524,61 @@ def test_hmm_scores_match_a_plain_model_and_ignore_the_layout(spark, monkeypatch
     assert scores == sorted(plain([r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 2)]) for r in hmm_lm.score(df, hmm_lm.train(df, states=3, rounds=3)).collect())
 
 
+def plain_statistics(t: str | None) -> dict[str, float]:
+    import unicodedata
+
+    t = t or ""
+    w, chars = [x.decode() for x in toks(t)], max(1, len(t))
+    lines = [x for x in t.split("\n") if toks(x)]
+    share = lambda n: n / max(1, len(w))
+    return {
+        "log_chars": math.log1p(len(t)), "log_words": math.log1p(len(w)), "mean_word": share(sum(map(len, w))),
+        "upper": sum(unicodedata.category(c) == "Lu" for c in t) / chars, "symbols": sum(c in "#*$%&|<>" for c in t) / chars,
+        "marks": sum(c in "!?" for c in t) / chars, "digits": sum(c in "0123456789" for c in t) / chars,
+        "distinct": share(len(set(w))), "adjacent": share(sum(x == y for x, y in zip(w, w[1:], strict=False))),
+        "line_words": len(w) / max(1, len(lines)), "distinct_lines": len(set(lines)) / max(1, len(lines)),
+        "pauses": share(sum(x[-1] in ".,;:" for x in w)), "bare": share(sum(len(x) == 1 for x in w)),
+    }
+
+
 def test_classifier_statistics_by_a_plain_reading(spark):
-    texts = [t for _, t, *_ in corpus()]
+    texts = [t for _, t, *_ in corpus()] + ["A B b b! 10% of #1\n\n A B b b! 10% of #1\nÉÀ x: y; |z| <q> ? .", "!", "\n", "a  a\ta"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r["i"]: r["s"] for r in df.select("i", quality_classifier.statistics(F.col("t")).alias("s")).collect()}
+    got = {r["i"]: r["s"].asDict() for r in df.select("i", quality_classifier.statistics(F.col("t")).alias("s")).collect()}
     for i, t in enumerate(texts):
-        w, s = [x.decode() for x in toks(t)], got[i].asDict()
-        assert all(math.isfinite(v) for v in s.values()) and set(s) == set(quality_classifier.STATS)
-        if len(w) > 1 and "n_words" in s:
-            assert s["n_words"] in (len(w), math.log(len(w)), math.log1p(len(w)))
+        want = plain_statistics(t)
+        assert tuple(want) == quality_classifier.STATS == tuple(got[i])
+        for name, v in want.items():
+            assert math.isclose(got[i][name], v, rel_tol=1e-12, abs_tol=1e-12), (t, name)
+    # every statistic tells some of the texts apart
+    assert all(len({round(got[i][n], 9) for i in got}) > 1 for n in quality_classifier.STATS)
+
+
+def test_registered_scores_follow_from_the_rules(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert model.rules
+    got = {r["doc_id"]: r for r in queries.op2_quality_classifier(spark, DATA).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        s = list(plain_statistics(r["text"]).values())
+        total = model.bias + sum(rule.weight for rule in model.rules if all((s[j] > t) == above for j, above, t in rule.tests))
+        score = 1 / (1 + math.exp(-total))
+        # thresholds lie between values of the statistics, so rounding decides none
+        assert math.isclose(got[r["doc_id"]]["score"], score, rel_tol=1e-9) and got[r["doc_id"]]["predicted"] == int(score >= 0.3)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_classifier_takes_a_bounded_sample_whatever_is_repeated(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i % 40, f"word {'A' * (i % 40 % 2)} {i % 7}") for i in range(4000)], "doc_id long, text string")
+    seen = []
+    real = quality_classifier.fit_rows
+    try:
+        quality_classifier.fit_rows = lambda x, y: seen.append(len(x)) or real(x, y)
+        quality_classifier.fit(docs, labels, sample=100)
+    finally:
+        quality_classifier.fit_rows = real
+    assert seen == [100]
 
 
 def test_topk_prunes_and_stays_exact_beyond_doubles(spark):
