@@ -93,14 +93,6 @@ def ensemble(parts: list[Column]) -> Column:
     return sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
 
 
-def first_seen_codes(values: list[str], known: dict[str, int] | None = None) -> tuple[list[int], dict[str, int]]:
-    """Codes of categories in the order they are first seen; with ``known``, unseen ones are -1."""
-    if known is not None:
-        return [known.get(v, -1) for v in values], known
-    codes: dict[str, int] = {}
-    return [codes.setdefault(v, len(codes)) for v in values], codes
-
-
 def logits_to_energies(logits: np.ndarray, tau: float = 1.0) -> np.ndarray:
     """Energies of the labels against the first column (no entity), over a temperature."""
     return (logits[:, 1:].astype(np.float64) - logits[:, :1]) / tau

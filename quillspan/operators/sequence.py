@@ -100,7 +100,7 @@ def _split(x: np.ndarray, tags: Sequence[str], slots: int) -> Model:
     return Model(tuple(tags), table, x[slots * size :].reshape(size, size))
 
 
-def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
+def numbers(column: pa.Array) -> Iterator[np.ndarray]:
     for x in column:
         yield x.values.to_numpy(zero_copy_only=False)
 
@@ -109,7 +109,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], size: int) -> I
     """Documents, some ``size`` values of their last column at once."""
     held, many = [], 0
     for b in batches:
-        for row in zip(*(_numbers(b.column(n)) for n in names), strict=True):
+        for row in zip(*(numbers(b.column(n)) for n in names), strict=True):
             held.append(row)
             many += len(row[-1])
             if many >= size:
@@ -119,7 +119,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], size: int) -> I
         yield held
 
 
-def _by_slot(total: np.ndarray, slots: np.ndarray, rows: np.ndarray) -> None:
+def by_slot(total: np.ndarray, slots: np.ndarray, rows: np.ndarray) -> None:
     """Add to each slot the rows of the tokens that have it; -1 goes to the last row, which is not used."""
     flat = slots.ravel()
     order = np.argsort(flat, kind="stable")
@@ -127,7 +127,7 @@ def _by_slot(total: np.ndarray, slots: np.ndarray, rows: np.ndarray) -> None:
     total[kinds] += np.add.reduceat(rows[order // slots.shape[1]], first, axis=0)
 
 
-def _summed(rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], width: int, size: int) -> np.ndarray:
+def summed(rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], width: int, size: int) -> np.ndarray:
     """The sum over all tasks of the rows (key, values) that ``kernel`` makes, as a table of ``size`` rows."""
     names = [f"v{i}" for i in range(width)]
 
@@ -156,14 +156,14 @@ def evaluation(rows: DataFrame, tags: Sequence[str], slots: int) -> Callable[[np
                 table = np.concatenate([s.reshape(len(g), -1) for s, g in held])
                 cut = np.cumsum([len(g) for _, g in held])[:-1]
                 loss, by_emission, by_move = chain.loss_and_gradient(np.split(model.emissions(table), cut), [g for _, g in held], model.move, tags)
-                _by_slot(total, table, np.concatenate(by_emission))
+                by_slot(total, table, np.concatenate(by_emission))
                 total[slots : slots + size] += by_move
                 total[slots + size, 0] += loss
             # the row of -1 is the last, after the loss: it is left out
             met = np.flatnonzero(total[:-1].any(axis=1))
             yield met, total[met]
 
-        got = _summed(slim, kernel, size, slots + size + 1)
+        got = summed(slim, kernel, size, slots + size + 1)
         sent.destroy()
         return float(got[-1, 0]), got[:-1].ravel()
 
@@ -198,7 +198,7 @@ def emissions(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sent.value.emissions(s.reshape(n, -1) if n else s.reshape(0, 1)).ravel() for s, n in zip(_numbers(b.column("slots")), b.column("starts").value_lengths().to_pylist(), strict=True)]
+            made = [sent.value.emissions(s.reshape(n, -1) if n else s.reshape(0, 1)).ravel() for s, n in zip(numbers(b.column("slots")), b.column("starts").value_lengths().to_pylist(), strict=True)]
             ends = pa.array(np.cumsum([0, *map(len, made)], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], [*b.schema.names, "emission"])
 
@@ -220,7 +220,7 @@ def fit_transitions(rows: DataFrame, tags: Sequence[str], rounds: int = 60, l2:
                 total[-1, 0] += loss
             yield np.arange(size + 1), total
 
-        got = _summed(slim, kernel, size, size + 1)
+        got = summed(slim, kernel, size, size + 1)
         return float(got[-1, 0]) + l2 * float(x @ x), np.where(ok.ravel(), got[:-1].ravel() + 2 * l2 * x, 0.0)
 
     x, log = optim.minimise(at, np.zeros(size * size), rounds, gain=gain)
@@ -237,7 +237,7 @@ def tagged(rows: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for b in batches:
             out = {n: [] for n in ("tokens", "nll", "raw", "raw_right", "exact", "exact_right")}
-            for starts, ends, slots, gold, k in zip(*(_numbers(b.column(c)) for c in ("starts", "ends", "slots", "gold")), b.column("k").to_pylist(), strict=True):
+            for starts, ends, slots, gold, k in zip(*(numbers(b.column(c)) for c in ("starts", "ends", "slots", "gold")), b.column("k").to_pylist(), strict=True):
                 e = m.emissions(slots.reshape(len(gold), -1)) if len(gold) else np.zeros((0, len(m.tags)))
                 bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
                 spans = lambda tags: chain.spans_of(bounds, tags)  # noqa: B023, E731

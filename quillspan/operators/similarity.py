@@ -102,6 +102,52 @@ def exact_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     return verified(met, own, own, "id", threshold)
 
 
+def hashed_sets(docs: DataFrame, ident: str, text: str = "text") -> DataFrame:
+    """(id, n, s): the distinct 64-bit hashes of each document's shingles, their number; none without shingles."""
+    own = docs.select(F.col(ident).alias("id"), F.array_distinct(F.transform(shingles(F.col(text)), lambda x: F.xxhash64(x))).alias("s"))
+    return own.where(F.size("s") > 0).select("id", F.size("s").alias("n"), "s")
+
+
+def cross_exact(queries: DataFrame, references: DataFrame, threshold: float, ident: str = "id", text: str = "text") -> DataFrame:
+    """(a, b, jaccard): all pairs of a query and a reference at least that similar, none missed.
+
+    As in ``exact_pairs`` a pair shares one of the rarest shingles of either side; shingles of one side only are the rarest
+    of all, and use up the prefix without being joined. Sets are of hashes, in longs."""
+    sides = {side: materialize(hashed_sets(df, ident, text), f"cross-{side}") for side, df in (("a", queries), ("b", references))}
+    each = {side: own.select("id", "n", F.explode("s").alias("h")) for side, own in sides.items()}
+    count = lambda side: each[side].groupBy("h").agg(F.count("*").alias(f"n_{side}"))
+    both = materialize(count("a").join(count("b"), "h").select("h", (F.col("n_a") + F.col("n_b")).alias("df")), "cross-both")
+
+    def first(side: str) -> DataFrame:
+        shared = each[side].join(both, "h")
+        order, whole = Window.partitionBy("id").orderBy("df", "h"), Window.partitionBy("id")
+        alone = F.col("n") - F.count("*").over(whole)
+        place = F.row_number().over(order) + alone
+        kept = shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+        return materialize(kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), "h"), f"cross-prefix-{side}")
+
+    fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
+    met = first("a").join(first("b"), "h").where(fits).select("a", "b").distinct()
+    held = [sides[side].select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}")) for side in "ab"]
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    scored = met.join(held[0], "a").join(held[1], "b").select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
+
+
+def cross_families(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, pairs, queries, references, families, documents, largest) of the edges of each threshold: families are what
+    edges between the two sides connect."""
+    out = None
+    for t in thresholds:
+        edges = materialize(pairs.where(F.col("jaccard") >= t).select(F.concat(F.lit("a"), F.col("a").cast("string")).alias("x"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("y")), "cross-edges")
+        sizes = connected_components(edges, "x", "y").groupBy("component").agg(F.count("*").alias("n"))
+        counts = edges.agg(F.count("*").alias("pairs"), F.count_distinct("x").alias("queries"), F.count_distinct("y").alias("references"))
+        found = sizes.agg(F.count("*").alias("families"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+        row = counts.join(F.broadcast(found)).select(F.lit(t).alias("threshold"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def cross_pairs(queries: DataFrame, references: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
     """(a, b, jaccard): queries and references that share a band, whatever their similarity."""
     q, r = materialize(with_signature(queries, text), "audit-q"), materialize(with_signature(references, text), "audit-r")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspan.functions.text import group_hash
-from quillspan.operators import calibration, candidates, chain, decode, evaluation, newton, reassembly, scoring, sequence, spanhead
+from quillspan.operators import boosting, calibration, candidates, chain, decode, evaluation, newton, reassembly, scoring, sequence, spanhead
 from quillspan.schemas import LABELS, TAGS
 from quillspan.sources import adapters
 from quillspan.sources.adapters import read, segments
@@ -167,6 +167,28 @@ def interval_sample(spark, d):
     return decode.per_document(turns, kernel, "doc_id long, kind int, n int, weight double, checksum long")
 
 
+#: Trees of the registered boosting, a bounded share of the 500 that ``boosting.fit`` makes if not told otherwise.
+BOOSTED_TREES = 30
+
+
+@query
+def candidate_boosting(spark, d):
+    """Every candidate's probability under leaf-wise trees with categorical splits, fitted on two of three folds."""
+    t = materialize(candidate_table(spark, d), "candidates")
+    fit = t.where("fold > 0")
+    binner = boosting.Binner.of(fit, ["chars", "position", "prior_logit"], ["label", "lang", "right_char"], "doc_id")
+    model = boosting.fit(fit, binner, trees=BOOSTED_TREES, rate=0.1)
+    return boosting.score(t, model).select(*evaluation.SPAN, "y", "fold", F.round("score", 6).alias("score"))
+
+
+ORACLES["first_seen_codes"] = "SELECT source AS value, (row_number() OVER (ORDER BY min(doc_id), source) - 1)::INT AS code FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+@query
+def first_seen_codes(spark, d):
+    return boosting.first_seen(read(spark, d, "documents"), "source", "doc_id")
+
+
 #: The features of each variant of the probes.
 VARIANTS = {"form": ["chars", "right_word"], "all": ["chars", "position", "prior_logit", "right_word"]}
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspan.functions.text import masked, shingles
-from quillspan.operators import annotations, audit, calibration, candidates, chain, decode, evaluation, features, replay, similarity, stats
+from quillspan.operators import annotations, audit, batches, calibration, candidates, chain, decode, evaluation, features, replay, similarity, stats
 from quillspan.schemas import LABELS, TAGS
-from quillspan.sources import adapters
+from quillspan.sources import adapters, ragged
 from quillspan.sources.adapters import SQL, read
 
 QUERIES, ORACLES = {}, {}
@@ -547,6 +547,17 @@ def _lattice(row) -> decode.Lattice:
     return decode.Lattice(int(row["n"]), np.stack([row["a"], row["b"]], axis=1), row["energies"])
 
 
+@query(f"""{ENERGIES}, f AS (SELECT doc_id, n, sum(count(*)) OVER (ORDER BY doc_id) - count(*) AS low, count(*) AS size FROM e GROUP BY 1, 2)
+SELECT f.doc_id, low::BIGINT AS low, size::BIGINT AS size, sum(a * 31 + b)::BIGINT AS pairs, sum(e0) AS first, sum(e1) AS second FROM f JOIN e USING (doc_id) GROUP BY 1, 2, 3""", plain=True)
+def ragged_scores(spark, d):
+    """The lattices' intervals and energies, frozen as flat columns with offsets and read back."""
+    flat, offsets = (ragged.materialize(x, "frozen") for x in ragged.flatten(lattices(spark, d), "doc_id", ["a", "b", "energies"]))
+    total = lambda x: F.aggregate(F.transform("energies", lambda e: e[x]), F.lit(0.0), lambda s, v: s + v)
+    back = ragged.restore(flat, offsets).join(offsets.select("ident", "low"), "ident")
+    pairs = F.aggregate(F.zip_with("a", "b", lambda a, b: (a * 31 + b).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    return back.select(F.col("ident").alias("doc_id"), "low", F.size("a").cast("long").alias("size"), pairs.alias("pairs"), total(0).alias("first"), total(1).alias("second"))
+
+
 @query()
 def labelled_slot_mbr(spark, d):
     def kernel(row):
@@ -964,6 +975,52 @@ def contamination_bins(spark, d):
     return similarity.cross_bins(similarity.cross_pairs(q, read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 
+#: SQL for the pairs of a document of the query side and one of the other with a Jaccard similarity of a half or more.
+CROSS = f"""WITH RECURSIVE {WORDS5}, side AS MATERIALIZED (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n, doc_id * 7919 % 101 < 20 AS query FROM sh),
+pairs AS MATERIALIZED (SELECT a, b, j FROM (SELECT q.doc_id AS a, r.doc_id AS b, count(*) / (any_value(q.n) + any_value(r.n) - count(*))::DOUBLE AS j FROM side q JOIN side r USING (s) WHERE q.query AND NOT r.query GROUP BY 1, 2) WHERE j >= 0.5)"""
+FAMILIES = (0.5, 0.8, 0.9)
+
+
+def split_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All documents, a fifth of them as queries."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    query = F.col("id") * 7919 % 101 < 20
+    return docs.where(query), docs.where(~query)
+
+
+@query(f"""{CROSS}, t(threshold) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in FAMILIES)}), e AS MATERIALIZED (SELECT threshold, 'a' || a AS x, 'b' || b AS y FROM pairs, t WHERE j >= threshold),
+both_ AS (SELECT * FROM e UNION ALL SELECT threshold, y, x FROM e), reach(threshold, x, y) AS (SELECT threshold, x, x FROM both_ UNION SELECT r.threshold, r.x, b.y FROM reach r JOIN both_ b ON b.threshold = r.threshold AND b.x = r.y),
+comp AS (SELECT threshold, x, min(y) AS c FROM reach GROUP BY 1, 2), sizes AS (SELECT threshold, c, count(*) AS n FROM comp GROUP BY 1, 2),
+f AS (SELECT threshold, count(*) AS families, sum(n)::BIGINT AS documents, max(n) AS largest FROM sizes GROUP BY 1), p AS (SELECT threshold, count(*) AS pairs, count(DISTINCT x) AS queries, count(DISTINCT y) AS "references" FROM e GROUP BY 1)
+SELECT t.threshold, coalesce(pairs, 0) AS pairs, coalesce(queries, 0) AS queries, coalesce("references", 0) AS "references", coalesce(families, 0) AS families, coalesce(documents, 0) AS documents, coalesce(largest, 0) AS largest FROM t LEFT JOIN p USING (threshold) LEFT JOIN f USING (threshold)""", plain=True)
+def cross_split_families(spark, d):
+    """Similar documents on the two sides of a split, and the families that they form, by threshold."""
+    pairs = similarity.materialize(similarity.cross_exact(*split_sides(spark, d), FAMILIES[0]), "cross-split")
+    return similarity.cross_families(pairs, list(FAMILIES))
+
+
+@query(f"""{CROSS} SELECT a, b, round(j, 9) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b)::INT AS rank FROM pairs) WHERE rank <= 8""", plain=True)
+def cross_split_best(spark, d):
+    """The eight most similar references of each query document, ties to the smaller id."""
+    pairs = similarity.cross_exact(*split_sides(spark, d), FAMILIES[0])
+    return batches.best_per_key(pairs, ["a"], [F.desc("jaccard"), F.col("b")], 8).select("a", "b", F.round("jaccard", 9).alias("jaccard"), "rank")
+
+
+#: Cells of a batch of texts.
+CELLS = 20_000
+
+
+@query(f"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents), c AS (SELECT *, n - n % (1::BIGINT << greatest(0, length(bin(n)) - 4)) AS class FROM w WHERE n > 0),
+k AS (SELECT class, greatest(1, {CELLS} // max(n)) AS per FROM c GROUP BY 1), p AS (SELECT doc_id, class, n, (row_number() OVER (PARTITION BY class ORDER BY n, doc_id) - 1) // per AS i FROM c JOIN k USING (class))
+SELECT class, i AS part, count(*) AS documents, min(n) AS shortest, max(n) AS longest, min(doc_id) AS least_id, round(1 - sum(n) / (count(*) * max(n)), 9) AS padding FROM p GROUP BY 1, 2""", plain=True)
+def length_batches(spark, d):
+    """Batches of documents of like length: how many, their lengths, and the share of padding."""
+    docs = read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).cast("long").alias("n"))
+    dealt = batches.length_batches(docs, "n", "doc_id", CELLS).where("batch is not null").withColumn("class", batches.length_class(F.col("n")))
+    each = dealt.groupBy("class", "batch").agg(F.count("*").alias("documents"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.min("doc_id").alias("least_id"), F.round(1 - F.sum("n") / (F.count("*") * F.max("n")), 9).alias("padding"))
+    return each.withColumn("part", F.col("batch") - F.min("batch").over(Window.partitionBy("class"))).drop("batch")
+
+
 @query()
 def family_folds(spark, d):
     return similarity.group_and_sample(read(spark, d, "documents"), 100, 100_000, 3, 2, 11)

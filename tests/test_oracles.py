@@ -8,8 +8,8 @@ from quillspan.plans import registry
 from tests.conftest import DATA
 
 SQL = registry.oracle_sql()
-#: Models that take long; those of chains, heads and probes have their own files.
-SLOW = {"crf_training", "crf_exact_k", "transition_fit", "span_head", "global_ranking", "newton_probe", "candidate_logistic", "candidate_trees", "style_classifier", "linear_probe_oof", "calibrate_beta"}
+#: Models that take long; those of chains, heads, probes and boosting have their own files.
+SLOW = {"crf_training", "crf_exact_k", "transition_fit", "span_head", "global_ranking", "newton_probe", "candidate_boosting", "candidate_logistic", "candidate_trees", "style_classifier", "linear_probe_oof", "calibrate_beta"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
