@@ -8,9 +8,11 @@ it, phrases meet the text by an equi-join on word runs.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -76,43 +78,62 @@ def username_hits(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     return _scan(docs, doc, text, "start int, end int, label string, score double", found)
 
 
-def _matcher(phrases: list[str], key) -> "ahocorasick.Automaton":
-    """The automaton of some phrases; the last one is kept by each worker."""
-    import ahocorasick
+class Matcher:
+    """An automaton of some phrases, and which characters are letters or digits."""
 
+    def __init__(self, phrases: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p in enumerate(phrases):
+            self.automaton.add_word(p, i)
+        self.automaton.make_automaton()
+        self.lengths = np.array([len(p) for p in phrases], np.int64)
+        self.phrases = pa.array(phrases, pa.string())
+        self.in_run = np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+    def find(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and places of the phrases that occur, nested ones too, but for those that start or end inside a run
+        of letters and digits."""
+        hits = np.array(list(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        end, which = hits[:, 0] + 1, hits[:, 1]
+        start = end - self.lengths[which]
+        run = np.zeros(len(text) + 2, bool)
+        run[1:-1] = self.in_run[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        whole = ~(run[start] & run[start + 1]) & ~(run[end] & run[end + 1])
+        return start[whole], end[whole], which[whole]
+
+
+def _matcher(phrases: list[str], key: str) -> Matcher:
+    """The matcher of some phrases; the last one is kept by each worker."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            found.add_word(p)
-        found.make_automaton()
-        _MATCHERS[key] = found
+        _MATCHERS[key] = Matcher(phrases)
     return _MATCHERS[key]
 
 
-def phrase_matches(text: str, matcher) -> Iterator[tuple[int, int, str]]:
-    """All occurrences of the phrases, nested ones too, that do not start or end inside a run of letters and digits."""
-    for last, n in matcher.iter(text):
-        a, b = last + 1 - n, last + 1
-        if a and text[a].isalnum() and text[a - 1].isalnum():
-            continue
-        if b < len(text) and text[last].isalnum() and text[b].isalnum():
-            continue
-        yield a, b, text[a:b]
-
-
 def dictionary_hits(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text: str = "text", phrase: str = "phrase") -> DataFrame:
     """(doc_id, start, end, phrase): every occurrence of every phrase. The phrases are sent to the tasks."""
     own = phrases.select(F.col(phrase).alias("p")).where(F.length("p") > 0).distinct()
     if (own.agg(F.sum(F.length("p"))).first()[0] or 0) > MAX_CHARS:
         return dictionary_join(docs, phrases, doc, text, phrase)
+    slim = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(sorted(own.toArrow().column(0).to_pylist()))
     key = uuid.uuid4().hex
 
-    def found(t: str):
-        return phrase_matches(t, _matcher(sent.value, key)) if sent.value else ()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sent.value:
+            return
+        matcher = _matcher(sent.value, key)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                piece = b.slice(at, 256)
+                found = [matcher.find(x.as_py() or "") for x in piece.column("text")]
+                start, end, which = (np.concatenate(c) for c in zip(*found, strict=True))
+                own = piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+                yield pa.RecordBatch.from_arrays([own, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), matcher.phrases.take(pa.array(which))], ["doc_id", "start", "end", "phrase"])
 
-    return _scan(docs, doc, text, "start int, end int, phrase string", found)
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, start int, end int, phrase string")
 
 
 def dictionary_join(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text: str = "text", phrase: str = "phrase", runs: int = 8) -> DataFrame:

@@ -828,6 +828,81 @@ def bio_spans(spark, d):
     return decode.per_document(tagged(spark, d), kernel, "doc_id long, start int, end int, label string")
 
 
+#: Gold of one or two words, every thirteenth start or so a character short, so that its end lies in a token.
+SHORT = f", {adapters.PHRASES}, short AS (SELECT doc_id, start, CASE WHEN start % 13 = 0 THEN \"end\" - 1 ELSE \"end\" END AS \"end\", label, contains(value, ' ') AS two FROM phrases)"
+
+
+def tagged_phrases(spark, d) -> DataFrame:
+    own = adapters.phrases(spark, d).withColumn("end", F.when(F.col("start") % 13 == 0, F.col("end") - 1).otherwise(F.col("end")))
+    toks = candidates.tokenize(read(spark, d, "documents")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("tokens"))
+    return toks.join(own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("spans")), "doc_id")
+
+
+@query(f"""{SHORT}, {TOKENS} SELECT doc_id, (SELECT count(*) FROM tk WHERE tk.doc_id = x.doc_id)::INT AS tokens, begins::INT AS begins, inside::INT AS inside, off::INT AS unaligned FROM (SELECT doc_id, count(*) FILTER (start % 13 <> 0) AS begins, count(*) FILTER (two AND start % 13 <> 0) AS inside, count(*) FILTER (start % 13 = 0) AS off FROM short GROUP BY 1) x""")
+def bio_tags_phrases(spark, d):
+    """As bio_tags, over spans of one and two words, some of which do not lie on token borders."""
+    def kernel(row):
+        tags, off = chain.tags_of([(t["start"], t["end"]) for t in row["tokens"]], [(s["start"], s["end"], s["label"]) for s in row["spans"]])
+        return [{"doc_id": row["doc_id"], "tokens": len(tags), "begins": sum(t[0] == "B" for t in tags), "inside": sum(t[0] == "I" for t in tags), "unaligned": off}]
+
+    return decode.per_document(tagged_phrases(spark, d), kernel, "doc_id long, tokens int, begins int, inside int, unaligned int")
+
+
+@query(f"""{SHORT} SELECT doc_id, start, "end", label FROM short WHERE start % 13 <> 0""")
+def bio_spans_phrases(spark, d):
+    def kernel(row):
+        tokens = [(t["start"], t["end"]) for t in row["tokens"]]
+        tags, _ = chain.tags_of(tokens, [(s["start"], s["end"], s["label"]) for s in row["spans"]])
+        return [{"doc_id": row["doc_id"], "start": a, "end": b, "label": x} for a, b, x in chain.spans_of(tokens, tags)]
+
+    return decode.per_document(tagged_phrases(spark, d), kernel, "doc_id long, start int, end int, label string")
+
+
+@query(f"""{SHORT}, {TOKENS}, al AS MATERIALIZED (SELECT c.doc_id, label, c.start % 10 / 10.0::DOUBLE AS score, a.i AS f, b.i AS l FROM short c JOIN tk a ON a.doc_id = c.doc_id AND a.start = c.start JOIN tk b ON b.doc_id = c.doc_id AND b."end" = c."end"),
+r AS MATERIALIZED (SELECT doc_id, label, score, f, l, unnest(generate_series(f, l)) AS i FROM al)
+SELECT doc_id, i::INT AS i, 'dict_' || role || '_' || label AS feature, least(9, floor(max(score) * 10))::INT AS bucket FROM (SELECT *, CASE WHEN i = f THEN 'B' ELSE 'I' END AS role FROM r UNION ALL SELECT *, 'E' FROM r WHERE i = l) GROUP BY 1, 2, 3""")
+def dictionary_roles_phrases(spark, d):
+    """Roles of tokens in candidates of one and two tokens: both B and I occur."""
+    own = adapters.phrases(spark, d).withColumn("end", F.when(F.col("start") % 13 == 0, F.col("end") - 1).otherwise(F.col("end")))
+    scored = own.select("doc_id", "start", "end", "label", (F.col("start") % 10 / 10.0).alias("score"))
+    return features.dictionary_roles(candidates.token_aligned(candidates.tokenize(read(spark, d, "documents")), scored))
+
+
+#: SQL for runs of letters and digits with the run after them, if one space is between.
+PAIRED = r"pieces AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS ps FROM documents)), runs2 AS (SELECT t, lead(t, 1) OVER w AS gap, lead(t, 2) OVER w AS next FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)), met AS (SELECT value, count(*) AS n FROM (SELECT t AS value FROM runs2 UNION ALL SELECT t || ' ' || next FROM runs2 WHERE gap = ' ') GROUP BY 1)"
+
+
+@query(f""", {adapters.PHRASES}, {PAIRED} SELECT value AS phrase, min(label) AS label, (count(*) + 1) / (any_value(n) + 2) AS score, count(*) AS positive_occurrences, any_value(n) AS occurrences FROM phrases JOIN met USING (value) GROUP BY value""")
+def phrase_precision_words(spark, d):
+    """As phrase_precision, for phrases of one and two words."""
+    return candidates.fit_dictionary(read(spark, d, "documents"), adapters.phrases(spark, d))
+
+
+FAULTY = """, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS slot FROM pred),
+rows_ AS (SELECT CASE WHEN start % 41 = 0 THEN 'none' ELSE doc_id::VARCHAR END AS doc, slot, CASE WHEN start % 43 = 0 THEN NULL ELSE CASE WHEN start % 47 = 0 THEN 'OTHER' ELSE label END END AS label, start AS a, CASE WHEN start % 53 = 0 THEN 1000000000 WHEN start % 61 = 0 THEN "end" + 40 ELSE "end" END AS b, start % 43 = 0 AS bad, doc_id FROM p),
+twice AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE a % 59 = 0),
+k AS (SELECT t.*, documents.n_chars, count(*) OVER (PARTITION BY doc, slot) AS copies, lag(CASE WHEN bad THEN NULL ELSE b END) OVER (PARTITION BY doc ORDER BY slot) AS last FROM twice t LEFT JOIN documents ON t.doc = documents.doc_id::VARCHAR),
+f AS (SELECT unnest(list_filter([CASE WHEN n_chars IS NULL THEN 'unknown_document' END, CASE WHEN bad THEN 'format' END, CASE WHEN NOT bad AND label = 'OTHER' THEN 'label' END, CASE WHEN NOT bad AND NOT (a >= 0 AND a < b AND b <= n_chars) THEN 'bounds' END, CASE WHEN copies > 1 THEN 'duplicate_row' END], lambda x: x IS NOT NULL)) AS fault FROM k),
+c AS (SELECT 'count' AS fault FROM (SELECT doc_id::VARCHAR AS doc, count(*) AS expected FROM gold GROUP BY 1) e LEFT JOIN (SELECT doc, count(*) AS n FROM twice GROUP BY 1) USING (doc) WHERE coalesce(n, 0) <> expected)
+SELECT fault, count(*) AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM c) GROUP BY 1"""
+
+
+@query(FAULTY)
+def submission_all_faults(spark, d):
+    """Predictions with faults by arithmetic: documents that there are not, broken cells, labels that there are not, ends beyond
+    the text, rows given twice; and what overlap those make is left to submission_validation's own tests."""
+    g, p, _ = relations(spark, d)
+    s, nn = F.col("start"), F.col("slot").cast("string")
+    doc = F.when(s % 41 == 0, "none").otherwise(F.col("doc_id").cast("string"))
+    label = F.when(s % 47 == 0, "OTHER").otherwise(F.col("label"))
+    end = F.when(s % 53 == 0, 1_000_000_000).when(s % 61 == 0, F.col("end") + 40).otherwise(F.col("end"))
+    cell = F.when(s % 43 == 0, F.concat_ws(":", "label", s.cast("string"))).otherwise(F.concat_ws(":", label, s.cast("string"), end.cast("string")))
+    rows = audit.numbered(p).select(s, F.concat_ws("_", doc, F.when(F.length(nn) < 2, F.lpad(nn, 2, "0")).otherwise(nn)).alias("row_id"), cell.alias("Predicted"))
+    rows = rows.unionByName(rows.where(s % 59 == 0)).drop("start")
+    docs = read(spark, d, "documents").select("doc_id", "n_chars").join(g.groupBy("doc_id").agg(F.count("*").alias("expected")), "doc_id", "left")
+    return evaluation.submission_faults(rows, docs, LABELS).where("fault <> 'overlap'")
+
+
 def candidate_texts(spark, d) -> DataFrame:
     return with_text(spark, d, relations(spark, d)[2])
 

@@ -7,7 +7,7 @@ follow from the spans' offsets by arithmetic, so that SQL can make the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspan.operators.candidates import tokenize
 from quillspan.operators.reassembly import explode_lines
@@ -28,32 +28,33 @@ def label_of(index: Column) -> Column:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, end, label, value)."""
-    words = tokenize(read(spark, sf_dir, "documents"), pattern=r"[^ \n]+").where(F.col("token").rlike("^[A-Z][a-z]{3,}$"))
+    words = tokenize(read(spark, sf_dir, "documents"), pattern=r"(?<![^ \n])[A-Z][a-z]{3,}(?![^ \n])")
     return words.select("doc_id", "start", "end", label_of(F.length("token")).alias("label"), F.col("token").alias("value"))
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold of one or two words: a gold word, with the word after it if that has one to five small letters and one space is between."""
-    pieces = tokenize(read(spark, sf_dir, "documents"), pattern=r"[^ \n]+|\n")
-    order = Window.partitionBy("doc_id").orderBy("i")
-    both = F.lead("token").over(order).rlike("^[a-z]{1,5}$") & (F.lead("start").over(order) == F.col("end") + 1)
-    rows = pieces.withColumns({"two": F.coalesce(both, F.lit(False)), "next": F.lead("token").over(order)}).where(F.col("token").rlike("^[A-Z][a-z]{3,}$"))
-    value = F.when(F.col("two"), F.concat_ws(" ", "token", "next")).otherwise(F.col("token"))
-    return rows.select("doc_id", "start", (F.col("start") + F.length(value)).cast("int").alias("end"), label_of(F.length("token")).alias("label"), value.alias("value"))
+    found = tokenize(read(spark, sf_dir, "documents"), pattern=r"(?<![^ \n])[A-Z][a-z]{3,}(?: [a-z]{1,5}(?![^ \n])|(?![^ \n]))")
+    return found.select("doc_id", "start", "end", label_of(F.length(F.substring_index("token", " ", 1))).alias("label"), F.col("token").alias("value"))
+
+
+def _predicted(s: Column) -> tuple[Column, Column, Column]:
+    """Whether a gold span is predicted, with which end, and with which label."""
+    end = F.when(s % 13 == 0, F.col("end") - 1).otherwise(F.col("end"))
+    return s % 9 != 0, end, F.when(s % 11 == 0, label_of(F.length("value") + 1)).otherwise(F.col("label"))
 
 
 def predicted(gold: DataFrame, salt: int = 0) -> DataFrame:
     """(doc_id, start, end, label): gold spans, some dropped, some relabelled, some a character short."""
-    s = F.col("start") + salt
-    rows = gold.where(s % 9 != 0)
-    label = F.when(s % 11 == 0, label_of(F.length("value") + 1)).otherwise(F.col("label"))
-    end = F.when(s % 13 == 0, F.col("end") - 1).otherwise(F.col("end"))
-    return rows.select("doc_id", "start", end.alias("end"), label.alias("label"))
+    keep, end, label = _predicted(F.col("start") + salt)
+    return gold.where(keep).select("doc_id", "start", end.alias("end"), label.alias("label"))
 
 
 def candidates(gold: DataFrame) -> DataFrame:
-    """Predictions and most gold spans, with a score."""
-    every = predicted(gold).unionByName(gold.where(F.col("start") % 17 != 0).select("doc_id", "start", "end", "label")).distinct()
+    """Predictions and most gold spans, with a score; both come from one reading of the gold spans."""
+    row = lambda keep, end, label: F.when(keep, F.struct(F.col("start"), end.alias("end"), label.alias("label")))
+    both = F.array(row(*_predicted(F.col("start"))), row(F.col("start") % 17 != 0, F.col("end"), F.col("label")))
+    every = gold.select("doc_id", F.inline(F.filter(both, lambda x: x.isNotNull()))).distinct()
     return every.withColumn("score", (F.pmod(F.col("start") * 31 + F.col("end") * 7, F.lit(97)) + 1) / 99.0)
 
 
