@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspan.sources.scratch import materialize
+
 #: The charge on squared weights (not the intercept), the slope at which a probe is done, most steps and halvings.
 STRENGTH, DONE, STEPS, HALVINGS, FLAT = 0.001, 1e-8, 100, 40, 1e-12
 #: Largest absolute score before it is made a probability.
@@ -56,6 +58,7 @@ def fit(train: DataFrame, features: list[str], label: str = "y", weight: str | N
         return {(): p for p in fit(train.withColumn("_all", F.lit(1)), features, label, weight, ["_all"], strength).values()}
     d = len(features)
     rows = train.select(*[F.col(f"`{c}`") for c in [*by, *features]], F.col(label).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).dropna(subset=[*features, "_y", "_w"])
+    rows = materialize(rows, "probe-rows")  # read once a step
     moments = [f for i, c in enumerate(features) for f in (F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}"))]
     seen = rows.groupBy(*by).agg(*moments, F.sum("_w").alias("w"), F.min("_y").alias("low"), F.max("_y").alias("high"), F.min("_w").alias("least"), F.count_if(~F.col("_y").isin(0.0, 1.0)).alias("odd"))
     probes = {}
