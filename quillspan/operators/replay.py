@@ -7,9 +7,10 @@ import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspan.operators.decode import Lattice, per_document, posterior, slot_mbr
+from quillspan.operators.prefix import running_total
 from quillspan.schemas import LABELS
 from quillspan.sources import artifacts
 
@@ -20,8 +21,20 @@ def canonical_hash(predictions: DataFrame, doc: str = "doc_id") -> str:
     """SHA-256 of all predictions as JSON: documents in order of id, each with its (start, end, label) in the order given.
 
     ``predictions``: doc, predicted (array of start, end, label). Documents that repeat, spans that are out of order,
-    repeated, overlapping or invalid are errors. Rows are sorted on the cluster and streamed through the hash.
+    repeated, overlapping or invalid are errors. Rows are sorted on the cluster and streamed through the hash, one after the
+    other; ``tree_hash`` is for tables that no one process should read.
     """
+    order = _sound(predictions, doc)
+    out = hashlib.sha256(b"[")
+    for i, row in enumerate(predictions.select(doc, order.alias("p")).orderBy(doc).toLocalIterator()):
+        one = json.dumps([row[doc], [list(s) for s in row["p"]]], ensure_ascii=False, separators=(",", ":"))
+        out.update((("," if i else "") + one).encode())
+    out.update(b"]")
+    return out.hexdigest()
+
+
+def _sound(predictions: DataFrame, doc: str) -> Column:
+    """The predicted spans as (start, end, label); an error if a document or a span is not as ``canonical_hash`` demands."""
     p = F.col("predicted")
     order = F.transform(p, lambda s: F.struct(*[s[c] for c in SPANS]))
     bad = F.exists(p, lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | ~s["label"].isin(*LABELS))
@@ -29,12 +42,26 @@ def canonical_hash(predictions: DataFrame, doc: str = "doc_id") -> str:
     faults = predictions.select(F.count_if(bad | (order != F.array_sort(order)) | ~apart).alias("n")).first()["n"]
     if faults or not predictions.groupBy(doc).count().where("count > 1").isEmpty():
         raise ValueError("predictions repeat a document, or hold spans that are invalid, out of order or overlap")
-    out = hashlib.sha256(b"[")
-    for i, row in enumerate(predictions.select(doc, order.alias("p")).orderBy(doc).toLocalIterator()):
-        one = json.dumps([row[doc], [list(s) for s in row["p"]]], ensure_ascii=False, separators=(",", ":"))
-        out.update((("," if i else "") + one).encode())
-    out.update(b"]")
-    return out.hexdigest()
+    return order
+
+
+#: Hashes that are joined into one, and how often: the tree's depth is fixed, so its root says all about its leaves.
+FAN, DEPTH = 256, 5
+
+
+def tree_hash(predictions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(sha256, documents): one hash of all predictions, from hashes of documents in order of id, ``FAN`` of them joined and hashed at
+    each of ``DEPTH`` levels. Ranks are running totals over ranges; no task holds more than ``FAN`` hashes of a node, and the
+    driver none. Faults are errors, as in ``canonical_hash``."""
+    order = _sound(predictions, doc)
+    leaf = F.sha2(F.to_json(F.struct(F.col(doc), order.alias("predicted"))).cast("binary"), 256)
+    ranked = running_total(predictions.select(doc, leaf.alias("h"), F.lit(1).cast("long").alias("one")), [doc], {"at": "one"})
+    rows = ranked.select("at", "h", "one")
+    for _ in range(DEPTH):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+        rows = rows.groupBy(F.floor(F.col("at") / FAN).alias("at")).agg(F.sha2(joined.cast("binary"), 256).alias("h"), F.sum("one").alias("one"))
+    root = rows.agg(F.count("*").alias("n"), F.first("h").alias("h"), F.sum("one").alias("one")).select(F.when(F.col("n") <= 1, F.col("h")).otherwise(F.raise_error(F.lit("more documents than the tree holds"))).alias("sha256"), F.coalesce("one", F.lit(0)).cast("long").alias("documents"))
+    return root
 
 
 def replay(decoded: DataFrame, stored: DataFrame) -> DataFrame:

@@ -340,6 +340,19 @@ def prediction_hash(spark, d):
     return spark.createDataFrame([(replay.canonical_hash(replay.prediction_slots(adapters.gold(spark, d))),)], "sha256 string")
 
 
+def _sql_tree() -> str:
+    levels = """, h0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, sha256('{"doc_id":' || doc_id || ',"predicted":[' || string_agg('{"start":' || start || ',"end":' || "end" || ',"label":"' || label || '"}', ',' ORDER BY start, "end", label) || ']}') AS h FROM gold GROUP BY doc_id)"""
+    for q in range(replay.DEPTH):
+        levels += f", h{q + 1} AS (SELECT place // {replay.FAN} AS place, sha256(string_agg(h, '' ORDER BY place)) AS h FROM h{q} GROUP BY 1)"
+    return f"{levels} SELECT h AS sha256, (SELECT count(*) FROM h0) AS documents FROM h{replay.DEPTH}"
+
+
+@query(_sql_tree())
+def prediction_tree(spark, d):
+    """One hash of all predictions without a process that reads them all."""
+    return replay.tree_hash(replay.prediction_slots(adapters.gold(spark, d)))
+
+
 @query("""SELECT row_number() OVER (ORDER BY g.doc_id, g.slot) - 1 AS row_order, g.doc_id || '_' || CASE WHEN g.slot < 10 THEN '0' ELSE '' END || g.slot AS row_id, CASE WHEN p.slot IS NULL THEN NULL ELSE p.label || ':' || p.start || ':' || p."end" END AS "Predicted" FROM gs g LEFT JOIN ps p ON p.doc_id = g.doc_id AND p.slot = g.slot""")
 def submission_rows(spark, d):
     from quillspan.operators.prefix import running_total

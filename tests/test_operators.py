@@ -412,3 +412,27 @@ def test_samples_keep_families_whole(spark):
     for size, most, least in ((20, 5, 2), (20, 40, 30)):
         with pytest.raises(ValueError):
             similarity.group_and_sample(docs, size, most, 3, least, 5)
+
+
+def test_tree_hash_follows_every_span_and_no_partitioning(spark, monkeypatch):
+    import hashlib
+
+    from quillspan.operators import replay
+
+    monkeypatch.setattr(replay, "FAN", 3)
+    schema = "doc_id string, predicted array<struct<start:int,end:int,label:string>>"
+    rows = [(f"d{i:02d}", [(0, 2, "NAME"), (2, 5, "DATE")][: i % 3]) for i in range(20)]
+    made = spark.createDataFrame(rows, schema)
+    got = [tuple(replay.tree_hash(made.repartition(n)).first()) for n in (1, 4)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    level = [sha(f'{{"doc_id":"{d}","predicted":[' + ",".join(f'{{"start":{a},"end":{b},"label":"{x}"}}' for a, b, x in p) + "]}") for d, p in rows]
+    for _ in range(replay.DEPTH):
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    assert got == [(level[0], 20)] * 2
+    other = spark.createDataFrame([*rows[:-1], ("d19", [(0, 2, "DATE")])], schema)
+    assert replay.tree_hash(other).first()[0] != level[0] and replay.tree_hash(made.limit(0)).first()["documents"] == 0
+    for bad in ([(2, 5, "DATE"), (0, 2, "NAME")], [(0, 3, "NAME"), (2, 5, "DATE")], [(0, 2, "OTHER")]):
+        with pytest.raises(ValueError):
+            replay.tree_hash(spark.createDataFrame([("a", bad)], schema))
+    with pytest.raises(ValueError):
+        replay.tree_hash(spark.createDataFrame([rows[1], rows[1]], schema))
