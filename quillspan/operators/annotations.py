@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,12 +88,14 @@ def unlabelled_repeats(docs: DataFrame, text: str = "text", spans: str = "spans"
         for b in batches:
             out = []
             for doc, t, own in zip(b["doc_id"], b[text], b[spans], strict=True):
-                bounds = [(s["start"], s["end"]) for s in own]
+                bounds = {(s["start"], s["end"]) for s in own}
+                starts, ends = (sorted(x) for x in zip(*bounds, strict=True)) if bounds else ([], [])
                 for v in sorted({t[a:e] for a, e in bounds}):
                     at = t.find(v) if v else -1
                     while at >= 0:
                         if (at, at + len(v)) not in bounds:
-                            out.append((doc, v, at, any(at < e and at + len(v) > a for a, e in bounds)))
+                            # spans that begin before its end, less those that end before it
+                            out.append((doc, v, at, bisect_left(starts, at + len(v)) > bisect_right(ends, at)))
                         at = t.find(v, at + len(v))
             yield pd.DataFrame(out, columns=["doc_id", "value", "start", "overlapping"])
 

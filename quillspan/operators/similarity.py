@@ -38,7 +38,7 @@ def with_signature(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [signature(s) for s in b.column("shingles").to_pylist()]
+            out = [signature(s.as_py()) for s in b.column("shingles")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int64()))], [*b.schema.names, "signature"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
@@ -59,6 +59,11 @@ def lsh_pairs(left: DataFrame, right: DataFrame | None, ident: str) -> DataFrame
     return (met if right is not None else met.where("a < b")).select("a", "b").distinct()
 
 
+def hashed(signed: DataFrame) -> DataFrame:
+    """``signed`` with the distinct 64-bit hashes of its shingles in place of their texts."""
+    return signed.withColumn("shingles", F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x))))
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, ident: str, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard): pairs whose shingle sets are that similar."""
     l = left.select(F.col(ident).alias("a"), F.col("shingles").alias("sa"))
@@ -80,26 +85,48 @@ def membership(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     return norm.join(low.withColumnRenamed("_n", "_k"), F.col("_n").eqNullSafe(F.col("_k"))).select(ident, "representative")
 
 
+def _prefixes(own: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, h): of each set (id, shingles) the first n - ceil(threshold * n) + 1 hashes, rarest first, but those of one
+    set only. Sets that are similar enough share one."""
+    rows = own.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    freq = materialize(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "pairs-df")
+    # hashes of one set only cannot match, but come first in its order and use up its prefix
+    shared = rows.join(freq, "h")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h")) + F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    return shared.withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("id", "n", "h")
+
+
+def _meet(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of (id, n, key) with equal keys whose sizes allow the threshold."""
+    l, r = (rows.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col(key).alias(f"k{x}")) for x in "ab")
+    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    return l.join(r, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
 def exact_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs at least that similar, none missed.
 
     Prefix filter: with shingles in one order, rarest first, similar sets share one of their first
-    n - ceil(threshold * n) + 1 shingles. So only rare shingles are joined on; sizes are compared, then sets.
+    n - ceil(threshold * n) + 1 shingles. So only rare shingles are joined on; sizes are compared, then sets of hashes.
+    """
+    own = materialize(hashed_sets(docs, ident, text).select("id", F.col("s").alias("shingles")), "pairs-own")
+    first = materialize(_prefixes(own, threshold), "pairs-prefix")
+    return verified(_meet(first, "h", threshold), own, own, "id", threshold)
+
+
+def near_pairs(signed: DataFrame, ident: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard), a < b: the pairs that share a band and are at least that similar.
+
+    Texts of a band's bucket meet only where they also share a hash of their prefixes, which all similar ones do. So a
+    bucket of boilerplate is not paired up. Only sets that share a bucket are ordered. ``signed``: ident, shingles (hashes), signature.
     """
-    own = materialize(docs.select(F.col(ident).alias("id"), shingles(F.col(text)).alias("shingles")).where(F.size("shingles") > 0), "pairs-own")
-    rows = own.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).select("id", "n", F.xxhash64("s").alias("h"))
-    freq = materialize(rows.groupBy("h").agg(F.count("*").alias("df")), "pairs-df").where("df > 1")
-    # shingles of one document only cannot match, but come first in its order and use up its prefix
-    alone = rows.join(freq.select("h"), "h", "left_anti").groupBy("id").agg(F.count("*").alias("alone"))
-    shared = rows.join(freq, "h").join(alone, "id", "left")
-    order = Window.partitionBy("id").orderBy("df", "h")
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    first = shared.withColumn("r", F.row_number().over(order) + F.coalesce("alone", F.lit(0))).where(F.col("r") <= prefix).select("id", "n", "h")
-    first = materialize(first, "pairs-prefix")
-    l, r = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("g"))
-    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    met = l.join(r, (F.col("h") == F.col("g")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    return verified(met, own, own, "id", threshold)
+    named = signed.select(F.col(ident).alias("id"), "shingles", "signature")
+    rows = materialize(bands(named, "id").select("id", F.xxhash64("band", "key").alias("bucket")), "pairs-bands")
+    several = materialize(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "pairs-buckets")
+    met = materialize(rows.join(several, "bucket"), "pairs-met")
+    own = materialize(named.select("id", "shingles").join(met.select("id").distinct(), "id"), "pairs-own")
+    first = _prefixes(own, threshold).join(met, "id").select("id", "n", F.xxhash64("bucket", "h").alias("k"))
+    return verified(_meet(materialize(first, "pairs-prefix"), "k", threshold), own, own, "id", threshold)
 
 
 def hashed_sets(docs: DataFrame, ident: str, text: str = "text") -> DataFrame:
@@ -150,7 +177,7 @@ def cross_families(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
 
 def cross_pairs(queries: DataFrame, references: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
     """(a, b, jaccard): queries and references that share a band, whatever their similarity."""
-    q, r = materialize(with_signature(queries, text), "audit-q"), materialize(with_signature(references, text), "audit-r")
+    q, r = (materialize(hashed(with_signature(x.select(ident, text), text)).drop(text), t) for x, t in ((queries, "audit-q"), (references, "audit-r")))
     return verified(lsh_pairs(q, r, ident), q, r, ident, 0.0)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from quillspan.functions import text
 from quillspan.functions.text import count_band, group_hash, words
 from quillspan.operators import audit, evaluation, reassembly, splitting, stats
+from quillspan.sources import tabular
 from quillspan.sources.adapters import read, segments
 
 QUERIES, ORACLES = {}, {}
@@ -340,3 +341,20 @@ def paragraph_numbering(spark, d):
 def derived_text_columns(spark, d):
     t = F.col("text")
     return read(spark, d, "documents").select("doc_id", F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"), F.trim(F.lower(F.left(t, F.lit(40)))).alias("head"))
+
+
+#: How a JSON text of the events is changed, as an expression of it, with the fault it has then and its number of objects.
+JSON_VARIANTS = {
+    "as written": ("props", "", 1), "array": ("'[' || props || ', ' || props || ']'", "", 2), "trailing data": ("props || ' {}'", "data after the value", 1),
+    "repeated key": ("left(props, length(props) - 1) || ', \"k\": 0}'", "a key is repeated", 1), "cut": ("left(props, length(props) - 1)", "the text ends early", 1),
+    "nested only": ("'{\"other\": ' || props || '}'", "a field is missing", 1), "skipped values": ("'{\"a\": [{\"k\": \"}\"}], \"k\"' || substr(props, instr(props, ':'))", "", 1),
+    "no object": ("'[' || props || ', 1]'", "an item is not an object", 1), "unmatched": ("'[' || props || '}'", "a delimiter does not match", 1),
+}
+
+
+@query("SELECT variant, fault, (count(*) * items)::BIGINT AS n, CASE WHEN fault = '' THEN (sum(regexp_extract(props, '\"k\": *(\\d+)', 1)::BIGINT) * items)::BIGINT END AS total FROM events, (VALUES " + ", ".join(f"('{v}', '{fault}', {items})" for v, (_, fault, items) in JSON_VARIANTS.items()) + ") v(variant, fault, items) GROUP BY variant, fault, items")
+def json_projection(spark, d):
+    """One field of the events' JSON by the strict reader, as written and with each fault it must refuse."""
+    each = F.explode(F.create_map(*[x for v, (sql, _, _) in JSON_VARIANTS.items() for x in (F.lit(v), F.expr(sql))])).alias("variant", "json")
+    found = tabular.project_json(read(spark, d, "events").select(each), "json", ("k",), ("variant",))
+    return found.groupBy("variant", F.coalesce("fault", F.lit("")).alias("fault")).agg(F.count("*").alias("n"), F.sum(F.col("k").cast("long")).alias("total"))

@@ -1042,8 +1042,8 @@ def shingle_jaccard_pairs(spark, d):
 
 @query()
 def near_duplicate_pairs(spark, d):
-    signed = similarity.materialize(similarity.with_signature(similarity.representatives(read(spark, d, "documents"))).select("doc_id", "shingles", "signature"), "near")
-    return similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id")
+    signed = similarity.hashed(similarity.with_signature(similarity.representatives(read(spark, d, "documents")))).select("doc_id", "shingles", "signature")
+    return similarity.near_pairs(similarity.materialize(signed, "near"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), ' ')) AS representative FROM documents", plain=True)
@@ -1052,7 +1052,12 @@ def text_representatives(spark, d):
     return similarity.membership(read(spark, d, "documents"))
 
 
-@query()
+@query(r"""WITH RECURSIVE own AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' '), '\d+', '0', 'g') AS mask FROM documents),
+reps AS MATERIALIZED (SELECT min(doc_id) AS doc_id, string_split(mask, ' ') AS w FROM own WHERE mask IS NOT NULL GROUP BY mask),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM reps, LATERAL (SELECT unnest(generate_series(1, len(w) - 4)) AS i)), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+near AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c) >= 0.8),
+e AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), reach(x, y) AS (SELECT doc_id, doc_id FROM reps UNION SELECT x, b FROM reach JOIN e ON a = y), low AS MATERIALIZED (SELECT x, min(y) AS c FROM reach GROUP BY 1)
+SELECT o.doc_id, coalesce(c, o.doc_id) AS group_id FROM (SELECT doc_id, CASE WHEN mask IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY mask) END AS rep FROM own) o LEFT JOIN low ON x = rep""".replace("\\\\", "\\"), plain=True)
 def template_families(spark, d):
     return similarity.families(read(spark, d, "documents"))
 

@@ -436,3 +436,61 @@ def test_tree_hash_follows_every_span_and_no_partitioning(spark, monkeypatch):
             replay.tree_hash(spark.createDataFrame([("a", bad)], schema))
     with pytest.raises(ValueError):
         replay.tree_hash(spark.createDataFrame([rows[1], rows[1]], schema))
+
+
+JSON_FAULTS = {
+    '[{"k": "a"}] []': "data after", '{"k": "a", "k": "b"}': "repeated", '{"k": "a"': "ends early", '[{"k": "a"}, 3]': "not an object", "3": "not an object", "[[]]": "not an object", '{"x": {"k": "a"}}': "missing",
+    '{"k": [1, {"y": 2]}': "does not match", '[{"k": "a"}}': "does not match", '{"k": 01}': "malformed", '{"k": "a" "x": 1}': "out of place", '{"k" 1}': "out of place", '{"k": tru}': "malformed", '{"k": "a\nb"}': "malformed",
+    '[{"k": 1},]': "does not match", '{"k": 1,}': "does not match", '{, "k": 1}': "out of place", '{"k": }': "does not match", "": "ends early", "{}": "missing", '[{"k": 1} {"k": 2}]': "out of place", '{"k": "\\x"}': "malformed",
+}
+
+
+@pytest.mark.parametrize("text", sorted(JSON_FAULTS))
+def test_strict_json_refuses(text):
+    with pytest.raises(ValueError, match=JSON_FAULTS[text]):
+        tabular._items(text, ("k",))
+
+
+def test_strict_json_equals_the_standard_parser(spark, tmp_path):
+    import json
+    import random
+
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 5:
+            return [None, True, rng.randrange(-99, 99), rng.random() * 10 ** rng.randrange(-9, 9), "".join(rng.choices('ab"\\{}[],: é😀\n', k=rng.randrange(6)))][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(3))] if kind == 5 else {str(i): value(depth - 1) for i in range(rng.randrange(3))}
+
+    for _ in range(500):
+        items = [{"x": value(3), "k": value(2), "y": {"k": value(1)}} for _ in range(rng.randrange(4))]
+        text = json.dumps(items, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        got = [k for (k,) in tabular._items(text, ("k",))]
+        assert [x["k"] if isinstance(x["k"], (str, type(None))) else json.loads(k) for x, k in zip(items, got, strict=True)] == [x["k"] for x in items]
+        assert [k for x, k in zip(items, got, strict=True) if isinstance(x["k"], (str, type(None)))] == [x["k"] for x in items if isinstance(x["k"], (str, type(None)))]
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('[{"document_id": "d1", "gold": [{"group_id": "no"}], "group_id": "g"}, {"group_id": null, "document_id": "d\\u00fc"}]', encoding="utf-8")
+    bad.write_text('[{"document_id": "d1", "group_id": "g"}] x', encoding="utf-8")
+    assert [tuple(r) for r in tabular.read_identities(spark, str(good), strict=True).collect()] == [("d1", "g"), ("dü", None)]
+    with pytest.raises(Exception, match="JSON is refused"):
+        tabular.read_identities(spark, str(bad), strict=True).collect()
+    rows = spark.createDataFrame([(1, "[]", 0), (2, None, 0), (3, '{"id": 4}', 0)], "id int, j string, item int")
+    assert [tuple(r) for r in tabular.project_json(rows.select("id", "j"), "j", ("id",), ()).collect()] == [(0, None, "the text ends early"), (0, "4", None)]
+
+
+def test_pairs_of_a_bucket_meet_by_their_prefixes_only(spark):
+    """Texts that all share one band's values and a long passage, some of them similar: as by pairing them all up."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        own = rows[-1][1] if i % 8 == 7 else [rng.randrange(1 << 40) for _ in range(30)]
+        rows.append((i, sorted(set(own[: len(own) - i % 3]) | set(range(12))), [7, 7, *[i] * 6]))
+    signed = spark.createDataFrame([(i, s, g) for i, s, g in rows], "doc_id long, shingles array<long>, signature array<long>")
+    want = similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id")
+    found = similarity.near_pairs(signed).withColumn("jaccard", F.round("jaccard", 9)).collect()
+    assert sorted(found) == sorted(want.withColumn("jaccard", F.round("jaccard", 9)).collect()) and len(found) >= 40
