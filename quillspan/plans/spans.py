@@ -99,7 +99,33 @@ def phrase_precision(spark, d):
     return candidates.fit_dictionary(read(spark, d, "documents"), adapters.gold(spark, d))
 
 
-@query()
+#: The candidate patterns for SQL, which has no conditions on neighbours: label, pattern, what must not stand before, what not after.
+PATTERN_SQL = (
+    ("EMAIL", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+", r"[\p{L}\p{N}_.+-]", "[^\\s\\S]"),
+    ("PHONE", r"(?:\+1[ -]?)?\([0-9]{3}\)[ -]?[0-9]{3}-[0-9]{4}", r"[\p{L}\p{N}_]", "[0-9]"),
+    ("DATE", r"(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]"),
+)
+USERNAME_SQL = candidates.USERNAME_CONTEXT.removeprefix("(?i)").replace("'", "''")
+
+
+def pieces_sql(pattern: str, flags: str = "s") -> str:
+    """Pieces that cover a text, matches of the pattern whole and other characters one by one, with offsets and neighbours."""
+    return f"""SELECT doc_id, t, sum(length(t)) OVER w - length(t) AS start, coalesce(right(lag(t) OVER w, 1), '') AS before, coalesce(left(lead(t) OVER w, 1), '') AS after FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '(?{flags}){pattern}|.') AS ts FROM documents WHERE regexp_matches(text, '(?{flags}){pattern}'))) WINDOW w AS (PARTITION BY doc_id ORDER BY k)"""
+
+
+HITS_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, start, start + length(t) AS "end", '{label}' AS label, {0.85 if label == 'EMAIL' else 0.8} AS score, 1 AS p FROM ({pieces_sql(rule)}) WHERE regexp_full_match(t, '{rule}') AND NOT regexp_matches(before, '{before}') AND NOT regexp_matches(after, '{after}')"""
+    for label, rule, before, after in PATTERN_SQL
+)
+
+
+@query(f""", {RUNS}, dict AS (SELECT value, min(label) AS label, (count(*) + 1) / (any_value(n) + 2) AS score FROM gold JOIN runs USING (value) GROUP BY value),
+words AS (SELECT doc_id, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS start FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[\\p{{L}}\\p{{N}}]+|.') AS ts FROM documents))),
+named AS (SELECT doc_id, start + length(t) - length(v) AS start, rtrim(v, '.,;:') AS v FROM (SELECT *, regexp_extract(t, '(?is){USERNAME_SQL}', 1) AS v FROM ({pieces_sql(USERNAME_SQL, 'is')})) WHERE length(t) > 1),
+hits AS (SELECT doc_id, start, start + length(t) AS "end", label, score, 0 AS p FROM words JOIN dict ON value = t UNION ALL {HITS_SQL}
+  UNION ALL SELECT doc_id, start, start + length(v), 'USERNAME', {candidates.USERNAME_SCORE}, 2 FROM named WHERE v <> '' AND lower(v) NOT IN ({', '.join(f"'{w}'" for w in sorted(candidates.NO_USERNAME))}))
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", label, arg_min(score, p)::DOUBLE AS score FROM hits GROUP BY hits.doc_id, hits.start, hits."end", hits.label""")
 def propose_candidates(spark, d):
     docs, g = read(spark, d, "documents"), adapters.gold(spark, d)
     return candidates.propose(docs, candidates.fit_dictionary(docs, g))

@@ -494,3 +494,26 @@ def test_pairs_of_a_bucket_meet_by_their_prefixes_only(spark):
     want = similarity.verified(similarity.lsh_pairs(signed, None, "doc_id"), signed, signed, "doc_id")
     found = similarity.near_pairs(signed).withColumn("jaccard", F.round("jaccard", 9)).collect()
     assert sorted(found) == sorted(want.withColumn("jaccard", F.round("jaccard", 9)).collect()) and len(found) >= 40
+
+
+def test_pattern_candidates_equal_their_sql(spark):
+    """The patterns' edges, which the tables' texts do not meet, through the operator and the registered SQL."""
+    import duckdb
+
+    from quillspan.operators import candidates
+    from quillspan.plans import registry
+
+    texts = [
+        "mail x.y+z@ab-c.example.com. (123) 555-0100, x(123) 555-0100 +1 (999)555-1234 then 2024-01-02 and March 3, 2021; 2024-01-023",
+        "Your username is 'rjohnson_prime'. user id: bob; LOGIN ID the x a@b.c@d.e é(321) 555-9999", "(111) 555-22223 a2024-01-02 user name = q9x.,; username for me", None, "", "Word of Word Words",
+    ]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = con.execute(registry.oracle_sql()["propose_candidates"]).fetchall()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gold = candidates.tokenize(docs, pattern=r"(?<![^ \n])[A-Z][a-z]{3,}(?![^ \n])").selectExpr("doc_id", "start", "`end`", "token as value", "elt(cast(pmod(length(token), 8) as int) + 1, 'a', 'b', 'c', 'd', 'e', 'f', 'g', 'h') as label")
+    found = candidates.propose(docs, candidates.fit_dictionary(docs, gold)).select("doc_id", "start", "end", "label", "score").collect()
+    rest = lambda rows: sorted(tuple(r) for r in rows if r[3] in ("EMAIL", "PHONE", "DATE", "USERNAME") and r[4] in (0.85, 0.8, 0.5))
+    assert rest(found) == rest(want) and len(rest(want)) == 9
+    assert sorted((r[0], r[1], r[2], round(r[4], 9)) for r in found) == sorted((r[0], r[1], r[2], round(r[4], 9)) for r in want)
