@@ -72,7 +72,9 @@ def ks_statistic(df: DataFrame, side: Column, column: str) -> DataFrame:
     run = running_total(counts, ["x"], {"ra": "a", "rb": "b"})
     gap = F.abs((F.col("ra") + F.col("a")) / F.lit(max(n, 1)) - (F.col("rb") + F.col("b")) / F.lit(max(m, 1)))
     out = run.agg(F.lit(n).alias("n_first"), F.lit(m).alias("n_second"), F.max(gap).alias("statistic"))
-    z = F.col("statistic") * F.sqrt(F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second")))
+    # the product of two counts passes 32 bits from some 100,000 rows on, so it is taken as double
+    first, second = F.col("n_first").cast("double"), F.col("n_second").cast("double")
+    z = F.col("statistic") * F.sqrt(first * second / (first + second))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, j: a + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * z * z))
     return out.withColumn("p_value", F.when(z < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))))
 

@@ -517,3 +517,9 @@ def test_pattern_candidates_equal_their_sql(spark):
     rest = lambda rows: sorted(tuple(r) for r in rows if r[3] in ("EMAIL", "PHONE", "DATE", "USERNAME") and r[4] in (0.85, 0.8, 0.5))
     assert rest(found) == rest(want) and len(rest(want)) == 9
     assert sorted((r[0], r[1], r[2], round(r[4], 9)) for r in found) == sorted((r[0], r[1], r[2], round(r[4], 9)) for r in want)
+
+
+def test_ks_of_more_pairs_than_32_bits_count(spark):
+    df = spark.range(120_000).select((F.col("id") % 2 == 1).alias("s"), (F.col("id") % 7).alias("v"))
+    row = stats.ks_statistic(df, F.col("s"), "v").first()
+    assert (row["n_first"], row["n_second"]) == (60_000, 60_000) and row["statistic"] < 1e-4 and row["p_value"] == 1.0
