@@ -523,3 +523,25 @@ def test_ks_of_more_pairs_than_32_bits_count(spark):
     df = spark.range(120_000).select((F.col("id") % 2 == 1).alias("s"), (F.col("id") % 7).alias("v"))
     row = stats.ks_statistic(df, F.col("s"), "v").first()
     assert (row["n_first"], row["n_second"]) == (60_000, 60_000) and row["statistic"] < 1e-4 and row["p_value"] == 1.0
+
+
+def test_tokens_and_their_neighbours_are_read_where_the_text_lies(spark):
+    docs = spark.createDataFrame([(1, "Ab-c\n d"), (2, None), (3, "\n x"), (4, "")], "doc_id long, text string")
+    found = candidates.tokens_in_context(docs, reach=1)
+    rows = [tuple(r) for r in found.collect()]
+    assert rows == [
+        (1, 0, 0, 2, "Ab", None, "-", None, 2, False, False), (1, 1, 2, 3, "-", "Ab", "c", 2, 3, False, False),
+        (1, 2, 3, 4, "c", "-", "d", 3, 6, False, True), (1, 3, 6, 7, "d", "c", None, 4, None, True, False), (3, 0, 2, 3, "x", None, None, None, None, True, False),
+    ]
+    plan = features.token_features(candidates.tokens_in_context(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    codes = features.token_codes(found, features.vocabulary(candidates.tokenize(docs)))
+    assert {(r["doc_id"], r["i"]): r["flags"][3:] for r in codes.collect()}[1, 3] == [1, 0, 0, 0]
+
+
+def test_aligned_is_token_aligned(spark):
+    docs = spark.createDataFrame([(1, "Ab-c d"), (2, None), (3, "x")], "doc_id long, text string")
+    own = spark.createDataFrame([(1, 0, 2, "a"), (1, 0, 3, "b"), (1, 1, 4, "c"), (1, 2, 7, "d"), (2, 0, 1, "e"), (9, 0, 1, "f"), (3, 0, 1, "g"), (3, 0, 1, "g"), (3, None, 1, "h")], SPAN)
+    columns = ["doc_id", "start", "end", "label", "first", "last"]
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert key(candidates.aligned(docs, own)) == key(candidates.token_aligned(candidates.tokenize(docs), own))
