@@ -545,3 +545,15 @@ def test_aligned_is_token_aligned(spark):
     columns = ["doc_id", "start", "end", "label", "first", "last"]
     key = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert key(candidates.aligned(docs, own)) == key(candidates.token_aligned(candidates.tokenize(docs), own))
+
+
+def test_root_is_that_of_bisection_with_fewer_slopes():
+    for root, steep in ((0.3, 0.5), (1.0, 3.0), (2.345678, 1.0), (3.9, 4.0)):
+        asked, low, high = [], 0.25, 4.0
+        slope = lambda x: asked.append(x) or math.tanh(steep * (x - root))  # noqa: B023, E731
+        got = calibration.falling_root(slope, low, high, 18)
+        assert len(asked) <= 14
+        for _ in range(18):
+            mid = (low + high) / 2
+            low, high = (mid, high) if slope(mid) < 0 else (low, mid)
+        assert got == ((low + high) / 2, None)
