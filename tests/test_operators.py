@@ -557,3 +557,14 @@ def test_root_is_that_of_bisection_with_fewer_slopes():
             mid = (low + high) / 2
             low, high = (mid, high) if slope(mid) < 0 else (low, mid)
         assert got == ((low + high) / 2, None)
+
+
+def test_lattices_are_made_without_a_row_for_each_interval(spark):
+    from quillspan.plans import spans as plans
+    from tests.conftest import DATA
+
+    made = plans.lattices(spark, DATA)
+    assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Generate", "Aggregate"))
+    for r in made.limit(20).collect():
+        assert list(zip(r["b"], r["a"], strict=True)) == [(b, a) for b in range(1, r["n"] + 1) for a in range(max(0, b - 16), b)]
+        assert r["energies"] == [[((r["doc_id"] * 13 + a * m + b * 5) % 17 - 8) / 4 for m in (7, 11)] for a, b in zip(r["a"], r["b"], strict=True)]
