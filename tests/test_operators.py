@@ -568,3 +568,20 @@ def test_lattices_are_made_without_a_row_for_each_interval(spark):
     for r in made.limit(20).collect():
         assert list(zip(r["b"], r["a"], strict=True)) == [(b, a) for b in range(1, r["n"] + 1) for a in range(max(0, b - 16), b)]
         assert r["energies"] == [[((r["doc_id"] * 13 + a * m + b * 5) % 17 - 8) / 4 for m in (7, 11)] for a, b in zip(r["a"], r["b"], strict=True)]
+
+
+def test_spans_in_context_leave_their_text_behind(spark):
+    """Long texts: what is near a span is bounded, and the rest comes along only where the words near it are too few."""
+    text = "first Second " + " " * 500 + "Third and then some more words Fourth." + " tail" * 5_000
+    spans = [(1, text.index(w), text.index(w) + len(w), w) for w in ("Second", "Third", "Fourth")]
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    made = spark.createDataFrame([*spans, (2, 0, 3, "none"), (3, 0, 3, "gone")], "doc_id long, start int, end int, w string")
+    got = {r["w"]: r for r in candidates.in_context(docs, made, keep=("lang",)).collect()}
+    assert set(got) == {"Second", "Third", "Fourth", "none"} and got["none"]["value"] is None and got["Third"]["lang"] == "en"
+    for _, start, end, w in spans:
+        r = got[w]
+        assert (r["value"], r["left"], r["right"], r["text_chars"]) == (w, text[max(0, start - 200) : start], text[end : end + 200], len(text))
+        assert r["far_left"] == (text[:start] if w == "Third" else None) and r["far_right"] == (text[end:] if w == "Second" else None)
+    shown = {r["phrase"]: r for r in features.mixed_features(candidates.in_context(docs, made.where("doc_id = 1").withColumns({"label": F.lit("NAME"), "score": F.lit(0.5)}))).collect()}
+    assert [shown["third"][c] for c in ("left1", "left2", "right1", "right2")] == ["second", "first", "and", "then"]
+    assert [shown["second"][c] for c in ("left_pair", "right_pair")] == ["first", "third and"] and shown["fourth"]["right_pair"] == ". tail"
