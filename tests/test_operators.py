@@ -585,3 +585,15 @@ def test_spans_in_context_leave_their_text_behind(spark):
     shown = {r["phrase"]: r for r in features.mixed_features(candidates.in_context(docs, made.where("doc_id = 1").withColumns({"label": F.lit("NAME"), "score": F.lit(0.5)}))).collect()}
     assert [shown["third"][c] for c in ("left1", "left2", "right1", "right2")] == ["second", "first", "and", "then"]
     assert [shown["second"][c] for c in ("left_pair", "right_pair")] == ["first", "third and"] and shown["fourth"]["right_pair"] == ". tail"
+
+
+def test_large_dictionaries_shuffle_what_may_occur(spark, monkeypatch):
+    """Substrings that no phrase begins with are no rows of the join, and the result is that of the small dictionary."""
+    docs = spark.createDataFrame([(i, "Alpha beta gamma, " + "delta epsilon zeta " * 40 + "Beta Alpha") for i in range(4)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("Alpha beta",), ("Alpha",), ("Beta",), ("beta",)], "phrase string")
+    made, scan = [], candidates._scan
+    monkeypatch.setattr(candidates, "_scan", lambda *a: made.append(scan(*a)) or made[-1])
+    big = candidates.dictionary_join(docs, phrases)
+    assert made[-1].count() == 4 * 5
+    small = candidates.dictionary_hits(docs, phrases)
+    assert audit.same_rows(small.select(sorted(small.columns)), big.select(sorted(small.columns)))
