@@ -45,7 +45,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     parts = [b" ".join(w)] if len(w) < SHINGLE else map(b" ".join, zip(w, w[1:], w[2:], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in parts), dtype="<u8")
+    return folded(np.fromiter((digest(s, SEED) for s in parts), dtype="<u8"))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes, signed."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]

@@ -62,18 +62,22 @@ def band_keys(shingles: np.ndarray, maps: tuple[np.ndarray, np.ndarray]) -> np.n
 Shingler = Callable[[str | None], np.ndarray]
 
 
-def signatures(rows: DataFrame, shingler: Shingler) -> DataFrame:
-    """``rows`` (..., text) with keys in place of text: one a band, from the text's shingles; none without shingles."""
+def signatures(rows: DataFrame, shingler: Shingler, **more: Callable[[np.ndarray], int]) -> DataFrame:
+    """``rows`` (..., text) with keys in place of text: one a band, from the text's shingles; none without shingles. ``more`` names
+    further numbers that are made of the shingles."""
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = _maps(BANDS * ROWS)
         for b in batches:
-            sets = (shingler(x.as_py()) for x in b.column("text"))
-            keys = [band_keys(s, maps) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(keys, pa.list_(pa.int64()))], [*others, "keys"])
+            made = []
+            for x in b.column("text"):
+                s = shingler(x.as_py())
+                made.append((band_keys(s, maps) if len(s) else [], *(f(s) for f in more.values())))
+            keys, *rest = zip(*made, strict=True) if made else [()] * (1 + len(more))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(keys, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], [*others, "keys", *more])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others) + ", keys array<long>")
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others), "keys array<long>", *(f"{c} long" for c in more)]))
 
 
 def shingle_sets(rows: DataFrame, shingler: Shingler, wanted: DataFrame) -> DataFrame:
@@ -147,9 +151,10 @@ def _linkable(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _mixed(named.select("key", "h", "part").join(trimmed.select("h", "n", "m"), "h"), "near-linkable"), trimmed.select("h", "n", "s")
 
 
-def links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], candidates: DataFrame | None = None) -> DataFrame:
     """(a, b): linked texts, enough of them to give every component. ``keyed``: (h, keys) of every row, equal texts
-    with equal h; ``sets_of``: from the (h) of some texts, (h, s) of each, once."""
+    with equal h; ``sets_of``: from the (h) of some texts, (h, s) of each, once. ``candidates``: pairs (a, b), a < b, that are
+    known from elsewhere; they are confirmed with the hubs' pairs, and what they link is not tried again."""
     rows = keyed.select("h", F.explode("keys").alias("key"))
     # keys of several texts; equal texts count as often as they stand, which only weighs hubs
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
@@ -157,9 +162,13 @@ def links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFr
     shared, _ = split(rows, key_filter(sizes, "key"), "key")
     met = materialize(shared.join(sizes, "key").distinct(), "near-met")
     degree = materialize(met.groupBy("h").agg(F.sum("n").alias("degree")), "near-degrees")
-    sets = materialize(sets_of(degree.select("h")).withColumn("n", F.size("s")), "near-sets")
+    wanted = degree.select("h")
+    if candidates is not None:
+        wanted = wanted.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("h"))).distinct()
+    sets = materialize(sets_of(wanted).withColumn("n", F.size("s")), "near-sets")
     hubs = met.join(degree, "h").groupBy("key").agg(F.max(F.struct("degree", "h"))["h"].alias("hub"))
-    stars = met.join(materialize(hubs, "near-hubs"), "key").where("h <> hub").select(*_ordered("h", "hub")).distinct()
+    stars = met.join(materialize(hubs, "near-hubs"), "key").where("h <> hub").select(*_ordered("h", "hub"))
+    stars = (stars if candidates is None else stars.unionByName(candidates)).distinct()
     near = materialize(confirmed(stars, sets), "near-stars")
     parts = connected_components(near, "a", "b")
     named = met.select("key", "h").join(parts, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("part"))

@@ -213,3 +213,35 @@ def test_a_stage_takes_odd_rows_alone(spark, name):
     assert empty.columns == out.columns and empty.count() == 0
     few = STAGES[name](spark, docs.select("doc_id", "text", "source").where(F.col("text").isNull()), "")
     assert few.count() == {"quality rules": 0, "near-dedup": 1, "substring dedup": 2, "mixing": 0, "byte-level BPE": 2}[name]
+
+
+def test_near_dedup_links_by_fingerprints_on_the_ring(spark):
+    """Without a MinHash key in common, the pigeonring's pairs still link what is similar, and only that."""
+    from quillspan.llm import near_copies, simhash
+    from quillspan.operators import near as links_of
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(900)]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"]), " ".join([*w[:-2], "yet", "another"])]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    bits = [simhash.folded(s) & (2**64 - 1) for s in sets]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 2}
+    true = {(i, j) for i, j in close if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert len(true) >= 6
+    rows = spark.createDataFrame([(i, [i], simhash.folded(s)) for i, s in enumerate(sets)] + [(99, [99], simhash.folded(sets[0]))], "h long, keys array<long>, fp long")
+    pairs = near_copies.ring_pairs(rows)
+    assert (0, 99) in {tuple(r) for r in pairs.collect()}
+    held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)] + [(99, [1, 2, 3])], "h long, s array<long>")
+    found = {tuple(r) for r in links_of.links(rows.select("h", "keys"), lambda wanted: held.join(wanted, "h"), pairs).collect()}
+    assert found and all((b, a) in true for a, b in found)  # the text under an equal fingerprint that shares no shingle is not linked
+
+    def parts(edges):
+        up = list(range(len(texts)))
+        for _ in texts:
+            for i, j in edges:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    assert parts(found) == parts(true)
