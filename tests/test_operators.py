@@ -608,3 +608,14 @@ def test_hashes_of_runs_and_signatures_agree_with_the_shingles_texts(spark):
     assert {r["id"]: r["n"] for r in similarity.hashed_sets(docs, "doc_id").collect()} == {i: n for i, (_, n) in want.items() if n}
     sides = docs.withColumnRenamed("doc_id", "id")
     assert {(r["a"], r["b"]): r["jaccard"] for r in similarity.cross_pairs(sides, sides).collect() if r["a"] == r["b"]} == {(i, i): 1.0 for i, (_, n) in want.items() if n}
+
+
+def test_interval_plan_is_the_sampling_plan_without_a_shuffle_of_the_universe(spark):
+    lengths = spark.createDataFrame([(1, 1), (2, 5), (3, 40), (4, 0), (5, 20)], "doc_id long, n int")
+    gold = spark.createDataFrame([(2, 0, 2), (3, 3, 5), (3, 4, 5), (3, 38, 40), (5, 0, 17)], "doc_id long, a int, b int")
+    old = spark.createDataFrame([(2, 0, 2), (2, 1, 3), (3, 20, 21), (5, 0, 16)], "doc_id long, a int, b int")
+    for width in (3, 16):
+        want = candidates.sampling_plan(candidates.span_universe(lengths, width), gold, old)
+        got = candidates.interval_plan(lengths, gold, old, width)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
