@@ -619,3 +619,18 @@ def test_interval_plan_is_the_sampling_plan_without_a_shuffle_of_the_universe(sp
         got = candidates.interval_plan(lengths, gold, old, width)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_canonical_hash_takes_packed_rows(spark):
+    """What is sent to the driver is packed on the way, and is far less than what is hashed."""
+    import hashlib
+    import json
+
+    from quillspan.operators import replay
+
+    rows = [(i, [(10 * j, 10 * j + 5, "NAME") for j in range(i % 40)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, predicted array<struct<start int, end int, label string>>").repartition(5)
+    text = json.dumps([[i, [list(s) for s in p]] for i, p in rows], separators=(",", ":")).encode()
+    assert replay.canonical_hash(df) == hashlib.sha256(text).hexdigest()
+    packed = replay.packed_rows(df.orderBy("doc_id"), "doc_id", "predicted").collect()
+    assert sum(len(r["packed"]) for r in packed) < len(text) / 5
