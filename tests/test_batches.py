@@ -110,6 +110,15 @@ def test_copies_are_classes_and_are_not_paired_up(spark, monkeypatch):
     assert sorted(mixed) == sorted((a, b, -j, k) for a, b, j, k in want) and pairs[0, 399] == pairs[4, 200] and 0.5 <= pairs[0, 399] < 0.9
 
 
+def test_hashes_with_the_same_sets_meet_once(spark):
+    own = similarity.hashed_sets(spark.createDataFrame(copies_of(1)[:5], "id long, text string"), "id")
+    own = own.select("id", F.lit(similarity.BOTH).alias("kind"), F.col("s").alias("shingles"))
+    first = similarity._prefixes(own, 0.5)
+    # texts 0 and 4 share many hashes of their prefixes, which made as many rows of the same pair
+    assert first.where("id in (0, 4)").count() > 4 and similarity._unlike(first).count() == 2
+    assert [(r["a"], r["b"]) for r in similarity.set_pairs(own, 0.5).collect()] == [(0, 4)]
+
+
 def lists(spark):
     return spark.createDataFrame([("c", [1, 2], [0.5, 1.5]), ("a", [], []), ("b", [7], [2.5]), ("d", None, None)], "name string, x array<int>, y array<double>")
 
