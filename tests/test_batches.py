@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import batches, decode, similarity
+from quillspan.operators import batches, decode, near, similarity
 from quillspan.plans import spans
 from quillspan.sources import ragged
 from quillspan.sources.artifacts import ArtifactError
@@ -119,6 +121,23 @@ def test_hashes_with_the_same_sets_meet_once(spark):
     assert [(r["a"], r["b"]) for r in similarity.set_pairs(own, 0.5).collect()] == [(0, 4)]
 
 
+def test_band_keys_are_made_in_small_pieces():
+    shingles = np.random.default_rng(3).integers(0, 1 << 64, size=5000, dtype=np.uint64)
+    maps = near._maps(near.BANDS * near.ROWS)
+    tracemalloc.start()
+    keys = near.band_keys(shingles, maps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # values of a thousand shingles at once were 1.2 MB, twice, and left the cache
+    assert peak < 600_000
+    low = [(shingles * x + y).min() for x, y in zip(*maps, strict=True)]
+    want = np.arange(1, near.BANDS + 1, dtype=np.uint64)
+    for k in range(near.ROWS):
+        want = (want ^ np.array(low[k :: near.ROWS], np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        want ^= want >> np.uint64(29)
+    assert (keys == want.view(np.int64)).all()
+
+
 def lists(spark):
     return spark.createDataFrame([("c", [1, 2], [0.5, 1.5]), ("a", [], []), ("b", [7], [2.5]), ("d", None, None)], "name string, x array<int>, y array<double>")
 
