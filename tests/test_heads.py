@@ -189,3 +189,25 @@ def test_registered_probes(spark):
     rows = models.newton_probe(spark, DATA).groupBy("variant").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.avg(F.when(F.col("y") == 1, F.col("score"))).alias("one"), F.avg(F.when(F.col("y") == 0, F.col("score"))).alias("zero")).collect()
     assert {r["variant"] for r in rows} == set(models.VARIANTS) and len({r["n"] for r in rows}) == 1
     assert all(r["scored"] > 0 and r["one"] > r["zero"] for r in rows if r["variant"] == "all")
+
+
+def test_plans_are_drawn_once_and_serve_every_evaluation(rows):
+    packed = H.blocks(rows)
+    n = rows.agg({"n": "sum"}).first()[0]
+    assert sum(len(np.frombuffer(r["sizes"], np.int32)) for r in packed.collect()) == rows.count()
+    assert sum(int(np.frombuffer(r["sizes"], np.int32).sum()) for r in packed.collect()) == n
+    x = np.random.default_rng(5).normal(size=H.Head.size(64)) * 0.1
+    (a, p), (b, q) = (H.evaluation(r, 64, ranking=0.7)(x) for r in (packed, rows))
+    assert np.isclose(a, b, rtol=1e-12) and np.allclose(p, q, atol=1e-10)
+    # with no weights every class is as likely, for every interval that may be drawn
+    assert np.isclose(H.evaluation(packed, 64)(np.zeros_like(x))[0], np.log(H.CLASSES))
+
+
+def test_intervals_with_new_energies_share_their_order():
+    blank = H._all_intervals(20)
+    energies = np.random.default_rng(6).normal(size=blank.energies.shape)
+    made = blank.priced(energies)
+    assert made.left is blank.left and (blank.energies == 0).all()
+    assert H.decode.best_two(made, 3) == H.decode.best_two(H.decode.Lattice(20, blank.pairs, energies), 3)
+    with pytest.raises(ValueError):
+        blank.priced(np.where(energies > 0, np.nan, energies))
