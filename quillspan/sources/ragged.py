@@ -21,24 +21,29 @@ BLOCK = 1 << 14
 def flatten(df: DataFrame, ident: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(values, offsets) of a table with a document a row and arrays of equal length in ``columns`` (null: empty). Ids must differ."""
     sized = df.select(F.col(ident).alias("ident"), *[F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c) for c in columns])
-    sized = sized.withColumns({"n": F.size(columns[0]).cast("long"), "one": F.lit(1).cast("long")})
     uneven = F.lit(False)
     for c in columns[1:]:
-        uneven |= F.size(c) != F.col("n")
-    placed = materialize(running_total(sized.withColumn("uneven", uneven), ["ident"], {"low": "n", "doc": "one"}), "ragged")
+        uneven |= F.size(c) != F.size(columns[0])
+    # places follow from ids and lengths: the arrays are not ordered, and meet their place once
+    slim = sized.select("ident", F.size(columns[0]).cast("long").alias("n"), F.lit(1).cast("long").alias("one"), uneven.alias("uneven"))
+    placed = materialize(running_total(slim, ["ident"], {"low": "n", "doc": "one"}), "ragged")
     if not placed.where("uneven").isEmpty():
         raise ArtifactError("a document's columns differ in length")
     if placed.select("ident").distinct().count() != placed.count():
         raise ArtifactError("an id is repeated")
+    at = placed.select(F.col("ident").alias("_ident"), "low")
+    whole = sized.join(at, F.col("ident").eqNullSafe(F.col("_ident")))
     value = F.posexplode(F.arrays_zip(*columns)).alias("i", "v")
-    values = placed.select("low", value).select((F.col("low") + F.col("i")).alias("pos"), *[F.col("v")[c].alias(c) for c in columns])
+    values = whole.select("low", value).select((F.col("low") + F.col("i")).alias("pos"), *[F.col("v")[c].alias(c) for c in columns])
     return values, placed.select("doc", "ident", "low", (F.col("low") + F.col("n")).alias("high"))
 
 
 def validate(values: DataFrame, offsets: DataFrame) -> None:
     """An error that says what is wrong, unless offsets cover all positions once, in the order of the documents."""
     held = offsets.agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("high").alias("end"), F.count_if(F.col("high") < F.col("low")).alias("turned"), F.count_if(F.col("low").isNull() | F.col("high").isNull() | F.col("doc").isNull()).alias("nulls")).first()
-    flat = values.agg(F.count("*").alias("n"), F.count_distinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last")).first()
+    # different places are counted in bitmaps, a bit a place: places themselves are not shuffled
+    marks = values.groupBy(F.bitmap_bucket_number("pos").alias("part")).agg(F.count("*").alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("pos"))).alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    flat = marks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("places").alias("places"), F.min("first").alias("first"), F.max("last").alias("last")).first()
     follow = offsets.select((F.col("doc") + 1).alias("doc"), F.col("high").alias("before")).join(offsets.select("doc", "low"), "doc")
     begin = offsets.where("doc = 0").select("low").first()
     faults = {

@@ -178,3 +178,15 @@ def test_decoding_runs_from_a_ragged_table(spark):
 
     got, want = ({r["doc_id"]: r["mbr"] for r in decode.per_document(x, kernel, "doc_id long, mbr string").collect()} for x in (back, own))
     assert got == want and len(want) > 20
+
+
+def test_ragged_tables_order_lengths_and_not_the_arrays(spark, monkeypatch):
+    seen, total = [], ragged.running_total
+    monkeypatch.setattr(ragged, "running_total", lambda df, *rest: seen.append(df) or total(df, *rest))
+    flat, offsets = ragged.flatten(lists(spark), "name", ["x", "y"])
+    assert [f.dataType.typeName() for df in seen for f in df.schema if f.dataType.typeName() == "array"] == []
+    assert sum(r["high"] - r["low"] for r in offsets.collect()) == flat.count()
+    # one place twice and one left out: as many places as values, within the same bounds
+    wrong = flat.withColumn("pos", F.when(F.col("pos") == 1, 2).otherwise(F.col("pos")).cast("long"))
+    with pytest.raises(ragged.ArtifactError):
+        ragged.validate(wrong, offsets)
